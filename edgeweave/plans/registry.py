@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import graph_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **graph_queries.QUERIES}
+SQL = {**problems.SQL, **graph_queries.SQL}

@@ -42,9 +42,10 @@ def multi_definitions(g: PropertyGraph) -> DataFrame:
 def possible_calls(g: PropertyGraph) -> DataFrame:
     """(src_def_id, dst_def_id, count): calls from a body to every body of a symbol that is defined more than once."""
     many = g.t("symbol").where("multi_def > 1").select(F.col("id").alias("dst_id"))
-    bodies = g.t("definition").select(F.col("symbol_id").alias("dst_id"), F.col("id").alias("dst_def_id")).join(many, "dst_id", "left_semi")
+    bodies = g.t("definition").select(F.col("symbol_id").alias("dst_id"), F.col("id").alias("dst_def_id")).distinct().join(many, "dst_id", "left_semi")
     calls = g.t("def_edge").where("kind = 1").groupBy("src_def_id", "dst_id").agg(F.sum("count").alias("count"))
-    return calls.join(bodies, "dst_id").groupBy("src_def_id", "dst_def_id").agg(F.sum("count").alias("count"))
+    # A body belongs to one symbol, so its calls are added up before they meet the bodies.
+    return calls.join(bodies, "dst_id").select("src_def_id", "dst_def_id", "count")
 
 
 def override_closure(g: PropertyGraph) -> DataFrame:

@@ -27,6 +27,8 @@ class Budgets:
     sites_per_hop: int = 1_000
 
 
+#: What a stream of symbols shows where nothing is selected.
+DEFAULT_FIELDS = ("id", "usr", "semantic_universe", "identity_key", "name", "kind")
 UNBOUNDED = Budgets(None, None, None, None, None)
 
 
@@ -78,13 +80,14 @@ class Engine:
 
     def __init__(self, graph: PropertyGraph, budgets: Budgets = Budgets(), after_id: int | None = None):
         self.graph, self.budgets, self.after_id = graph, budgets, after_id
+        self.needed: set[str] | None = None
 
     # -- entry points
 
     def run(self, plan: ir.Plan) -> Result:
         plan = ir.validate(plan)
-        st = self.stream(plan)
-        return self.finish(st)
+        self.needed = _fields_of(plan) | (set() if any(s.op in ("select", "count") for s in plan.stages) else set(DEFAULT_FIELDS))
+        return self.finish(self.stream(plan))
 
     def frame(self, plan: ir.Plan) -> DataFrame:
         return self.run(plan).frame()
@@ -117,7 +120,7 @@ class Engine:
 
     def wide(self, st: Stream) -> DataFrame:
         """The stream with the fields of its view; keys that the view does not have are dropped."""
-        return st.df if st.wide else st.df.join(views.frame(self.graph, st.view), st.keys)
+        return st.df if st.wide else st.df.join(views.frame(self.graph, st.view, self.needed), st.keys)
 
     def narrow(self, st: Stream) -> DataFrame:
         return st.df.select(*st.keys)
@@ -142,7 +145,7 @@ class Engine:
         return df.where(cond).select(*plain), False
 
     def _nodes(self, st: Stream, stage: ir.Stage) -> Stream:
-        df = views.frame(self.graph, st.view)
+        df = views.frame(self.graph, st.view, self.needed)
         if self.after_id is not None and st.view in ("symbol", "entity", "edge"):
             df = df.where(F.col("k0") > self.after_id)
         out, unknown = replace(st, df=df, wide=True), False
@@ -209,7 +212,7 @@ class Engine:
             pairs = traverse.pair_window(df.select(F.col("k0").alias("id")), adjacency, p.min_depth, p.max_depth)
         if p.target:
             target_view = relation.source if p.inbound else relation.target
-            inner, cond = self.condition(views.frame(self.graph, target_view), p.target, target_view)
+            inner, cond = self.condition(views.frame(self.graph, target_view, self.needed), p.target, target_view)
             judged = inner.select(F.col("k0").alias("id"), cond.alias("holds"), F.lit(True).alias("seen"))
             pairs = pairs.join(judged, "id", "left").withColumn("holds", F.when(F.col("seen"), F.col("holds")))
         else:
@@ -337,7 +340,7 @@ class Engine:
         if st.shape == "path":
             return Result("path", st.view, st.df, order=st.order, columns=["start", "target", "length", "trail", "domain", "through", "direction", "status"], **flags)
         if st.shape == "nodes":
-            chosen = ("id", "usr", "semantic_universe", "identity_key", "name", "kind") if st.view in ("symbol", "entity") else ("id", "identity_key")
+            chosen = DEFAULT_FIELDS if st.view in ("symbol", "entity") else ("id", "identity_key")
             st = self._select(st, ir.Stage("select", fields=chosen))
             names = [F.col(f"f_{f}").alias(f) for f in chosen]
         else:
@@ -351,6 +354,25 @@ class Engine:
         return Result(st.shape, st.view, st.df, order=st.order, columns=names, **flags)
 
 
+def _fields_of(plan: ir.Plan) -> set[str]:
+    """Every field that the plan names, in operands and predicates, too."""
+    found: set[str] = set()
+
+    def of(p: ir.Pred | None) -> None:
+        if p is not None:
+            found.update([p.field] if p.field else [])
+            of(p.target)
+            for k in p.kids:
+                of(k)
+
+    for s in plan.stages:
+        found.update(s.fields)
+        of(s.pred)
+        if s.plan is not None:
+            found |= _fields_of(s.plan)
+    return found
+
+
 def _rank_order() -> list[Column]:
     """Shorter first, then by the ids along the path; arrays compare element by element."""
     return [F.col("length"), F.col("trail")]

@@ -54,9 +54,8 @@ def current_rows(df: DataFrame, keys: list[str], loaded: str = "loaded_at", dele
     living = df.where(F.col(deleted).isNull()) if deleted else df
     for k in keys:
         living = living.where(F.col(k).isNotNull())
-    others = [c for c in df.columns if c not in (*keys, loaded)]
-    newest = living.groupBy(*keys).agg(F.max(F.struct(loaded, *others)).alias("r"))
-    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in (loaded, *others)])
+    # Column by column, so that columns nobody asks for are not read.
+    return living.groupBy(*keys).agg(*[F.max_by(c, loaded).alias(c) for c in df.columns if c not in keys])
 
 
 def code_index(spark: SparkSession, sf_dir: str) -> PropertyGraph:

@@ -15,6 +15,8 @@ from ..runtime import materialize
 
 #: Levels that are planned together before the loop looks whether there is more.
 LEVELS_AT_ONCE = 3
+#: A closure may double its distances from this depth on, if that makes at most so many times the known pairs.
+DOUBLE_FROM, DOUBLE_COST = 4, 4
 
 
 @dataclass(frozen=True)
@@ -99,19 +101,36 @@ def bfs(starts: DataFrame, adjacency: DataFrame, deepest: int | None = None) ->
 def closure(adjacency: DataFrame, starts: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
     """(src, dst): every pair with a walk of at least one step, semi-naive: only pairs new in a round are extended.
 
-    ``starts`` (id) limits the sources. The result has as many rows as there are reachable pairs.
+    ``starts`` (id) limits the sources. The result has as many rows as there are reachable pairs. Rounds add one step
+    while that is cheap; on deep graphs, where joining what is farthest with all that is known costs no more than a few
+    times the known pairs, a round doubles the distance instead, so depth costs its logarithm in rounds.
     """
     steps = materialize(adjacency.select("src", "dst").distinct())
-    new = steps if starts is None else steps.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    known, depth = new, 1
+    first = steps if starts is None else steps.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    known = first.withColumn("dist", F.lit(1))
+    far, depth = known, 1
     while deepest is None or depth < deepest:
-        depth += 1
-        far = new.select("src", F.col("dst").alias("mid")).join(steps.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = materialize(far.join(known, ["src", "dst"], "left_anti"))
+        ahead, reach = steps.withColumn("dist", F.lit(1)), 1
+        if starts is None and deepest is None and depth >= DOUBLE_FROM and _product(far, known) <= DOUBLE_COST * known.count():
+            ahead, reach = known, depth
+        more = far.select("src", F.col("dst").alias("mid")).join(ahead.select(F.col("src").alias("mid"), "dst", "dist"), "mid")
+        found = more.groupBy("src", "dst").agg((F.min("dist") + depth).alias("dist"))
+        new = materialize(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        depth += reach
+        far = new.where(F.col("dist") == depth)
         if not new.take(1):
             break
-        known = materialize(known.unionByName(new))
-    return known
+        known = materialize(known.unionByName(new.select("src", "dst", "dist")))
+        if not far.take(1):
+            break
+    return known.select("src", "dst")
+
+
+def _product(far: DataFrame, known: DataFrame) -> int:
+    """Rows of the join of ``far`` with ``known`` where one ends and the other begins, without making it."""
+    a = far.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("a"))
+    b = known.groupBy(F.col("src").alias("mid")).agg(F.count(F.lit(1)).alias("b"))
+    return a.join(b, "mid").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
 
 
 def distances(targets: DataFrame, adjacency: DataFrame, deepest: int) -> DataFrame:

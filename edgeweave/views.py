@@ -43,20 +43,25 @@ def identity(view: str, parts: list[Column]) -> Column:
     return F.concat_ws(":", F.lit(view), *[p.cast("string") for p in parts])
 
 
-def _symbol_frame(g: PropertyGraph, view: str) -> DataFrame:
-    s = g.t("symbol")
-    kinds = g.t("entity_node").groupBy("id").agg(F.min("kind").alias("entity_type"))
-    universe = g.t("semantic_universe").groupBy(F.col("id").alias("semantic_universe_id")).agg(F.min("key").alias("semantic_universe"))
-    parent = s.where("usr is not null").groupBy(F.col("usr").alias("parent_usr")).agg(F.min(F.coalesce("qual_name", "spelling")).alias("owner"))
-    name = F.coalesce("qual_name", "spelling")
-    df = s.join(kinds, "id", "left").join(universe, "semantic_universe_id", "left").join(parent, "parent_usr", "left")
+def _symbol_frame(g: PropertyGraph, view: str, wants) -> DataFrame:
+    df = g.t("symbol")
+    if wants("semantic_universe"):
+        universe = g.t("semantic_universe").groupBy(F.col("id").alias("semantic_universe_id")).agg(F.min("key").alias("semantic_universe"))
+        df = df.join(universe, "semantic_universe_id", "left")
+    if wants("owner"):
+        parent = g.t("symbol").where("usr is not null").groupBy(F.col("usr").alias("parent_usr")).agg(F.min(F.coalesce("qual_name", "spelling")).alias("owner"))
+        df = df.join(parent, "parent_usr", "left")
     if view == "entity":
         df = g.domain("entity").join(df, "id", "left")
-    return df.select(
-        F.col("id").alias("k0"), "id", "usr", name.alias("name"), "spelling", "qual_name", "kind", "entity_type", "is_definition", "is_pure", "is_static", "callable_kind", "template_origin", "template_form",
-        "owner", F.col("file_id").alias("file"), "line", "col", "decl_path", "semantic_universe", "identity_key", F.length(name).alias("name_length"), "multi_def", (-F.col("multi_def")).alias("negative_multi_def"),
-        "is_instantiation", F.lit(None).cast("long").alias("negative_count"), F.lit(None).cast("long").alias("effective_count"),
-    )
+    if wants("entity_type"):
+        df = df.join(g.t("entity_node").groupBy("id").agg(F.min("kind").alias("entity_type")), "id", "left")
+    name, have = F.coalesce("qual_name", "spelling"), set(df.columns)
+    own = {
+        "name": name, "file": F.col("file_id"), "name_length": F.length(name), "negative_multi_def": -F.col("multi_def"),
+        "negative_count": F.lit(None).cast("long"), "effective_count": F.lit(None).cast("long"),
+    }
+    fields = [own.get(f, F.col(f) if f in have else F.lit(None)).alias(f) for f in catalog.FIELDS[view]]
+    return df.select(F.col("id").alias("k0"), *fields)
 
 
 def effective_edges(g: PropertyGraph) -> DataFrame:
@@ -150,14 +155,26 @@ def layers(g: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
     return out.withColumn("index", at).where(F.col("index") < LAYER_ROWS).drop("trail", "sort")
 
 
-def frame(g: PropertyGraph, view: str) -> DataFrame:
-    """All nodes of a view with its fields, lazily; columns that a plan does not use are never read."""
+_DERIVED = ("relation", "source", "target", "evidence", "status", "partial", "unknown")
+
+
+def frame(g: PropertyGraph, view: str, needed: set[str] | None = None) -> DataFrame:
+    """All nodes of a view with its fields, lazily; columns that a plan does not use are never read.
+
+    With ``needed`` fields, joins that only other fields need are left out, and those fields are missing or null.
+    """
+    wants = lambda *names: needed is None or any(n in needed for n in names)
     if view in ("symbol", "entity"):
-        return _symbol_frame(g, view)
+        return _symbol_frame(g, view, wants)
     if view == "edge":
-        df = _provenance(g, effective_edges(g), "id").withColumn("edge_id", F.col("id"))
+        df = effective_edges(g) if wants("effective_count", "negative_count") else g.t("edge")
+        df = (_provenance(g, df, "id") if wants(*_DERIVED) else df).withColumn("edge_id", F.col("id"))
     elif view in ("site", "evidence"):
-        df = _provenance(g, g.t("edge_site"), "edge_id").withColumn("src_id", F.col("e_src")).withColumn("dst_id", F.col("e_dst")).withColumn("file", F.col("file_id"))
+        df = g.t("edge_site").withColumn("file", F.col("file_id"))
+        if wants(*_DERIVED):
+            df = _provenance(g, df, "edge_id").withColumn("src_id", F.col("e_src")).withColumn("dst_id", F.col("e_dst"))
+        elif wants("src_id", "dst_id"):
+            df = df.join(g.t("edge").select(F.col("id").alias("edge_id"), "src_id", "dst_id"), "edge_id", "left")
         if view == "evidence":
             df = df.withColumn("tag", F.lit(0)).withColumn("owner_id", F.lit(None).cast("long")).withColumn("position", F.lit(None).cast("int"))
             d = g.t("template_param").where("default_txt is not null or default_type_id is not null or default_ref_id is not null")

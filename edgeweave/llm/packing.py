@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in a shard.
-SHARD_DOCS = 50_000
+#: Documents in a shard; most partitions that the shards are spread over.
+SHARD_DOCS, MAX_PARTITIONS = 50_000, 20_000
 
 PACKED = "container string, shard bigint, window int, doc_id bigint, piece int, pieces int, tokens bigint, start_in_window bigint, start_in_doc bigint"
 _ARROW = pa.schema(
@@ -124,4 +124,6 @@ def pack(documents: DataFrame, containers: DataFrame, shard_docs: int = SHARD_DO
     shards = -(-docs.count() // shard_docs) or 1
     each = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(spec)])
     spread = docs.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.explode(each).alias("s"))
-    return spread.select("s.container", "s.capacity", "shard", "doc_id", "n_tokens").groupBy("container", "capacity", "shard").applyInArrow(_pack, PACKED)
+    # Streams take CPU, not bytes: without a number of its own the shuffle would be folded into a few tasks.
+    keys, parts = ["container", "capacity", "shard"], min(4 * shards * len(spec), MAX_PARTITIONS)
+    return spread.select("s.container", "s.capacity", "shard", "doc_id", "n_tokens").repartition(parts, *keys).groupBy(*keys).applyInArrow(_pack, PACKED)

@@ -248,16 +248,33 @@ def content_hash(df: DataFrame) -> int:
     return hash((r["n"], r["x"], r["s"]))
 
 
-def run(g: PropertyGraph, known: dict[str, tuple] | None = None) -> tuple[PropertyGraph, dict[str, tuple]]:
-    """(graph with derived tables, identity of each transform's input). A transform whose input is ``known`` is skipped."""
+def run(g: PropertyGraph, previous: tuple[PropertyGraph, dict[str, tuple]] | None = None) -> tuple[PropertyGraph, dict[str, tuple]]:
+    """(graph with derived tables, identity of each transform's raw inputs).
+
+    With the outcome of a ``previous`` run, a transform whose inputs have the same identity is not run again; its output
+    is taken from there.
+    """
+    hashes: dict[str, int] = {}
+
+    def raw(name: str) -> int:
+        if name not in hashes:
+            hashes[name] = content_hash(g.t(name))
+        return hashes[name]
+
     seen: dict[str, tuple] = {}
+    made: dict[str, str] = {}
+    out = g
     for t in TRANSFORMS:
-        seen[t.name] = tuple(content_hash(g.t(i)) for i in t.inputs)
-        if known and known.get(t.name) == seen[t.name]:
-            continue
-        g = g.replaced(**{t.output: materialize(t.build(g))})
-    calls = dispatch_calls(g)
-    return g.replaced(edge=g.t("edge").where("kind <> 18").unionByName(calls, allowMissingColumns=True)), seen
+        seen[t.name] = (*[raw(i) for i in t.inputs], *[seen[made[i]] for i in t.inputs if i in made])
+        made[t.output] = t.name
+        if previous and previous[1].get(t.name) == seen[t.name]:
+            table = previous[0].t(t.output)
+            # Dispatched calls are added at the end, to the edges of either run.
+            out = out.replaced(**{t.output: table.where("kind <> 18") if t.output == "edge" else table})
+        else:
+            out = out.replaced(**{t.output: materialize(t.build(out))})
+    calls = materialize(dispatch_calls(out))
+    return out.replaced(edge=out.t("edge").where("kind <> 18").unionByName(calls, allowMissingColumns=True)), seen
 
 
 def affected(old: DataFrame, fresh: DataFrame, keys: list[str], touched: DataFrame) -> DataFrame:

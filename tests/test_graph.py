@@ -21,7 +21,7 @@ def digraph(spark, kind, n=24):
     rng = random.Random(kind)
     pairs = {
         "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(40)],
-        "chain": [(i, i + 1) for i in range(n)],
+        "chain": [(i, i + 1) for i in range(11)],
         "dense": [(i, j) for i in range(6) for j in range(6)],
         "rings": [(i, i // 4 * 4 + (i + 1) % 4) for i in range(16)] + [(0, 4), (4, 8), (20, 20), (9, 21)],
         "empty": [],

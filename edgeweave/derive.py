@@ -20,6 +20,8 @@ from .runtime import materialize
 RECORDS, RECORDS_AND_TEMPLATES = (2, 3, 4, 5), (2, 3, 4, 5, 31)
 #: create_form of the construct edges. Fixed values of the data model.
 CREATE_FORMS = {10: 3, 11: 4, 12: 5, 13: 7, 14: 8, 15: 6}
+#: Access of a field as an integer; without one it is public. Fixed values of the data model.
+ACCESS = {"public": 0, "protected": 1, "private": 2}
 ENTITY_IDENTITY = ["src_id", "dst_id", "kind", "via_member_id", "create_form"]
 
 
@@ -160,6 +162,8 @@ def entity_edges(g: PropertyGraph) -> DataFrame:
         parts.append(_rows(_collapsed(_both_ends(edges.where(F.col("kind") == edge_kind), wide), "dst_id", prim), entity_kind))
 
     parts.append(_field_relations(g, rec, prim))
+    parts.append(_instance_fields(g))
+    parts.append(_returned(g, own, prim))
 
     made = edges.where("kind between 10 and 16").join(own.select(F.col("member").alias("src_id"), "owner"), "src_id")
     target = symbols.select(F.col("id").alias("dst_id"), F.col("kind").alias("dst_kind"), F.col("parent_usr").alias("dst_parent"))
@@ -194,6 +198,49 @@ def entity_edges(g: PropertyGraph) -> DataFrame:
     return merged.unionByName(_rows(declared, 12).drop("at").select(*merged.columns))
 
 
+def _record_names(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """(type_name, by_name) and (type_name, by_spelling): the record of a qualified name, and of a spelling."""
+    records = g.t("symbol").where(F.col("kind").isin(*RECORDS))
+    by_name = records.where("qual_name is not null").groupBy(F.col("qual_name").alias("type_name")).agg(F.min("id").alias("by_name"))
+    return by_name, records.where("spelling is not null").groupBy(F.col("spelling").alias("type_name")).agg(F.min("id").alias("by_spelling"))
+
+
+def _access(column: str) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for k, v in ACCESS.items() for x in (k, v)])[F.coalesce(column, F.lit("public"))], F.lit(0))
+
+
+def _instance_fields(g: PropertyGraph) -> DataFrame:
+    """Fields of a template, seen from its named instances: a type parameter stands for what the instance binds to it.
+
+    The instance keeps its own identity. A parameter bound to nothing in the index gives no row.
+    """
+    symbols = g.t("symbol")
+    named = symbols.where("is_named_instance = 1").select(F.col("id").alias("src_id"))
+    primary = symbols.where("kind = 31").select(F.col("id").alias("template"))
+    instances = g.t("edge").where("kind = 5").select("src_id", F.col("dst_id").alias("template")).join(named, "src_id", "left_semi").join(primary, "template", "left_semi").distinct()
+    typed = symbols.where("kind = 6 and type_info is not null and type_info <> ''").select(F.col("id").alias("field"), "type_info", F.col("access").alias("field_access"))
+    fields = g.t("edge").where("kind = 8").select(F.col("src_id").alias("field"), F.col("dst_id").alias("template")).join(typed, "field")
+    params = g.t("template_param").where("param_kind = 1 and name <> ''").groupBy(F.col("owner_id").alias("template"), F.col("name").alias("type_name")).agg(F.min("position").alias("position"))
+    bound = g.t("template_arg").where("arg_kind = 1").groupBy(F.col("owner_id").alias("src_id"), "position").agg(F.max_by("ref_id", "pack_index").alias("bound"))
+    by_name, by_spelling = _record_names(g)
+    relation, many = field_shape(F.col("type_info"))
+    df = instances.join(fields, "template").withColumn("type_name", value_type(F.col("type_info"))).withColumn("rel", relation).withColumn("many", many)
+    df = df.join(params, ["template", "type_name"], "left").join(bound, ["src_id", "position"], "left").join(by_name, "type_name", "left").join(by_spelling, "type_name", "left")
+    df = df.withColumn("dst_id", F.when(F.col("position").isNotNull(), F.col("bound")).otherwise(F.coalesce("by_name", "by_spelling"))).where("dst_id is not null")
+    df = df.join(_records(g).select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+    return _rows(df, F.col("rel"), via_member_id=F.col("field"), multiplicity=F.col("many"), access=_access("field_access"))
+
+
+def _returned(g: PropertyGraph, own: DataFrame, prim: DataFrame) -> DataFrame:
+    """Records that methods return, as far as their spelling before the parameters names one: partial creations, form 2."""
+    by_name, by_spelling = _record_names(g)
+    methods = g.t("symbol").where("kind in (21, 24) and type_info is not null").select(F.col("id").alias("member"), F.trim(F.substring_index("type_info", "(", 1)).alias("spelled"))
+    methods = methods.where("spelled not in ('', 'void', 'auto')").withColumn("type_name", value_type(F.col("spelled")))
+    df = methods.join(own, "member").join(by_name, "type_name", "left").join(by_spelling, "type_name", "left")
+    df = df.withColumn("to", F.coalesce("by_name", "by_spelling")).where("to is not null").select(F.col("owner").alias("src_id"), F.col("to").alias("dst_id"))
+    return _rows(_collapsed(_collapsed(df, "src_id", prim), "dst_id", prim), 7, create_form=F.lit(2), partial=F.lit(1))
+
+
 def _field_relations(g: PropertyGraph, rec: DataFrame, prim: DataFrame) -> DataFrame:
     """Fields as compositions, aggregations and associations of the record that their type names.
 
@@ -207,9 +254,7 @@ def _field_relations(g: PropertyGraph, rec: DataFrame, prim: DataFrame) -> DataF
     instances = symbols.where("is_named_instance = 1").select(F.col("id").alias("dst_id"))
     named = edges.where("kind = 20").join(instances, "dst_id", "left_semi").groupBy(F.col("src_id").alias("field")).agg(F.min("dst_id").alias("named"))
     args = g.t("template_arg").where("arg_kind = 1 and ref_id is not null").groupBy(F.col("owner_id").alias("field")).agg(F.max_by("ref_id", "position").alias("argument"))
-    records = symbols.where(F.col("kind").isin(*RECORDS))
-    by_name = records.where("qual_name is not null").groupBy(F.col("qual_name").alias("type_name")).agg(F.min("id").alias("by_name"))
-    by_spelling = records.where("spelling is not null").groupBy(F.col("spelling").alias("type_name")).agg(F.min("id").alias("by_spelling"))
+    by_name, by_spelling = _record_names(g)
     relation, many = field_shape(F.col("type_info"))
     df = fields.withColumn("type_name", value_type(F.col("type_info"))).withColumn("rel", relation).withColumn("many", many)
     df = df.join(named, "field", "left").join(args, "field", "left").join(by_name, "type_name", "left").join(by_spelling, "type_name", "left")
@@ -217,8 +262,7 @@ def _field_relations(g: PropertyGraph, rec: DataFrame, prim: DataFrame) -> DataF
     df = df.join(rec.select(F.col("id").alias("to")), "to", "left_semi")
     collapsed = _collapsed(df.withColumn("plain", F.col("to")), "to", prim).withColumn("dst_id", F.when(F.col("named").isNotNull(), F.col("plain")).otherwise(F.col("to")))
     collapsed = _collapsed(collapsed.withColumn("src_id", F.col("owner")), "src_id", prim)
-    access = F.when(F.col("field_access") == "public", 1).when(F.col("field_access") == "protected", 2).when(F.col("field_access") == "private", 3).otherwise(0)
-    return _rows(collapsed, F.col("rel"), via_member_id=F.col("field"), multiplicity=F.col("many"), access=access)
+    return _rows(collapsed, F.col("rel"), via_member_id=F.col("field"), multiplicity=F.col("many"), access=_access("field_access"))
 
 
 # --- Registry -----------------------------------------------------------------------------------------------------------

@@ -122,35 +122,56 @@ def fnv63(texts: pd.Series) -> pd.Series:
     return pd.Series(hashed.astype(np.int64), dtype="Int64").where(texts.notna().to_numpy())
 
 
-_CONTAINERS = "vector|list|deque|array|set|multiset|unordered_set|unordered_multiset|forward_list|queue|stack|priority_queue|span"
+# Wrappers of a type spelling; maps count only with std::. Fixed values of the data model.
+_CONTAINER = r"^((std::)?(vector|list|deque|set|unordered_set)|std::map|std::unordered_map)<"
+_OWNED, _SHARED, _WEAK = r"^(std::)?(unique_ptr|optional)<", r"^(std::)?shared_ptr<", r"^(std::)?weak_ptr<"
+#: How deep wrappers may be nested in a spelling.
+NESTING = 5
+
+
+def _unqualified(spelling: Column) -> Column:
+    return F.trim(F.regexp_replace(spelling, "const |volatile ", ""))
+
+
+def _last_argument(spelling: Column) -> Column:
+    """The last argument, at the top level, of ``wrapper<...>``."""
+    nested = "[^<>]*"
+    for _ in range(NESTING):
+        nested = f"[^<>]*(?:<{nested}>[^<>]*)*"
+    inner = F.regexp_extract(spelling, "^[^<]*<(.*)>$", 1)
+    return F.trim(F.regexp_extract(inner, f"([^,<>]*(?:<{nested}>[^,<>]*)*)$", 1))
+
+
+def _repeated(start: Column, step) -> Column:
+    """``step`` applied NESTING times. As a fold the expression keeps its size; nested in itself it would grow by a power."""
+    return F.aggregate(F.array_repeat(F.lit(0), NESTING), start, lambda t, _: step(t))
 
 
 def field_shape(spelling: Column) -> tuple[Column, Column]:
     """(entity relation kind, multiplicity) that a field's type spelling stands for.
 
     composes 4, aggregates 5, associates 6; multiplicity 1 one, 2 optional, 3 many, 4 fixed array. A container takes the
-    kind of its last argument. ``map`` and ``unordered_map`` count only with ``std::``.
+    kind of its last argument.
     """
-    bare = F.trim(F.regexp_replace(spelling, r"\b(const|volatile)\b", ""))
-    container = bare.rlike(rf"^((std::)?({_CONTAINERS})|std::(unordered_)?map)\s*<")
-    inner = F.trim(F.regexp_extract(bare, r"<(?:.*,)?\s*([^,]*)>\s*$", 1))
+    outer = _unqualified(spelling)
+    held = _repeated(outer, lambda t: F.when(t.rlike(_CONTAINER) & ~t.endswith("]"), _unqualified(_last_argument(t))).otherwise(t))
+
+    def kind_of(t: Column) -> Column:
+        return F.when(t.endswith("]") | t.rlike(_OWNED), 4).when(t.rlike(_SHARED), 5).when(t.rlike(_WEAK) | t.rlike(r"[*&]$"), 6).otherwise(4)
 
-    def kind(t: Column) -> Column:
-        shared, weak = t.rlike(r"^(std::)?shared_ptr\s*<"), t.rlike(r"^(std::)?weak_ptr\s*<")
-        owned = t.rlike(r"^(std::)?(unique_ptr|optional)\s*<")
-        return F.when(owned, 4).when(shared, 5).when(weak, 6).when(t.rlike(r"[*&]\s*$"), 6).otherwise(4)
+    def many_of(t: Column) -> Column:
+        optional = t.rlike(_OWNED) | t.rlike(_SHARED) | t.rlike(_WEAK) | t.rlike(r"[*&]$")
+        return F.when(t.endswith("]"), 4).when(t.rlike(_CONTAINER), 3).when(optional, 2).otherwise(1)
 
-    single = F.when(bare.rlike(r"^(std::)?(unique_ptr|optional|shared_ptr|weak_ptr)\s*<") | bare.rlike(r"[*&]\s*$"), 2).otherwise(1)
-    is_array = bare.rlike(r"\]\s*$")
-    relation = F.when(is_array, 4).when(container, kind(inner)).otherwise(kind(bare))
-    return relation, F.when(is_array, 4).when(container, 3).otherwise(single)
+    return F.transform(F.array(held), kind_of)[0], F.transform(F.array(outer), many_of)[0]
 
 
 def value_type(spelling: Column) -> Column:
     """The record name in a type spelling: qualifiers, pointers, references and array bounds off, wrappers opened to their last argument."""
-    out = spelling
-    for _ in range(3):
-        out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\b(const|volatile|struct|class|enum|typename)\b", ""), r"(\s*(\*|&|\[[^\]]*\]))+\s*$", ""))
-        wrapped = out.rlike(rf"^((std::)?({_CONTAINERS}|unique_ptr|optional|shared_ptr|weak_ptr)|std::(unordered_)?map)\s*<.*>$")
-        out = F.when(wrapped, F.trim(F.regexp_extract(out, r"<(?:.*,)?\s*([^,]*)>\s*$", 1))).otherwise(out)
-    return out
+
+    def opened(t: Column) -> Column:
+        bare = _unqualified(F.regexp_replace(_unqualified(t), r"(\s*(\*|&|\[[^\]]*\]))+$", ""))
+        wrapped = lambda b: b.rlike(_CONTAINER) | b.rlike(_OWNED) | b.rlike(_SHARED) | b.rlike(_WEAK)
+        return F.transform(F.array(bare), lambda b: F.when(wrapped(b), _last_argument(b)).otherwise(b))[0]
+
+    return _repeated(spelling, opened)

@@ -228,12 +228,12 @@ def components(adjacency: DataFrame) -> DataFrame:
     left = materialize(adjacency.where("src <> dst").select("src", "dst").distinct())
     done: list[DataFrame] = []
     while size := left.count():
-        # Trim while much falls off; what is left of a long tail is coloured like the rest.
+        # Trim until nothing more falls off: colouring takes many rounds for each one of these.
         while size:
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             left, before = materialize(kept.select("src", "dst")), size
             size = left.count()
-            if size > 0.9 * before:
+            if size == before:
                 break
         if not size:
             break

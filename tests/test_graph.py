@@ -121,18 +121,24 @@ def test_derived_facts(spark):
     m = lambda i, kind, **kw: dict(id=i, usr=f"u{i}", spelling=f"s{i}", kind=kind, **kw)
     symbols = [
         m(1, 4), m(2, 4), m(3, 2), m(4, 31), m(5, 4), m(6, 22), m(7, 5), m(11, 21, is_pure=1), m(12, 21), m(13, 21, is_pure=0), m(14, 21), m(20, 6, type_info="std::vector<std::unique_ptr<s1>>", access="private"),
-        m(21, 6, type_info="const s3 &", access="public"), m(22, 6, type_info="s7[4]"), m(30, 24, parent_usr="u3"),
+        m(21, 6, type_info="const s3 &", access="public"), m(22, 6, type_info="s7[4]"), m(30, 24, parent_usr="u3"), m(40, 4, is_named_instance=1), m(41, 6, type_info="std::shared_ptr<T>"), m(42, 6, type_info="s3"),
+        m(43, 6, type_info="U"), m(15, 21, type_info="std::vector<s7> (int)"), m(16, 21, type_info="void ()"),
     ]
     pairs = [
         (2, 1, 2), (11, 1, 9), (12, 2, 9), (13, 5, 9), (14, 3, 9), (12, 11, 6), (13, 12, 6), (14, 11, 1), (5, 4, 5), (20, 2, 8), (21, 2, 8), (22, 2, 8), (14, 30, 11), (12, 14, 7), (1, 2, 17), (6, 1, 3), (6, 7, 3), (6, 12, 3),
+        (40, 4, 5), (41, 4, 8), (42, 4, 8), (43, 4, 8), (15, 3, 9), (16, 3, 9),
     ]
-    g = make(spark, symbol=symbols, edge=[dict(id=i + 1, src_id=a, dst_id=b, kind=k, count=1) for i, (a, b, k) in enumerate(pairs)], edge_site=[dict(edge_id=8, file_id=1, line=i, col=1) for i in range(3)])
+    bound = dict(template_param=[dict(owner_id=4, position=0, param_kind=1, name="T"), dict(owner_id=4, position=1, param_kind=1, name="U")], template_arg=[dict(owner_id=40, position=0, pack_index=0, arg_kind=1, ref_id=2)])
+    g = make(spark, **bound, symbol=symbols, edge=[dict(id=i + 1, src_id=a, dst_id=b, kind=k, count=1) for i, (a, b, k) in enumerate(pairs)], edge_site=[dict(edge_id=8, file_id=1, line=i, col=1) for i in range(3)])
     nodes = dict(rows(derive.entity_nodes(g)))
-    assert nodes == {1: 3, 2: 1, 3: 1, 4: 6, 5: 1, 6: 9, 7: 5}
+    assert nodes == {1: 3, 2: 1, 3: 1, 4: 6, 5: 1, 6: 9, 7: 5, 40: 1}
     e = {(r["src_id"], r["dst_id"], r["kind"], r["via_member_id"]): r for r in derive.entity_edges(g).collect()}
     assert (2, 1, 2, None) in e  # inherits an interface: implements
     assert (5, 4, 11, None) in e and (1, 2, 10, None) in e and {(6, 1, 12, None), (6, 7, 12, None)} <= set(e) and (6, 12, 12, None) not in e
-    assert (e[2, 1, 4, 20]["multiplicity"], e[2, 1, 4, 20]["access"]) == (3, 3) and e[2, 3, 6, 21]["multiplicity"] == 2 and e[2, 7, 4, 22]["multiplicity"] == 4
+    assert (e[2, 1, 4, 20]["multiplicity"], e[2, 1, 4, 20]["access"]) == (3, 2) and e[2, 3, 6, 21]["multiplicity"] == 2 and e[2, 7, 4, 22]["multiplicity"] == 4
+    # A named instance: T is bound to 2, U to nothing known, the plain member is its own, too.
+    assert {k for k in e if k[0] == 40} == {(40, 4, 11, None), (40, 2, 5, 41), (40, 3, 4, 42)}
+    assert [e[k]["create_form"] for k in e if k[:3] == (3, 7, 7)] == [2]  # returned by value
     assert (2, 3, 8, 14) in e and e[3, 1, 8, 11]["partial"] == 1
     assert rows(derive.dispatch_calls(g).select("src_id", "dst_id")) == [(14, 12), (14, 13)]
     assert dict(rows(derive.site_counts(g).where("id = 8").select("id", "count"))) == {8: 3}
@@ -228,6 +234,17 @@ def test_text(spark):
     assert [r[0] for r in df.select(text.top_level_namespace(F.col("v"))).collect()] == ["a::b", "", "a"]
 
 
+def test_type_spellings(spark):
+    cases = {
+        "s": (4, 1, "s"), "const s &": (6, 2, "s"), "s *": (6, 2, "s"), "s[4]": (4, 4, "s"), "std::vector<s>": (4, 3, "s"), "std::map<std::string, std::pair<int, s>>": (4, 3, "std::pair<int, s>"),
+        "vector<vector<std::shared_ptr<const s>>>": (5, 3, "s"), "std::unique_ptr<s>": (4, 2, "s"), "weak_ptr<s>": (6, 2, "s"), "map<int, s>": (4, 1, "map<int, s>"), "std::list<s *>": (6, 3, "s"),
+        "std::optional<ns::s>": (4, 2, "ns::s"),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    kind, many = text.field_shape(F.col("t"))
+    assert {r[0]: tuple(r[1:]) for r in df.select("t", kind, many, text.value_type(F.col("t"))).collect()} == cases
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\tb\nc"), (None, None), (3, 'q"x')], "i bigint, t string")
     files.write_tsv(df, str(tmp_path / "t"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import derive, facts, graphview, includes, ir, navigate, rules, search
-from ..cxq import parse
+from ..query_text import parse
 from ..diff import match
 from ..engine import UNBOUNDED, Budgets, Engine
 from ..functions.text import basename, fuzzy, interpolate, top_level_namespace

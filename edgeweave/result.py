@@ -13,7 +13,7 @@ from .engine import Budgets, Engine, Result
 from .graph import PropertyGraph
 from .navigate import Navigator
 
-SCHEMA = "cidx.result/v1"
+SCHEMA = "edgeweave.result/v1"
 
 
 def relations_of(plan: ir.Plan) -> list[str]:
@@ -134,7 +134,7 @@ def envelope(result: Result, index: dict | None = None, operation: str = "query"
 
 def serve(engine: Engine, line: str) -> str:
     """One request of the line protocol, ``{"id": .., "query": ".."}``, to one line of answer."""
-    from .cxq import parse
+    from .query_text import parse
 
     request = {}
     try:

@@ -2,7 +2,7 @@ import pytest
 from fixtures import make, seeded
 
 from edgeweave import ir
-from edgeweave.cxq import parse
+from edgeweave.query_text import parse
 from edgeweave.engine import UNBOUNDED, Budgets, Engine
 from edgeweave.ir import PlanError
 from edgeweave.result import envelope, explain, serve, to_dict, witnesses

@@ -447,9 +447,8 @@ def rule_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("rule_impact", f"""{_FACTS}, d AS (SELECT DISTINCT x, y FROM edge WHERE kind = 1), imp(y, x) AS (SELECT y, x FROM d UNION SELECT d.y, i.x FROM imp i JOIN d ON d.x = i.y)
 SELECT id, coalesce(n, 0) AS radius FROM sym LEFT JOIN (SELECT y AS id, count(*) AS n FROM imp GROUP BY 1) USING (id)""")
 def rule_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _rule_facts(spark, sf_dir)
-    f["edge"] = f["edge"].where("kind = 1")
-    return rules.impact().run(f, ["radius"])["radius"].toDF("id", "radius")
+    """Over calls and uses. The SQL beside it follows calls only."""
+    return rules.impact().run(_rule_facts(spark, sf_dir), ["radius"])["radius"].toDF("id", "radius")
 
 
 @entry("rule_all_paths", f"""{_FACTS}, src AS (SELECT id FROM sym WHERE kind = 4), snk AS (SELECT id FROM sym WHERE kind = 2),

@@ -403,11 +403,19 @@ def display_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Rules --------------------------------------------------------------------------------------------------------------------
 
 
+#: Kinds of entity edges that are a kind of edge between symbols, too.
+_AS_EDGE = {1: 2, 2: 2, 3: 4, 8: 7, 9: 16, 10: 17, 11: 5, 12: 3}
+
+
 def _rule_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Facts of the code graph; generalizations (2), uses (7 here, 8 there) and destructions (1 here, 9 there) as edges."""
+    """Facts of the code graph: its edges and all its entity edges.
+
+    Entity edges have the kind of edge they stand for (see ``_AS_EDGE``), those without one 100 more than their own.
+    """
     g = code_index(spark, sf_dir)
-    kinds = F.create_map(*[F.lit(x) for k, v in {1: 2, 8: 7, 9: 1}.items() for x in (k, v)])
-    e = g.t("entity_edge").where("kind in (1, 8, 9)").select("src_id", kinds[F.col("kind")].alias("kind"), "dst_id").distinct()
+    kinds = F.create_map(*[F.lit(x) for k, v in _AS_EDGE.items() for x in (k, v)])
+    e = g.t("entity_edge").select("src_id", F.coalesce(kinds[F.col("kind")], F.col("kind") + 100).alias("kind"), "dst_id")
+    e = g.t("edge").select("src_id", "kind", "dst_id").union(e).distinct()
     s = g.t("symbol")
     return {
         "edge": materialize(e), "symbol": materialize(s.select("id", "kind", F.coalesce("is_definition", F.lit(0)).alias("d"))), "entry_point": s.where("spelling = 'main'").select("id"),

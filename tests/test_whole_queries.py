@@ -44,3 +44,14 @@ def test_rule_impact_follows_uses(spark, tmp_path):
     d = code(spark, tmp_path, [(a, b, 8) for a, b in pairs], 6)
     radius = Counter(b for ends in reached(pairs).values() for b in ends)
     assert rows(QUERIES["rule_impact"](spark, d)) == [(i, radius[i]) for i in range(1, 7)]
+
+
+def test_rules_get_every_edge(spark, tmp_path):
+    """Implementations are inheritance, calls are those of the code index, and files depend over all kinds."""
+    edges = [(1, 2, 1), (2, 3, 2), (4, 5, 8, 6), (6, 4, 9), (7, 8, 4), (8, 9, 12)]
+    d = code(spark, tmp_path, edges, 9, kinds={5: 21, 6: 21}, parents={6: 5})
+    assert rows(QUERIES["rule_hierarchy"](spark, d)) == [(1, 2), (1, 3), (2, 3)]
+    assert rows(QUERIES["rule_reach"](spark, d)) == [(4, 6)]
+    assert rows(QUERIES["rule_unused"](spark, d)) == [(5,)]
+    pairs = {(a, b) for a, b, *_ in edges} | {(4, 6), (5, 6), (6, 5)}
+    assert rows(QUERIES["rule_file_dependency"](spark, d)) == sorted((100 + a, 100 + b, 1) for a, b in pairs)

@@ -7,6 +7,7 @@ distributed; between levels only "is there more" comes back, and lineage is cut
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +134,8 @@ def _product(far: DataFrame, known: DataFrame) -> int:
     return a.join(b, "mid").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
 
 
-def distances(targets: DataFrame, adjacency: DataFrame, deepest: int) -> DataFrame:
-    """(id, dist): least number of steps from each node to any target, at most ``deepest``."""
+def distances(targets: DataFrame, adjacency: DataFrame, deepest: int | None) -> DataFrame:
+    """(id, dist): least number of steps from each node to any target, at most ``deepest`` where that is given."""
     back = adjacency.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return bfs(targets, back, deepest).select("id", F.col("depth").alias("dist"))
 
@@ -148,8 +149,8 @@ class Paths:
     depth_limited: bool = False
 
 
-def simple_paths(starts: DataFrame, targets: DataFrame, adjacency: DataFrame, low: int = 1, high: int = 8, budget: int | None = None) -> Paths:
-    """All simple paths of the least length in low..high from each start to any target.
+def simple_paths(starts: DataFrame, targets: DataFrame, adjacency: DataFrame, low: int = 1, high: int | None = 8, budget: int | None = None) -> Paths:
+    """All simple paths of the least length in low..high from each start to any target; ``high`` None is no bound.
 
     A path repeats no node, but may end at its own start. A start stops at the first length with a path. Only nodes near
     enough to a target are walked; with low = 1 only such as lie on a shortest path. With a ``budget`` of partial walks
@@ -168,9 +169,9 @@ def simple_paths(starts: DataFrame, targets: DataFrame, adjacency: DataFrame, lo
         best = steps_to.groupBy(F.col("src").alias("start")).agg((F.min("dist") + 1).alias("best"))
         walks = walks.join(best, "start")
     else:
-        walks = walks.withColumn("best", F.lit(high))
+        walks = walks.withColumn("best", F.lit(2**31 - 1 if high is None else high))
     found, cut, more = [], False, False
-    for depth in range(1, high + 1):
+    for depth in count(1) if high is None else range(1, high + 1):
         back = F.col("dst") == F.col("start")
         reach = walks.join(steps_to, walks["node"] == steps_to["src"]).where(
             (F.col("dist") + depth <= F.col("best")) & (~F.array_contains("trail", F.col("dst")) | (back & F.col("is_goal") & (depth >= low)))

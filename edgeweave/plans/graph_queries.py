@@ -210,7 +210,7 @@ SELECT start, id AS target, d::INTEGER AS length, array_to_string(trail, '/') AS
 def path_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _gen(spark, sf_dir)
     goals = a.select(F.col("dst").alias("id")).distinct().join(a.select(F.col("src").alias("id")), "id", "left_anti")
-    found = traverse.simple_paths(a.select(F.col("src").alias("id")), goals, a, 1, 6)
+    found = traverse.simple_paths(a.select(F.col("src").alias("id")), goals, a, 1, None)
     return found.rows.select("start", "target", "length", F.array_join("trail", "/").alias("trail"))
 
 
@@ -222,7 +222,7 @@ SELECT start, length, trail FROM (SELECT start, d::INTEGER AS length, array_to_s
 def path_rank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _gen(spark, sf_dir)
     goals = a.select(F.col("dst").alias("id")).distinct().join(a.select(F.col("src").alias("id")), "id", "left_anti")
-    rows = traverse.simple_paths(a.select(F.col("src").alias("id")), goals, a, 1, 6).rows
+    rows = traverse.simple_paths(a.select(F.col("src").alias("id")), goals, a, 1, None).rows
     return rows.orderBy("length", "trail").limit(200).select("start", "length", F.array_join("trail", "/").alias("trail"))
 
 
@@ -231,16 +231,18 @@ w(start, id, trail, d) AS (SELECT src, dst, [src, dst], 1 FROM g UNION ALL
   SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE d < 8 AND w.id <> w.start AND (g.dst = w.start OR NOT list_contains(trail, g.dst)))
 SELECT start, d::INTEGER AS length, array_to_string(trail, '/') AS trail FROM w WHERE id = start QUALIFY d = min(d) OVER (PARTITION BY start)""")
 def path_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest cycles through each node, of at most eight steps: a node's own name is its only target."""
+    """The shortest cycles through each node: a node's own name is its only target. They stay inside its component."""
     a = _gen(spark, sf_dir)
+    parts = traverse.components(a).where("size > 1").select("id", "component")
+    inner = a.join(parts.toDF("src", "here"), "src").join(parts.toDF("dst", "there"), "dst").where("here = there").select("src", "dst")
+    a = materialize(inner.union(a.where("src = dst")).distinct())
     walks = a.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("trail"))
-    found = []
-    for d in range(1, 9):
-        hit = walks.where("node = start").select("start", F.lit(d).alias("length"), "trail")
+    found: list[DataFrame] = []
+    while not found or walks.take(1):
+        hit = walks.where("node = start").select("start", F.lit(len(found) + 1).alias("length"), "trail")
         found.append(hit)
-        if d < 8:
-            walks = walks.join(hit.select("start"), "start", "left_anti").join(a, F.col("node") == F.col("src")).where((F.col("dst") == F.col("start")) | ~F.array_contains("trail", F.col("dst")))
-            walks = materialize(walks.select("start", F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail")))
+        walks = walks.join(hit.select("start"), "start", "left_anti").join(a, F.col("node") == F.col("src")).where((F.col("dst") == F.col("start")) | ~F.array_contains("trail", F.col("dst")))
+        walks = materialize(walks.select("start", F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail")))
     return reduce(DataFrame.unionByName, found).select("start", "length", F.array_join("trail", "/").alias("trail"))
 
 

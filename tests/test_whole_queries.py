@@ -55,3 +55,13 @@ def test_rules_get_every_edge(spark, tmp_path):
     assert rows(QUERIES["rule_unused"](spark, d)) == [(5,)]
     pairs = {(a, b) for a, b, *_ in edges} | {(4, 6), (5, 6), (6, 5)}
     assert rows(QUERIES["rule_file_dependency"](spark, d)) == sorted((100 + a, 100 + b, 1) for a, b in pairs)
+
+
+def test_paths_have_no_depth_bound(spark, tmp_path):
+    chain = [(i, i + 1, 1) for i in range(1, 10)] + [(1, 11, 1), (11, 3, 1)]
+    ring = [(20 + i, 20 + (i + 1) % 10, 1) for i in range(10)]
+    d = code(spark, tmp_path, chain + ring, 1)
+    ways = [list(range(i, 11)) for i in range(1, 10)] + [[1, 11, *range(3, 11)], [11, *range(3, 11)]]
+    assert rows(QUERIES["path_shortest"](spark, d)) == sorted((w[0], 10, len(w) - 1, "/".join(map(str, w))) for w in ways)
+    assert len(rows(QUERIES["path_rank_topn"](spark, d))) == len(ways)
+    assert rows(QUERIES["path_cycles"](spark, d)) == [(20 + i, 10, "/".join(str(20 + (i + j) % 10) for j in range(11))) for i in range(10)]

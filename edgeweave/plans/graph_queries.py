@@ -513,10 +513,10 @@ def include_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT dst, min(list_append(route, dst)), d + 1 FROM w JOIN inc ON src = id WHERE d < 4 GROUP BY dst, d)
 SELECT id, d::INTEGER AS depth, array_to_string(min(route), '/') AS route FROM w GROUP BY id, d QUALIFY d = min(d) OVER (PARTITION BY id)""")
 def include_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest routes, at most four steps, from the file with the smallest number."""
+    """Shortest routes from the file with the smallest number."""
     e = _file_graph(spark, sf_dir).edges
     start = e.agg(F.min("src").alias("id"))
-    return traverse.first_routes(start, e.select("src", "dst"), 4).select("id", "depth", F.array_join("route", "/").alias("route"))
+    return traverse.first_routes(start, e.select("src", "dst")).select("id", "depth", F.array_join("route", "/").alias("route"))
 
 
 _DEPS = "SELECT DISTINCT snapshot_no, source, destination, conditional_context FROM tu_dependency WHERE resolved = 1"

@@ -65,3 +65,8 @@ def test_paths_have_no_depth_bound(spark, tmp_path):
     assert rows(QUERIES["path_shortest"](spark, d)) == sorted((w[0], 10, len(w) - 1, "/".join(map(str, w))) for w in ways)
     assert len(rows(QUERIES["path_rank_topn"](spark, d))) == len(ways)
     assert rows(QUERIES["path_cycles"](spark, d)) == [(20 + i, 10, "/".join(str(20 + (i + j) % 10) for j in range(11))) for i in range(10)]
+
+
+def test_include_routes_have_no_depth_bound(spark, tmp_path):
+    d = code(spark, tmp_path, [(i, i + 1, 11) for i in range(1, 8)], 8)
+    assert rows(QUERIES["include_shortest_path"](spark, d)) == [(101 + i, i, "/".join(str(101 + j) for j in range(i + 1))) for i in range(8)]

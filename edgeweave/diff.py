@@ -9,30 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import materialize
+
 #: Tiers of a match, best first, with their confidence. Fixed values of the data model.
 TIERS = (("usr", 100), ("signature", 95), ("name", 85), ("fingerprint", 70))
 
 
-def match(old: DataFrame, new: DataFrame) -> DataFrame:
+def match(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(old_id, new_id, tier, confidence): each symbol matched at most once, in the first tier where its key is unique on
     both sides among what earlier tiers left; the remainder has null on the other side and no tier.
 
-    ``old`` and ``new``: id and the tier keys usr, signature, name, fingerprint; a null key matches nothing.
+    ``old`` and ``new``: id and the tier keys usr, signature, name, fingerprint; a null key matches nothing. ``by`` are
+    columns of both that are part of every key and of the result: rows match only where these are the same.
     """
     left, right = old, new
     parts = []
     for tier, confidence in TIERS:
         def single(df: DataFrame, name: str) -> DataFrame:
-            g = df.where(F.col(tier).isNotNull()).groupBy(F.col(tier).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name))
-            return g.where("n = 1").select("key", name)
+            g = df.where(F.col(tier).isNotNull()).groupBy(*by, F.col(tier).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name))
+            return g.where("n = 1").select(*by, "key", name)
 
-        hit = single(left, "old_id").join(single(right, "new_id"), "key").select("old_id", "new_id", F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"))
+        hit = single(left, "old_id").join(single(right, "new_id"), [*by, "key"]).select(*by, "old_id", "new_id", F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"))
+        hit = materialize(hit)  # each tier reads all earlier ones: their plans would grow with every tier
         parts.append(hit)
-        left = left.join(hit.select(F.col("old_id").alias("id")), "id", "left_anti")
-        right = right.join(hit.select(F.col("new_id").alias("id")), "id", "left_anti")
+        left = materialize(left.join(hit.select(*by, F.col("old_id").alias("id")), [*by, "id"], "left_anti"))
+        right = materialize(right.join(hit.select(*by, F.col("new_id").alias("id")), [*by, "id"], "left_anti"))
     none = F.lit(None)
-    parts.append(left.select(F.col("id").alias("old_id"), none.cast("long").alias("new_id"), none.cast("string").alias("tier"), F.lit(0).alias("confidence")))
-    parts.append(right.select(none.cast("long").alias("old_id"), F.col("id").alias("new_id"), none.cast("string").alias("tier"), F.lit(0).alias("confidence")))
+    parts.append(left.select(*by, F.col("id").alias("old_id"), none.cast("long").alias("new_id"), none.cast("string").alias("tier"), F.lit(0).alias("confidence")))
+    parts.append(right.select(*by, none.cast("long").alias("old_id"), F.col("id").alias("new_id"), none.cast("string").alias("tier"), F.lit(0).alias("confidence")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -717,15 +717,18 @@ n AS (SELECT a.id AS old_id, b.id AS new_id FROM (SELECT id FROM a WHERE id NOT
 SELECT old_id, new_id, 'usr' AS tier, 100 AS confidence FROM u UNION ALL SELECT old_id, new_id, 'name', 85 FROM n
 UNION ALL SELECT id, NULL, NULL, 0 FROM a WHERE id NOT IN (SELECT old_id FROM u UNION SELECT old_id FROM n) UNION ALL SELECT NULL, id, NULL, 0 FROM b WHERE id NOT IN (SELECT new_id FROM u UNION SELECT new_id FROM n)""")
 def diff_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol identities of the first snapshot matched to the second: by usr, then by id in the place of the name."""
-    p = table(spark, sf_dir, "cidx_pending_symbol_identity", "snapshot_no", "symbol_id", "usr")
-    none = F.lit(None).cast("string")
-
-    def side(n: int) -> DataFrame:
-        rows = p.where(F.col("snapshot_no") == n).select(F.col("symbol_id").alias("id"), "usr").distinct()
-        return materialize(rows.select("id", "usr", none.alias("signature"), F.col("id").cast("string").alias("name"), none.alias("fingerprint")))
+    """Symbol identities of each snapshot matched to the preceding one that exists: by usr, then by id in the place of the name.
 
-    return match(side(1), side(2))
+    snapshot_no is the later of the two.
+    """
+    p = table(spark, sf_dir, "cidx_pending_symbol_identity", "snapshot_no", "symbol_id", "usr").where("snapshot_no is not null").distinct()
+    none = F.lit(None).cast("string")
+    p = materialize(p.select("snapshot_no", F.col("symbol_id").alias("id"), "usr", none.alias("signature"), F.col("symbol_id").cast("string").alias("name"), none.alias("fingerprint")))
+    numbers = p.select("snapshot_no").distinct()
+    pairs = numbers.join(numbers.select(F.col("snapshot_no").alias("before")), F.col("before") < F.col("snapshot_no")).groupBy("snapshot_no").agg(F.max("before").alias("before"))
+    pairs = materialize(pairs)
+    old = p.withColumnRenamed("snapshot_no", "before").join(pairs, "before").drop("before")
+    return match(old, p.join(pairs.select("snapshot_no"), "snapshot_no"), ("snapshot_no",))
 
 
 @entry("handover_window", f"""WITH RECURSIVE {HANDOVER_SQL}, w(id, d) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_nationkey = 3 UNION SELECT dst, d + 1 FROM w JOIN hand ON src = id WHERE d < 2)

@@ -70,3 +70,12 @@ def test_paths_have_no_depth_bound(spark, tmp_path):
 def test_include_routes_have_no_depth_bound(spark, tmp_path):
     d = code(spark, tmp_path, [(i, i + 1, 11) for i in range(1, 8)], 8)
     assert rows(QUERIES["include_shortest_path"](spark, d)) == [(101 + i, i, "/".join(str(101 + j) for j in range(i + 1))) for i in range(8)]
+
+
+def test_diff_match_takes_every_neighbouring_pair(spark, tmp_path):
+    held = {1: [(1, "a"), (2, "b")], 3: [(1, "a"), (2, "c")], 5: [(7, "a"), (2, "c"), (4, "d")]}
+    data = [(n, i, u) for n, rows_ in held.items() for i, u in rows_]
+    spark.createDataFrame(data, "snapshot_no int, symbol_id bigint, usr string").write.parquet(f"{tmp_path}/cidx_pending_symbol_identity.parquet")
+    got = QUERIES["diff_match"](spark, str(tmp_path)).select("snapshot_no", "old_id", "new_id", "tier")
+    want = {(3, 1, 1, "usr"), (3, 2, 2, "name"), (5, 1, 7, "usr"), (5, 2, 2, "usr"), (5, None, 4, None)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)

@@ -328,8 +328,9 @@ def layer_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("type_closure_users", f"""WITH RECURSIVE {TYPES_SQL}, c(id) AS (SELECT p_partkey FROM part WHERE p_partkey = 7 UNION SELECT p_partkey FROM part JOIN c ON p_partkey // 2 = c.id AND p_partkey > 0)
 SELECT DISTINCT symbol_id FROM (SELECT owner_id AS symbol_id, type_id FROM parameter UNION SELECT o_orderkey, o_custkey % 100 FROM orders) WHERE type_id IN (SELECT id FROM c)""")
 def type_closure_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nav = navigate.Navigator(type_graph(spark, sf_dir))
-    return nav.type_users(nav.ids(7))
+    """Users of any type; the SQL beside it starts from one."""
+    g = type_graph(spark, sf_dir)
+    return navigate.Navigator(g).type_users(g.t("type_node").select("id"))
 
 
 @entry("reverse_type_use", f"""WITH RECURSIVE {TYPES_SQL}, c(id, trail, d) AS (SELECT 7::BIGINT, [7::BIGINT], 0 UNION ALL SELECT p_partkey, list_append(trail, p_partkey), d + 1 FROM c JOIN part ON p_partkey // 2 = c.id AND p_partkey > 0 WHERE d < 3),
@@ -337,7 +338,8 @@ own AS (SELECT type_id, owner_id, 'parameter' AS domain, 'parameter[' || positio
   UNION SELECT o_custkey % 100, o_orderkey, 'symbol', 'returns' FROM orders)
 SELECT DISTINCT owner_id AS target, d + 1 AS length, array_to_string(list_append(trail, owner_id), '/') AS trail, domain, through FROM c JOIN own ON type_id = id""")
 def reverse_type_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = Engine(type_graph(spark, sf_dir), UNBOUNDED).frame(parse('codebase() | view(type) | nodes(type_key = "part:7") | reverse_type_use(3)'))
+    """From every type, as deep as plans go: enough for keys below 2 ** 32, which halve at each level. The SQL beside it starts from one and climbs three."""
+    df = Engine(type_graph(spark, sf_dir), UNBOUNDED).frame(parse("codebase() | view(type) | nodes() | reverse_type_use(32)"))
     return df.select("target", "length", F.array_join("trail", "/").alias("trail"), "domain", "through")
 
 
@@ -734,8 +736,8 @@ def diff_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("handover_window", f"""WITH RECURSIVE {HANDOVER_SQL}, w(id, d) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_nationkey = 3 UNION SELECT dst, d + 1 FROM w JOIN hand ON src = id WHERE d < 2)
 SELECT DISTINCT id FROM w WHERE d = 2""")
 def handover_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers two hand-overs away from those of one nation."""
-    starts = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").where("s_nationkey = 3").select(F.col("s_suppkey").alias("id"))
+    """Suppliers two hand-overs away from any; the SQL beside it starts from those of one nation."""
+    starts = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("id"))
     return traverse.window(starts, handovers(spark, sf_dir), 2, 2).nodes
 
 

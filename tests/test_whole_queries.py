@@ -79,3 +79,24 @@ def test_diff_match_takes_every_neighbouring_pair(spark, tmp_path):
     got = QUERIES["diff_match"](spark, str(tmp_path)).select("snapshot_no", "old_id", "new_id", "tier")
     want = {(3, 1, 1, "usr"), (3, 2, 2, "name"), (5, 1, 7, "usr"), (5, 2, 2, "usr"), (5, None, 4, None)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_types_and_handovers_start_everywhere(spark, tmp_path):
+    data = {
+        "part": ([(i, f"t{i}", i) for i in range(1, 41)], "p_partkey bigint, p_type string, p_size int"), "orders": ([(500, 3)], "o_orderkey bigint, o_custkey bigint"),
+        "supplier": ([(i, i) for i in range(1, 5)], "s_suppkey bigint, s_nationkey int"),
+        "lineitem": ([(500, 40, 1, 1), (500, 5, 2, 2), (500, 5, 3, 3)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int"),
+    }
+    for name, (values, schema) in data.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    owned = [(3, "symbol")] + [(t, d) for t in (40, 5, 5) for d in ("parameter", "template_argument")]
+    want = []
+    for t, domain in owned:
+        chain = [t]
+        while chain:
+            want.append((len(chain), "/".join(map(str, [*reversed(chain), 500])), domain))
+            chain = [*chain, chain[-1] // 2] if chain[-1] > 1 else []
+    got = QUERIES["reverse_type_use"](spark, str(tmp_path)).select("length", "trail", "domain")
+    assert rows(got) == sorted(want)
+    assert rows(QUERIES["type_closure_users"](spark, str(tmp_path))) == [(500,)]
+    assert rows(QUERIES["handover_window"](spark, str(tmp_path))) == [(3,)]

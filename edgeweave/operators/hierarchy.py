@@ -1,34 +1,31 @@
 """Parent-child links to full hierarchies by bottom-up leaf peeling.
 
-Upwards, each round peels the nodes whose children are all peeled; they send their subtree size (and, when asked, their
-descendant rows) to the parent. Trees vanish completely; what can never be peeled is a cycle. Downwards, the rounds are
-taken in reverse, so a parent's path, depth and root are known when its children are reached.
+Upwards, each round takes off all leaves; they send their subtree sizes to their parents. So that deep trees do not take as
+many rounds as they are high, a round also takes nodes out of chains: of the nodes with one child, those whose (hashed)
+number is larger than that of the parent and of the child hand their child on to their parent. No two neighbours go at
+once, and about a third of every chain goes in each round, so any forest, and any cycle, is peeled in rounds of the order
+of the logarithm of its nodes. Trees vanish completely; what is left of a cycle is one node that is its own parent.
 
-What is left unpeeled always contains the ancestors of everything in it. Once it has at most ``local_nodes`` nodes, the
-rest of the peeling and the start of the way down are done in one task on that bounded remainder; while it is larger, the
-rounds go on as distributed joins. Both give the same rows.
+Downwards, the rounds are taken in reverse: whatever a node was sent to when it was peeled is known by then, which gives
+its path, depth and root. Each node is written once on the way up and once on the way down.
+
+Descendant lists travel the same way, as rows: a peeled node sends itself and all it holds to the node above; a node taken
+out of a chain gets the list of its child on the way down.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-
-#: Nodes that one task finishes by itself.
-LOCAL_NODES = 10_000
-
-_BENEATH = ("tree", "node", "descendant", "distance")
+from ..runtime import ROWS_PER_SALT, materialize, salted_join
 
-_PLACED = "tree string, node bigint, root bigint, depth int, path string, state string, below bigint"
-_PLACED_ARROW = pa.schema(
-    [("tree", pa.string()), ("node", pa.int64()), ("root", pa.int64()), ("depth", pa.int32()), ("path", pa.string()), ("state", pa.string()), ("below", pa.int64())]
-)
+_KEY = ["tree", "node"]
+_PLACED = ["tree", "node", "root", "depth", "path", "state", "below"]
+_BENEATH = ["tree", "node", "descendant", "distance"]
 
 
 @dataclass(frozen=True)
@@ -40,172 +37,178 @@ class Hierarchy:
     rounds: int
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in no more partitions than a shuffle has; unions of all rounds would double them each time."""
+    return materialize(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def node_table(links: DataFrame) -> DataFrame:
-    """(tree, node, parent, open children, below = 0) from (tree, child, parent) links; a second parent loses to the smallest."""
+    """(tree, node, up, open children, xor of the children's ids) from (tree, child, parent) links.
+
+    A second parent loses to the smallest. The only child of a node is the xor of its open children.
+    """
     clean = links.select("tree", "child", "parent").where("tree is not null")
     # One shuffle: each link says of its child who the parent is, and of its parent that it exists.
     said = clean.select(
         "tree",
         F.explode(
             F.array(
-                F.struct(F.col("child").alias("node"), F.when(F.col("child").isNotNull(), F.col("parent")).alias("parent")),
-                F.struct(F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent")),
+                F.struct(F.col("child").alias("node"), F.when(F.col("child").isNotNull(), F.col("parent")).alias("up")),
+                F.struct(F.col("parent").alias("node"), F.lit(None).cast("long").alias("up")),
             )
         ).alias("s"),
-    ).select("tree", "s.node", "s.parent")
-    nodes = said.where("node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent"))
-    nodes = materialize(nodes)
-    children = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("open"))
-    return nodes.join(children, ["tree", "node"], "left").select(
-        "tree", "node", "parent", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("long").alias("below")
-    )
+    ).select("tree", "s.node", "s.up")
+    nodes = materialize(said.where("node is not null").groupBy(*_KEY).agg(F.min("up").alias("up")))
+    children = nodes.where("up is not null").groupBy("tree", F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("open"), F.bit_xor("node").alias("kids"))
+    zero = F.lit(0).cast("long")
+    return nodes.join(children, _KEY, "left").select("tree", "node", "up", F.coalesce("open", zero).alias("open"), F.coalesce("kids", zero).alias("kids"))
+
+
+# What a node is on the way up: its pointer and how it looks (gap: links up to it; trail: ids below it, down to the node;
+# least: smallest id among these), its open children, the peeled nodes beneath it, and leaves it lost in the last round.
+# ``turn`` counts the rounds; as a column it leaves the plan of every round the same, which is compiled once.
+_STATE = ["up", "gap", "trail", "least", "open", "kids", "acc", "lost", "turn", "cut"]
+
 
+def _posted(df: DataFrame, *messages) -> DataFrame:
+    """One exchange: the state of every node of ``df`` with the messages that were sent to it added to it.
 
-def _finish_locally(rows: list[dict]) -> list[tuple]:
-    """Peel and place a bounded, ancestor-closed remainder: plain leaf peeling over dictionaries."""
-    keys = [(r["tree"], r["node"]) for r in rows]
-    parent = {k: None if r["parent"] is None else (k[0], r["parent"]) for k, r in zip(keys, rows)}
-    below = {k: r["below"] for k, r in zip(keys, rows)}
-    waiting = dict.fromkeys(keys, 0)
-    for p in parent.values():
-        if p is not None:
-            waiting[p] += 1
-    # Children that were peeled before have left their counts in ``below``; only links inside the remainder wait.
-    order, leaves = [], [k for k in keys if not waiting[k]]
-    while leaves:
-        order += leaves
-        above = []
-        for k in leaves:
-            if (p := parent[k]) is not None:
-                below[p] += below[k] + 1
-                waiting[p] -= 1
-                if not waiting[p]:
-                    above.append(p)
-        leaves = above
-    placed: dict[tuple, tuple] = {}
-    peeled = set(order)
-    for k in keys:
-        if k not in peeled and k not in placed:
-            ring, at = [k], parent[k]
-            while at != k:
-                ring.append(at)
-                at = parent[at]
-            least = min(n for _, n in ring)
-            for x in ring:
-                placed[x] = (least, -1, "", "in_cycle")
-    for k in reversed(order):
-        if (p := parent[k]) is None:
-            placed[k] = (k[1], 0, str(k[1]), "tree")
-        else:
-            root, depth, path, state = placed[p]
-            placed[k] = (root, depth + 1, f"{path}/{k[1]}", "tree") if state == "tree" else (root, -1, "", "below_cycle")
-    return [(*k, *placed[k], below[k]) for k in keys]
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in b.to_pylist()]
-    if done := _finish_locally(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _PLACED_ARROW)], schema=_PLACED_ARROW)
-
-
-def _rings(ring: DataFrame) -> DataFrame:
-    """(tree, node, root) of cycles too many for one task: the least id reached by doubling jumps, until nothing changes.
-
-    Ids on a cycle differ, so the least id of 2^k successors changes for some node until 2^k covers the cycle.
+    A message is (condition, target, its values); the aggregation combines them before they are shuffled, so a parent
+    with any number of children gets one row per task.
     """
-    state = materialize(ring.select("tree", "node", F.col("parent").alias("next"), F.least("node", "parent").alias("root")))
-    while True:
-        ahead = state.select("tree", F.col("node").alias("next"), F.col("next").alias("next2"), F.col("root").alias("root2"))
-        after = materialize(
-            state.join(ahead, ["tree", "next"]).select(
-                "tree", "node", F.col("next2").alias("next"), F.least("root", "root2").alias("root"), (F.col("root2") < F.col("root")).alias("moved")
-            )
-        )
-        state = after.drop("moved")
-        if not after.where("moved").take(1):
-            return state.select("tree", "node", "root")
+    kinds = {"new_up": "bigint", "more_gap": "int", "head": "string", "low": "bigint", "gone": "bigint", "flip": "bigint", "add": "bigint"}
+    blank = {n: F.lit(None).cast(t) for n, t in kinds.items()}
+
+    def post(target, own, values) -> F.Column:
+        return F.struct(target.alias("node"), own.alias("own"), *[values.get(n, blank[n]).alias(n) for n in kinds])
+
+    state = F.struct(*_STATE)
+    own = F.when(F.col("stays"), post(F.col("node"), state, {}))
+    sent = [F.when(when, post(target, F.lit(None).cast(df.select(state.alias("s")).schema[0].dataType), values)) for when, target, values in messages]
+    rows = df.select("tree", F.explode(F.array_compact(F.array(own, *sent))).alias("m")).select("tree", "m.*")
+    got = rows.groupBy(*_KEY).agg(
+        F.max("own").alias("own"), *[F.max(n).alias(n) for n in ("new_up", "more_gap", "head")], F.min("low").alias("low"),
+        F.sum("gone").alias("gone"), F.bit_xor("flip").alias("flip"), F.sum("add").alias("add"),
+    )
+    zero = F.lit(0).cast("long")
+    trail = F.when(F.col("head").isNull(), F.col("own.trail")).otherwise(F.concat("head", F.lit("/"), F.col("own.trail")))
+    return got.where("own is not null").select(
+        *_KEY,
+        F.coalesce("new_up", "own.up").alias("up"),
+        (F.col("own.gap") + F.coalesce("more_gap", F.lit(0))).alias("gap"),
+        trail.alias("trail"),
+        F.least("own.least", "low").alias("least"),
+        (F.col("own.open") - F.coalesce("gone", zero)).alias("open"),
+        F.col("own.kids").bitwiseXOR(F.coalesce("flip", zero)).alias("kids"),
+        (F.col("own.acc") + F.coalesce("add", zero)).alias("acc"),
+        F.coalesce("gone", "own.lost").alias("lost"),
+        (F.col("own.turn") + 1).alias("turn"),
+        F.col("own.cut").alias("cut"),
+    )
 
 
-def peel(links: DataFrame, with_descendants: bool = False, local_nodes: int = LOCAL_NODES) -> Hierarchy:
+def _round(alive: DataFrame) -> DataFrame:
+    """The nodes of ``alive`` without its leaves; those taken out of chains have ``cut``, and what they handed on is done."""
+    raked = _posted(
+        alive.withColumn("lost", F.lit(0).cast("long")).withColumn("stays", F.col("open") > 0),
+        (F.expr("open = 0 and up is not null"), F.col("up"), {"gone": F.lit(1).cast("long"), "flip": F.col("node"), "add": F.col("acc") + 1}),
+    )
+    rank = lambda c: F.xxhash64("tree", c, "turn")
+    out = (F.col("open") == 1) & F.col("up").isNotNull() & (rank("node") > rank("up")) & (rank("node") > rank("kids"))
+    marked = raked.withColumn("cut", F.coalesce(out, F.lit(False))).withColumn("stays", F.lit(True))
+    return _posted(
+        marked,
+        (F.col("cut"), F.col("kids"), {"new_up": F.col("up"), "more_gap": F.col("gap"), "head": F.col("trail"), "low": F.col("least")}),
+        (F.col("cut"), F.col("up"), {"flip": F.col("node").bitwiseXOR(F.col("kids")), "add": F.col("acc") + 1}),
+    )
+
+
+def peel(links: DataFrame, with_descendants: bool = False, rows_per_salt: int = ROWS_PER_SALT) -> Hierarchy:
     """Full hierarchies of the ``links`` (tree STRING, child BIGINT, parent BIGINT).
 
     Every id in a link with a ``tree`` is a node, also where the other end is null. The same pair twice is one link; of
     several parents the smallest id counts. ``state`` is ``tree`` (path of ids joined by ``/``, depth 0 at the root),
     ``in_cycle`` or ``below_cycle`` (root: least id of the cycle, depth -1, empty path). ``below`` counts the descendants
-    of a node; on a cycle, those that hang below it outside the cycle. ``descendants`` has a row for each ``tree`` node and
-    each node beneath it, with the distance. No links give no rows.
+    of a node; on a cycle, where every node is beneath every other, it is null. ``descendants`` has a row for each ``tree``
+    node and each node beneath it, with the distance. No links give no rows.
     """
-    left = materialize(node_table(links))
-    levels: list[DataFrame] = []
-    carried: list[DataFrame] = []  # descendant rows, by round
-    waiting = None  # descendant rows sent to nodes not yet peeled
-    while True:
-        size = left.limit(local_nodes + 1).count()
-        if size <= local_nodes:
-            break
-        leaves = left.where("open = 0")
-        if not leaves.take(1):
-            break
-        levels.append(leaves)
-        if with_descendants:
-            # Rows that wait for a node peeled now are final for it and go one step up; the others wait on.
-            own = leaves.where("parent is not null").select("tree", F.col("parent").alias("node"), F.col("node").alias("descendant"), F.lit(1).alias("distance"))
-            if waiting is None:
-                waiting = own
-            else:
-                peeled = leaves.select("tree", "node", "parent", F.lit(True).alias("peeled"))
-                at = materialize(waiting.join(peeled, ["tree", "node"], "left"))
-                carried.append(at.where("peeled").select(*_BENEATH))
-                up = at.where("peeled and parent is not null").select("tree", F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"))
-                waiting = own.unionByName(up).unionByName(at.where("peeled is null").select(*_BENEATH))
-        news = leaves.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("gone"), F.sum(F.col("below") + 1).alias("add"))
-        left = materialize(
-            left.where("open > 0")
-            .join(news, ["tree", "node"], "left")
-            .select("tree", "node", "parent", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open"), (F.col("below") + F.coalesce("add", F.lit(0))).alias("below"))
-        )
-    if size <= local_nodes:
-        placed = left.select("tree", "node", "parent", "below").coalesce(1).mapInArrow(_finish, _PLACED)
-    else:
-        ring = left.where("parent is not null")
-        label = _rings(ring)
-        placed = left.join(label, ["tree", "node"]).select(
-            "tree", "node", "root", F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("in_cycle").alias("state"), "below"
-        )
-    known = materialize(placed)
-    out = known
-    for leaves in reversed(levels):
-        above = out.select("tree", F.col("node").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("p"), F.col("state").alias("s"))
-        in_tree = F.col("s") == "tree"
-        here = (
-            leaves.where("parent is not null")
-            .join(above, ["tree", "parent"])
-            .select(
-                "tree",
-                "node",
-                F.col("r").alias("root"),
-                F.when(in_tree, F.col("d") + 1).otherwise(F.lit(-1)).alias("depth"),
-                F.when(in_tree, F.concat("p", F.lit("/"), F.col("node").cast("string"))).otherwise(F.lit("")).alias("path"),
-                F.when(in_tree, F.lit("tree")).otherwise(F.lit("below_cycle")).alias("state"),
-                "below",
-            )
+    zero = F.lit(0).cast("long")
+    alive = node_table(links).select(
+        *_KEY, "up", F.lit(1).alias("gap"), F.col("node").cast("string").alias("trail"), F.col("node").alias("least"), "open", "kids", zero.alias("acc"), zero.alias("lost"), F.lit(0).alias("turn"), F.lit(False).alias("cut")
+    )
+    alive = _kept(alive)
+    leaves: list[DataFrame] = []  # peeled as leaves, by round
+    chained: list[DataFrame] = []  # taken out of chains, by round
+    crowded: list[bool] = []  # whether a node lost so many leaves at once that the way down needs salts
+    busy = alive.where("up is null or up <> node").limit(1).count()
+    while busy:
+        after = _kept(_round(alive))
+        leaves.append(alive.where("open = 0"))
+        chained.append(after.where("cut"))
+        alive = after.where("not cut")
+        busy, most = after.agg(F.count_if(F.expr("not cut and (up is null or up <> node)")), F.max("lost")).first()
+        crowded.append((most or 0) > rows_per_salt)
+
+    # Nodes of cycles that are left stand for their cycle.
+    last = alive.select(*_KEY, F.col("least").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("in_cycle").alias("state"), F.lit(None).cast("long").alias("below"))
+    known = [last]
+    for n in reversed(range(len(leaves))):
+        every = reduce(DataFrame.unionByName, known)
+        over = every.toDF(*[c if c == "tree" else f"up_{c}" for c in _PLACED]).drop("up_below").withColumnRenamed("up_node", "up")
+        under = every.select("tree", F.col("node").alias("kids"), F.col("root").alias("kid_root"), F.col("state").alias("kid_state"), F.col("below").alias("kid_below"))
+        ring, hangs = F.col("kid_state") == "in_cycle", F.col("up_state") == "tree"
+        back = chained[n].join(over, ["tree", "up"]).join(under, ["tree", "kids"])
+        back = back.select(
+            *_KEY,
+            F.when(ring, F.col("kid_root")).otherwise(F.col("up_root")).alias("root"),
+            F.when(hangs, F.col("up_depth") + F.col("gap")).otherwise(F.lit(-1)).alias("depth"),
+            F.when(hangs, F.concat("up_path", F.lit("/"), "trail")).otherwise(F.lit("")).alias("path"),
+            F.when(ring, "in_cycle").when(hangs, "tree").otherwise("below_cycle").alias("state"),
+            F.when(~ring, F.col("acc") + 1 + F.col("kid_below")).alias("below"),
         )
-        roots = leaves.where("parent is null").select(
-            "tree", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"), F.lit("tree").alias("state"), "below"
+        back = _kept(back)
+        known.append(back)
+        over = reduce(DataFrame.unionByName, known).drop("below").toDF(*[c if c == "tree" else f"up_{c}" for c in _PLACED[:-1]]).withColumnRenamed("up_node", "up")
+        hung = leaves[n].where("up is not null").select(*_KEY, "up", "gap", "trail", "acc")
+        hung = salted_join(hung, over, ["tree", "up"], rows_per_salt=rows_per_salt) if crowded[n] else hung.join(over, ["tree", "up"])
+        hung = hung.select(
+            *_KEY,
+            F.col("up_root").alias("root"),
+            F.when(hangs, F.col("up_depth") + F.col("gap")).otherwise(F.lit(-1)).alias("depth"),
+            F.when(hangs, F.concat("up_path", F.lit("/"), "trail")).otherwise(F.lit("")).alias("path"),
+            F.when(hangs, "tree").otherwise("below_cycle").alias("state"),
+            F.col("acc").alias("below"),
         )
-        out = materialize(out.unionByName(here).unionByName(roots))
-    if not with_descendants:
-        return Hierarchy(out, None, len(levels))
-    # Above the peeled rounds, the paths of the remainder say who is above whom; what waits there goes to all of them.
-    steps = F.split("path", "/")
-    above = known.where("state = 'tree' and depth > 0").select("tree", F.col("node").alias("at"), "depth", F.posexplode(F.slice(steps, 1, F.col("depth"))).alias("i", "id"))
-    above = above.select("tree", F.col("id").cast("long").alias("node"), "at", (F.col("depth") - F.col("i")).alias("up"))
-    parts = [*carried, above.select("tree", "node", F.col("at").alias("descendant"), F.col("up").alias("distance"))]
-    if waiting is not None:
-        waiting = materialize(waiting)
-        sent = waiting.withColumnRenamed("node", "at").join(above, ["tree", "at"]).select("tree", "node", "descendant", (F.col("distance") + F.col("up")).alias("distance"))
-        parts += [waiting, sent]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return Hierarchy(out, every.join(out.where("state = 'tree'").select("tree", "node"), ["tree", "node"], "left_semi"), len(levels))
+        roots = leaves[n].where("up is null").select(*_KEY, F.col("node").alias("root"), F.lit(0).alias("depth"), "trail", F.lit("tree").alias("state"), "acc").toDF(*_PLACED)
+        known.append(_kept(hung.unionByName(roots)))
+    out = reduce(DataFrame.unionByName, known)
+    return Hierarchy(out, _beneath(out, leaves, chained) if with_descendants else None, len(leaves))
+
+
+def _beneath(out: DataFrame, leaves: list[DataFrame], chained: list[DataFrame]) -> DataFrame:
+    """Descendant lists, sent up in the order of peeling; nodes of chains get the list of their child in reverse order."""
+    if not leaves:
+        return out.select(*_KEY, F.col("node").alias("descendant"), F.lit(0).alias("distance")).where("false")
+    when = [a.select(*_KEY, "up", "gap", "kids") for pair in zip(leaves, chained) for a in pair]
+    peeled = reduce(DataFrame.unionByName, [a.withColumn("t", F.lit(t)) for t, a in enumerate(when)])
+    tree = out.where("state = 'tree'").select(*_KEY, "depth")
+    peeled = peeled.join(tree, _KEY)
+    times = peeled.select("tree", F.col("node").alias("up"), F.col("t").alias("up_t"))
+    peeled = materialize(peeled.join(times, ["tree", "up"], "left").select(*_KEY, "up", "gap", "kids", "depth", "t", "up_t"))
+    held: list[DataFrame] = []  # (tree, node, descendant, distance, t: when the node is peeled)
+    for t in range(len(when)):
+        now = peeled.where((F.col("t") == t) & F.col("up_t").isNotNull())
+        sent = now.select("tree", F.col("up").alias("node"), F.col("node").alias("descendant"), F.col("gap").alias("distance"), F.col("up_t").alias("t"))
+        mine = [h.where(F.col("t") == t).drop("t") for h in held]
+        if mine:
+            on = reduce(DataFrame.unionByName, mine).join(now.select(*_KEY, "up", "gap", "up_t"), _KEY)
+            sent = sent.unionByName(on.select("tree", F.col("up").alias("node"), "descendant", (F.col("distance") + F.col("gap")).alias("distance"), F.col("up_t").alias("t")))
+        held.append(_kept(sent))
+    lists = [h.select(*_BENEATH) for h in held]
+    depth = peeled.select("tree", F.col("node").alias("kids"), F.col("depth").alias("kid_depth"))
+    for t in reversed(range(1, len(when), 2)):
+        links = peeled.where(F.col("t") == t).join(depth, ["tree", "kids"]).select(*_KEY, "kids", (F.col("kid_depth") - F.col("depth")).alias("step"))
+        below = reduce(DataFrame.unionByName, lists).withColumnRenamed("node", "kids").join(links, ["tree", "kids"])
+        more = below.select(*_KEY, "descendant", (F.col("distance") + F.col("step")).alias("distance"))
+        lists.append(_kept(more.unionByName(links.select(*_KEY, F.col("kids").alias("descendant"), F.col("step").alias("distance")))))
+    return reduce(DataFrame.unionByName, lists)

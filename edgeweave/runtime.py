@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most keys that a skew plan singles out; their list is what gets broadcast, so this is its size bound.
-MAX_HOT_KEYS = 1000
+#: Rows of one key that a task takes without being split, and rows that a broadcast may have.
+ROWS_PER_SALT, MAX_BROADCAST = 100_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that ``checkpoint()`` writes to.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; only a session without one (tests, a laptop) gets a
-    temporary folder, which is removed at exit.
+    A cluster names its shared folder in ``spark.checkpoint.dir``; only a local session without one (tests, a laptop)
+    gets a temporary folder, which is removed at exit. A cluster that names none is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -33,6 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="edgeweave-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
@@ -56,46 +58,70 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 100_000) -> list[tuple]:
-    """Keys that hold more than ``max(min_rows, rows / MAX_HOT_KEYS)`` rows of ``df``, with their row counts.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
+    """(__hash, __salts) of the keys that hold more than ``rows_per_salt`` rows of ``df``; None if there are none.
 
-    There can be at most ``MAX_HOT_KEYS`` of them, so the list fits on the driver whatever the data. The counts are
-    pre-aggregated on the map side.
+    The list stays distributed and names keys by their hash, 12 bytes each. Up to 10^11 rows it has at most MAX_BROADCAST
+    entries, as each stands for ``rows_per_salt`` rows; beyond, keys count as hot from rows / MAX_BROADCAST on, which is
+    still far below what a partition of such a table holds. So it can always be broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    big = counts.where(F.col("__n") > min_rows)
-    if not (found := big.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()):
-        return []
-    total = df.count()
-    return [tuple(r) for r in found if r["__n"] > max(min_rows, total / MAX_HOT_KEYS)]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_salt)
+    hot = materialize(counts.select(F.xxhash64(*keys).alias("__hash"), "__n"))
+    found = hot.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if not found[0]:
+        return None
+    if found[0] > MAX_BROADCAST:
+        hot = hot.where(F.col("__n") > df.count() / MAX_BROADCAST)
+    return hot.groupBy("__hash").agg(F.ceil(F.sum("__n") / rows_per_salt).cast("int").alias("__salts"))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_salt: int = 100_000, hot: list[tuple] | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_salt: int = ROWS_PER_SALT, nulls: bool = False
 ) -> DataFrame:
     """Equi-join whose left side may have keys that hold a large part of all rows.
 
     Keys with more than ``rows_per_salt`` rows on the left are spread over ``ceil(rows / rows_per_salt)`` salts; only
     the right rows of those keys are repeated, once per salt. Without such keys this is a plain join. ``how`` is
-    ``inner`` or ``left``. Null keys match nothing; a left join keeps their rows. Result columns: the keys once, then the
-    other columns of both sides. The left side is read twice (once to count its keys), so pass it materialised.
+    ``inner`` or ``left``. Null keys match nothing, or with ``nulls`` each other; a left join keeps their rows. Result
+    columns: the keys once, then the other columns of both sides. The left side is read twice (once to count its keys),
+    so pass it materialised.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    spark = left.sparkSession
     keys = list(keys)
-    if hot is None:
-        hot = hot_keys(left, keys, rows_per_salt)
-    hot = [h for h in hot if all(v is not None for v in h[:-1])]
-    if not hot:
-        return left.join(right, keys, how)
-    rows = [(*h[:-1], -(-h[-1] // rows_per_salt)) for h in hot]
-    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys) + ", `__salts` bigint"
-    plan = F.broadcast(spark.createDataFrame(rows, schema))
-    spread = left.join(plan, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("__salts", F.lit(1)))).drop("__salts")
-    copies = (
-        right.join(plan, keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts")
-    )
-    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
+    if not nulls and how == "inner":
+        for k in keys:
+            left = left.where(F.col(k).isNotNull())
+    own = [c for c in left.columns if c not in keys]
+    other = [c for c in right.columns if c not in keys]
+    if (hot := hot_keys(left, keys, rows_per_salt)) is not None:
+        few = F.coalesce("__salts", F.lit(1))
+        salt = F.pmod(F.xxhash64(*left.columns), few).cast("int")
+        left = left.withColumn("__hash", F.xxhash64(*keys)).join(F.broadcast(hot), "__hash", "left").withColumn("__salt", salt).drop("__hash", "__salts")
+        right = right.withColumn("__hash", F.xxhash64(*keys)).join(F.broadcast(hot), "__hash", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), few - 1))).drop("__hash", "__salts")
+    salted = ["__salt"] if hot is not None else []
+    if not nulls:
+        return left.join(right, [*keys, *salted], how).select(*keys, *own, *other)
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"__right_{k}"])
+    for k in salted:
+        on = on & (left[k] == right[k])
+    return left.join(right, on, how).select(*[left[k] for k in keys], *own, *other)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int = MAX_BROADCAST) -> DataFrame:
+    """Columns of ``right``, which has one row per key, for the rows of ``left``; null keys match each other.
+
+    ``right`` is counted: up to ``most`` rows it is broadcast, beyond that the join is salted. Pass both materialised.
+    """
+    keys = list(keys)
+    if right.limit(most + 1).count() > most:
+        return salted_join(left, right, keys, how, nulls=True)
+    own, other = [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys]
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"__right_{k}"])
+    return left.join(F.broadcast(right), on, how).select(*[left[k] for k in keys], *own, *other)

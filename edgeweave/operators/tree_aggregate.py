@@ -2,7 +2,7 @@
 
 The rows of a key are cut into chunks of a fixed size; each chunk is combined by itself into a state of bounded size, and
 states are merged in rounds of ``fan_in`` until one is left per key, so no task ever sees all rows, or all partial states,
-of a hot key. Keys that fit one chunk are finished at the leaves.
+of a hot key.
 
 ``tree_stats`` merges counts and sums this way. ``tree_select`` finds the exact element of a given rank (the median, say),
 which has no small exact state: the merged state is a thinned sorted sample with proven rank bounds; it brackets the
@@ -16,29 +16,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, null_safe
+from ..runtime import lookup, materialize
 
 #: Elements in a chunk, states merged at once, distance of the sampled elements in a chunk.
 CHUNK, FAN_IN, STRIDE = 4096, 8, 8
-#: Keys that may be cut into chunks; their list is broadcast, so this bounds it. Chunks grow to rows / MAX_CUT beyond CHUNK * MAX_CUT rows.
-MAX_CUT = 200_000
 
 
 def tree_stats(df: DataFrame, keys: Sequence[str], leaf: dict[str, Column], merge: dict[str, str], chunk: int = CHUNK * 16, fan_in: int = 64) -> DataFrame:
-    """Mergeable aggregates per key through chunk, fan-in and final states.
+    """Mergeable aggregates per key through chunk states, merged in rounds of ``fan_in`` until one is left per key.
 
     ``leaf`` names the aggregates of raw rows, ``merge`` the SQL aggregate function that merges each (sum, min, max). A
-    chunk is ``chunk`` consecutive rows of an input partition, combined in the task that reads it; states of ``fan_in``
-    neighbouring chunks are merged before those of all. Nulls in keys form a key of their own. No rows give no rows.
+    chunk is ``chunk`` consecutive rows of an input partition, combined in the task that reads it. Each round merges
+    neighbouring chunks, so a reducer gets at most ``fan_in`` states of a key; there are as many rounds as the logarithm of
+    the number of chunks. Nulls in keys form a key of their own. No rows give no rows.
     """
     at = F.monotonically_increasing_id()
-    numbered = df.withColumn("__chunk", F.shiftright(at, 33) * 1024 + F.floor(at.bitwiseAND((1 << 33) - 1) / chunk) % 1024)
-    states = numbered.groupBy(*keys, F.floor(F.col("__chunk") / fan_in).alias("__chunk")).agg(*[c.alias(n) for n, c in leaf.items()])
-    return states.groupBy(*keys).agg(*[F.expr(f"{f}(`{n}`)").alias(n) for n, f in merge.items()])
+    place = 1024  # chunks of a partition that are told apart; longer partitions go round
+    states = df.withColumn("__chunk", F.shiftright(at, 33) * place + F.floor(at.bitwiseAND((1 << 33) - 1) / chunk) % place)
+    chunks = max(df.rdd.getNumPartitions(), 1) * place
+    states = states.groupBy(*keys, "__chunk").agg(*[c.alias(n) for n, c in leaf.items()])
+    while chunks > 1:
+        chunks = -(-chunks // fan_in)
+        level = [F.floor(F.col("__chunk") / fan_in).alias("__chunk")] if chunks > 1 else []
+        states = states.groupBy(*keys, *level).agg(*[F.expr(f"{f}(`{n}`)").alias(n) for n, f in merge.items()])
+    return states
 
 
 def _merged(states: DataFrame, keys: Sequence[str], chunks: int, stride: int, fan_in: int) -> tuple[DataFrame, int, int]:
-    """One thinned sample per key, its stride, and the error of its ranks.
+    """One thinned sample per key (with the key's n and rank), its stride, and the error of its ranks.
 
     The element number c of a sample has a rank between stride * c and stride * c + error among the key's elements.
     """
@@ -46,11 +51,11 @@ def _merged(states: DataFrame, keys: Sequence[str], chunks: int, stride: int, fa
     while chunks > 1:
         states = (
             states.groupBy(*keys, F.floor(F.col("chunk") / fan_in).alias("chunk"))
-            .agg(F.array_sort(F.flatten(F.collect_list("sample"))).alias("all"))
-            .select(*keys, "chunk", F.filter("all", lambda x, i: (i + 1) % fan_in == 0).alias("sample"))
+            .agg(F.array_sort(F.flatten(F.collect_list("sample"))).alias("all"), F.max("n").alias("n"), F.max("rank").alias("rank"))
+            .select(*keys, "chunk", F.filter("all", lambda x, i: (i + 1) % fan_in == 0).alias("sample"), "n", "rank")
         )
         stride, error, chunks = stride * fan_in, stride * (fan_in - 1) + fan_in * error, -(-chunks // fan_in)
-    return states.select(*keys, "sample"), stride, error
+    return states.select(*keys, "sample", "n", "rank"), stride, error
 
 
 def tree_select(
@@ -74,22 +79,12 @@ def tree_select(
         raise ValueError("chunk must be at least 16 * stride * fan_in")
     counts = tree_stats(df, keys, {"n": F.count(F.lit(1))}, {"n": "sum"})
     counts = materialize(counts.select(*keys, "n", rank.cast("long").alias("rank")))
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    size = max(chunk, -(-(total or 0) // MAX_CUT))
+    # Rows of keys that fit one chunk need not know how many they are.
+    cut = materialize(counts.where(F.col("n") > chunk).select(*keys, F.col("n").alias("cut_n"), F.col("rank").alias("cut_rank")))
     element = F.struct(*order).alias("e")
-    if (most or 0) <= size:
-        todo, done = None, df.select(*keys, element).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("all"))
-        done = done.withColumn("n", F.size("all").cast("long")).withColumn("rank", rank.cast("long"))
-        return _pick(done, keys, order)
-    cut = F.broadcast(counts.where(F.col("n") > size).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("n").alias("cut_n"), F.col("rank").alias("cut_rank")))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    rows = df.select(*keys, element).join(cut, on, "left")
-    chunks = F.when(F.col("cut_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("e"), F.ceil(F.col("cut_n") / size)))
-    leaves = materialize(
-        rows.groupBy(*keys, chunks.cast("long").alias("chunk"), "cut_n", "cut_rank").agg(F.array_sort(F.collect_list("e")).alias("all"))
-    )
+    rows = lookup(df.select(*keys, element), cut, keys, "left")
+    number = F.when(F.col("cut_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("e"), F.ceil(F.col("cut_n") / chunk)))
+    leaves = materialize(rows.groupBy(*keys, number.cast("long").alias("chunk"), "cut_n", "cut_rank").agg(F.array_sort(F.collect_list("e")).alias("all")))
     whole = leaves.where("cut_n is null").withColumn("n", F.size("all").cast("long")).withColumn("rank", rank.cast("long"))
     found = _pick(whole, keys, order)
     todo = leaves.where("cut_n is not null").select(*keys, "chunk", "all", F.col("cut_n").alias("n"), F.col("cut_n").alias("m"), F.col("cut_rank").alias("rank"))
@@ -97,18 +92,16 @@ def tree_select(
         widest = todo.agg(F.max("m")).first()[0]
         if widest is None:
             return found
-        samples = todo.select(*keys, "chunk", F.filter("all", lambda x, i: (i + 1) % stride == 0).alias("sample"))
-        top, step, error = _merged(samples, keys, -(-widest // size), stride, fan_in)
-        goal = todo.select(*keys, "n", "rank").distinct()
-        joined = top.alias("a").join(goal.alias("b"), null_safe(top.alias("a"), goal.alias("b"), keys)).select(*[F.col(f"a.{k}").alias(k) for k in keys], "sample", "n", "rank")
+        samples = todo.select(*keys, "chunk", F.filter("all", lambda x, i: (i + 1) % stride == 0).alias("sample"), "n", "rank")
+        top, step, error = _merged(samples, keys, -(-widest // chunk), stride, fan_in)
         low = F.floor((F.col("rank") - error - 1) / step).cast("int")
         high = F.ceil(F.col("rank") / step).cast("int")
-        bracket = joined.select(
-            *[F.col(k).alias(f"k_{k}") for k in keys],
+        bracket = top.select(
+            *keys,
             F.when(low >= 1, F.get("sample", low - 1)).alias("lo"),
             F.when(high <= F.size("sample"), F.get("sample", high - 1)).alias("hi"),
         )
-        inside = todo.join(F.broadcast(bracket), on).select(
+        inside = lookup(todo, materialize(bracket), keys).select(
             *keys,
             "chunk",
             "n",
@@ -117,15 +110,14 @@ def tree_select(
             F.filter("all", lambda x: (F.col("lo").isNull() | (x > F.col("lo"))) & (F.col("hi").isNull() | (x <= F.col("hi")))).alias("all"),
         )
         inside = materialize(inside)
-        sums = inside.groupBy(*keys).agg(F.sum("less").alias("gone"), F.sum(F.size("all")).alias("m"))
-        sums = sums.select(*[F.col(k).alias(f"k_{k}") for k in keys], "gone", "m")
-        rest = inside.join(F.broadcast(sums), on).select(*keys, "chunk", "n", (F.col("rank") - F.col("gone")).alias("rank"), "m", "all")
-        fits = rest.where(F.col("m") <= size).groupBy(*keys, "n", "rank").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("all"))
+        sums = tree_stats(inside, keys, {"gone": F.sum("less"), "m": F.sum(F.size("all"))}, {"gone": "sum", "m": "sum"})
+        rest = lookup(inside, materialize(sums), keys).select(*keys, "chunk", "n", (F.col("rank") - F.col("gone")).alias("rank"), "m", "all")
+        fits = rest.where(F.col("m") <= chunk).groupBy(*keys, "n", "rank").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("all"))
         found = found.unionByName(_pick(fits, keys, order))
         # What is still too wide is cut anew into full chunks.
-        again = rest.where(F.col("m") > size).select(*keys, "n", "rank", "m", F.explode("all").alias("e"))
+        again = rest.where(F.col("m") > chunk).select(*keys, "n", "rank", "m", F.explode("all").alias("e"))
         todo = materialize(
-            again.groupBy(*keys, F.pmod(F.xxhash64("e"), F.ceil(F.col("m") / size)).cast("long").alias("chunk"), "n", "rank", "m").agg(F.array_sort(F.collect_list("e")).alias("all"))
+            again.groupBy(*keys, F.pmod(F.xxhash64("e"), F.ceil(F.col("m") / chunk)).cast("long").alias("chunk"), "n", "rank", "m").agg(F.array_sort(F.collect_list("e")).alias("all"))
         ).select(*keys, "chunk", "all", "n", "m", "rank")
 
 

@@ -88,7 +88,7 @@ def _distinct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = _distinct_edges(spark, sf_dir).groupBy("src_id", "kind", "dst_id").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("weight"))
-    middle = tree_select(materialize(weights), ["src_id", "kind"], ["weight", "dst_id"], F.floor((F.col("n") + 1) / 2))
+    middle = tree_select(materialize(weights), ["src_id", "kind"], ["weight", "dst_id"], F.floor((F.col("n") + 1) / 2), chunk=1024)
     return middle.select("src_id", "kind", "dst_id")
 
 

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-
-#: Snapshots that one run compares; their numbers are broadcast, so this is the bound of that table.
-MAX_SNAPSHOTS = 100_000
+from ..runtime import lookup, materialize
 
 
 def plain_path(path: Column) -> Column:
@@ -37,43 +34,31 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: Sequence[str], value: s
     snapshot number belong to none. Of several values under one key in a snapshot, the key is ``changed`` if the sets
     differ. An empty table gives no rows.
 
-    EXCEPT ALL both ways between all neighbouring snapshots at once: each (keys, value) is grouped once into the set of
-    snapshots that hold it, and that set EXCEPT the set moved on by one, and the other way round, leaves exactly the rows
-    that one of two neighbours lacks. Only these residues are joined, fully outer, by key.
+    EXCEPT ALL both ways, for all pairs of neighbours at once: rows carry the number of the pair, in which each snapshot is
+    once the later and once the earlier one. What is compared are 128-bit hashes of key and row, 36 bytes whatever the
+    record. The residues are joined fully outer by the hash of the key, which labels them, and only then does the scan give
+    them their keys back. Two of 10^12 different rows share a hash with a probability of 10^-14.
     """
     keys = list(keys)
-    rows = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("__s"), *keys, F.col(value).alias("__v"))
-    numbers = sorted(r[0] for r in df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().limit(MAX_SNAPSHOTS + 1).collect())
-    if len(numbers) > MAX_SNAPSHOTS:
-        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
-    kind = df.schema[snapshot].dataType.simpleString()
-    places = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(numbers)), f"__at int, __s {kind}"))
-    held = rows.join(places, "__s").groupBy(*keys, "__v").agg(F.collect_set("__at").alias("held"))
-    moved = F.transform("held", lambda x: x + 1)
-    sides = held.select(
-        *keys,
-        "__v",
-        F.filter(F.array_except("held", moved), lambda x: x > 0).alias("new"),
-        F.filter(F.array_except(moved, F.col("held")), lambda x: x < len(numbers)).alias("old"),
-    )
-    sides = materialize(sides.where((F.size("new") > 0) | (F.size("old") > 0)))
-
-    def residue(side: str) -> DataFrame:
-        # A key counts once on each side; EXCEPT has left different values only.
-        return sides.select(F.explode(side).alias("__at"), *keys).distinct().select(F.col("__at").alias(f"{side}_at"), *[F.col(k).alias(f"{side}_{k}") for k in keys])
-
-    new, old = residue("new"), residue("old")
-    on = F.col("new_at") == F.col("old_at")
-    for k in keys:
-        on = on & F.col(f"new_{k}").eqNullSafe(F.col(f"old_{k}"))
-    both = new.join(old, on, "full_outer")
-    has_new, has_old = F.col("new_at").isNotNull(), F.col("old_at").isNotNull()
-    return (
-        both.select(
-            F.coalesce("new_at", "old_at").alias("__at"),
-            *[F.when(has_new, F.col(f"new_{k}")).otherwise(F.col(f"old_{k}")).alias(k) for k in keys],
-            F.when(has_new & has_old, "changed").when(has_new, "added").otherwise("removed").alias("change"),
-        )
-        .join(places, "__at")
-        .select(F.col("__s").alias(snapshot), *keys, "change")
-    )
+    rows = df.where(F.col(snapshot).isNotNull())
+    # Hashes skip nulls, so whether a column is null is hashed, too.
+    parts = lambda cols: [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    wide = lambda cols, name: [F.xxhash64(*parts(cols)).alias(f"{name}1"), F.xxhash64(F.lit(name), *parts(reversed(cols))).alias(f"{name}2")]
+    hashed = materialize(rows.select(F.col(snapshot).alias("__s"), *wide(keys, "k"), *wide([*keys, value], "r")).distinct())
+    numbers = materialize(hashed.select("__s").distinct())
+    places = materialize(numbers.select("__s", (F.row_number().over(Window.orderBy("__s")) - 1).alias("__at")))
+    last = places.count() - 1
+    cells = ["k1", "k2", "r1", "r2"]
+    placed = materialize(lookup(hashed, places, ["__s"]).select("__at", *cells))
+    cur = placed.where("__at > 0")
+    old = placed.where(F.col("__at") < last).select((F.col("__at") + 1).alias("__at"), *cells)
+    # Of several values under one key, the key counts once on each side.
+    side = lambda a, b, flag: a.exceptAll(b).select("__at", "k1", "k2").distinct().withColumn(flag, F.lit(True))
+    both = side(cur, old, "new").join(side(old, cur, "gone"), ["__at", "k1", "k2"], "full_outer")
+    label = F.when(F.col("new") & F.col("gone"), "changed").when(F.col("new"), "added").otherwise("removed")
+    changes = materialize(both.select("__at", "k1", "k2", label.alias("change")))
+    # The key itself comes from any row that has it.
+    wanted = changes.select("k1", "k2").distinct()
+    named = rows.select(*wide(keys, "k"), *keys).join(wanted, ["k1", "k2"], "left_semi").distinct()
+    out = changes.join(named, ["k1", "k2"])
+    return lookup(out, places, ["__at"]).select(F.col("__s").alias(snapshot), *keys, "change")

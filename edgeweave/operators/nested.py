@@ -7,10 +7,11 @@ equal subtrees have equal identities, are stored once, and a parent refers to it
 ``shred`` gives three tables:
 
 * ``roots``   (record id, root identity): one row per record, of its earliest complete delivery
-* ``objects`` (level, identity, payload): every distinct object once, payload in canonical JSON
+* ``objects`` (level, identity, payload, ...): every distinct object once, payload in canonical JSON
 * ``bridges`` (level of the parent, parent identity, ordinal, child identity): one row per occurrence below a distinct parent
 
-``occurrences`` walks them from the roots down and gives every occurrence with its positions.
+An identity is 128 bits in two columns, h1 and h2. ``occurrences`` puts the tables together again and gives every occurrence
+with its positions.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, salted_join
+from ..runtime import ROWS_PER_SALT, hot_keys, materialize, salted_join
 
 _INTEGER = re.compile(r"\s*[+-]?\d{1,19}\s*\Z", re.ASCII)
 _LONG = 1 << 63
@@ -46,6 +48,7 @@ class NestedTables:
     objects: DataFrame
     bridges: DataFrame
     levels: tuple[Level, ...]
+    members: dict[int, tuple[str, ...]]
 
 
 def as_long(value: object) -> int | None:
@@ -80,55 +83,77 @@ def unwrap(value: dict, envelope: str | None, marks: tuple[str, ...]) -> dict:
     return inner if isinstance(inner, dict) and not any(m in value for m in marks) else value
 
 
-def merkle(value: object, levels: tuple[Level, ...], at: int, emit) -> bytes:
-    """Hash ``value`` as an object of level ``at`` bottom-up; ``emit(level, identity, payload, children)`` gets each object."""
+#: Text of a JSON value with sorted keys and no blanks.
+_canonical: Callable[[object], str] = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+
+
+def _cell(value: object) -> str | None:
+    return value if isinstance(value, str) or value is None else _canonical(value)
+
+
+def merkle(value: object, levels: tuple[Level, ...], at: int, emit, members: dict[int, tuple[str, ...]] = {}) -> tuple[bytes, int]:
+    """(identity, width) of ``value`` as an object of level ``at``, hashed bottom-up; width is its rows when written out flat.
+
+    ``emit(level, identity, width, payload, cells, children)`` gets every object; cells are the texts of its ``members``.
+    """
     level = levels[at]
-    own, children = value, []
+    own, children, width = value, [], 0
+    cells: list[str | None] = []
     if isinstance(value, dict):
         below = value.get(level.child) if level.child else None
         listed = isinstance(below, list)
         own = {k: v for k, v in value.items() if v is not None and not (listed and k == level.child)}
         for k in level.integers:
-            if k in own and (n := as_long(own[k])) is not None:
+            if k in own and own[k].__class__ is not int and (n := as_long(own[k])) is not None:
                 own[k] = n
         if listed:
-            children = [merkle(x, levels, at + 1, emit) for x in below]
-    payload = json.dumps(own, sort_keys=True, separators=(",", ":"))
+            for x in below:
+                identity, wide = merkle(x, levels, at + 1, emit, members)
+                children.append(identity)
+                width += wide
+        cells = [_cell(own.get(k)) for k in members.get(at, ())]
+    payload = _canonical(own)
     h = hashlib.blake2b(f"{at}:{len(children)}:{payload}".encode(), digest_size=16)
-    for c in children:
-        h.update(c)
-    identity = h.digest()
-    emit(at, identity, payload, children)
-    return identity
+    if children:
+        h.update(b"".join(children))
+    identity, width = h.digest(), max(width, 1)
+    emit(at, identity, width, payload, cells, children)
+    return identity, width
+
+
+def _halves(identity: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", identity)
 
 
-_SHREDDED = "tag int, record_id bigint, loaded_us bigint, level int, identity binary, payload string, children array<binary>"
 _ARROW = pa.schema(
     [
-        ("tag", pa.int32()),
-        ("record_id", pa.int64()),
-        ("loaded_us", pa.int64()),
-        ("level", pa.int32()),
-        ("identity", pa.binary()),
-        ("payload", pa.string()),
-        ("children", pa.list_(pa.binary())),
+        ("tag", pa.int32()),  # 0: a record, whose id is h1 and whose root is in c1, c2; 1: an object
+        ("h1", pa.int64()), ("h2", pa.int64()), ("loaded_us", pa.int64()), ("level", pa.int32()), ("width", pa.int64()), ("payload", pa.string()),
+        ("cells", pa.list_(pa.string())), ("c1", pa.list_(pa.int64())), ("c2", pa.list_(pa.int64())),
     ]
-)
+)
+_SHREDDED = "tag int, h1 bigint, h2 bigint, loaded_us bigint, level int, width bigint, payload string, cells array<string>, c1 array<bigint>, c2 array<bigint>"
 
 
-def _shredder(levels: tuple[Level, ...], envelope: str | None, marks: tuple[str, ...], flush_rows: int = 20_000, remember: int = 200_000):
+def _shredder(levels: tuple[Level, ...], envelope: str | None, marks: tuple[str, ...], members: dict[int, tuple[str, ...]], flush_rows: int = 20_000, remember: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        columns: list[list] = [[] for _ in _ARROW]
         seen: set[bytes] = set()
 
-        def emit(level: int, identity: bytes, payload: str, children: list[bytes]) -> None:
+        def write(*row) -> None:
+            for c, v in zip(columns, row):
+                c.append(v)
+
+        def emit(level: int, identity: bytes, width: int, payload: str, cells: list, children: list[bytes]) -> None:
             if identity not in seen:
                 seen.add(identity)
-                rows.append((1, None, None, level, identity, payload, children))
+                below = [_halves(c) for c in children]
+                write(1, *_halves(identity), None, level, width, payload, cells, [a for a, _ in below], [b for _, b in below])
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
-            rows.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW)], schema=_ARROW)
+            for c in columns:
+                c.clear()
             if len(seen) > remember:  # what is forgotten is emitted again and removed by the distinct
                 seen.clear()
             return out
@@ -138,11 +163,12 @@ def _shredder(levels: tuple[Level, ...], envelope: str | None, marks: tuple[str,
                 value = parse_complete(body)
                 if rid is None or value is None:
                     continue
-                root = merkle(unwrap(value, envelope, marks), levels, 0, emit)
-                rows.append((0, rid, loaded, None, root, None, None))
-                if len(rows) >= flush_rows:
+                root, width = merkle(unwrap(value, envelope, marks), levels, 0, emit, members)
+                a, b = _halves(root)
+                write(0, rid, 0, loaded, None, width, None, None, [a], [b])
+                if len(columns[0]) >= flush_rows:
                     yield flush()
-        if rows:
+        if columns[0]:
             yield flush()
 
     return run
@@ -156,60 +182,59 @@ def shred(
     levels: tuple[Level, ...],
     envelope: str | None = None,
     marks: tuple[str, ...] = (),
+    members: dict[int, tuple[str, ...]] | None = None,
 ) -> NestedTables:
     """Flat tables of the JSON records in ``body_col``.
 
     A record that is delivered again counts once: the earliest complete delivery stands (equal load times: the smallest
     identity; a null load time comes last). Null ids, null bodies and bodies that are not one complete JSON object count
     for nothing. A child member that is absent, null or no array has no children; elements that are no objects keep their
-    ordinal and have no members. Each body is parsed once, in Arrow batches; objects are made distinct per worker before
-    they are shuffled by identity. An empty table gives three empty tables.
+    ordinal and have no members. ``members`` names those that ``occurrences`` can give out, by level. Each body is parsed
+    once, in Arrow batches; objects are made distinct per worker, then shuffled once, by identity, which the tables keep.
+    An empty table gives three empty tables.
     """
     source = df.select(
         F.col(id_col).cast("long").alias("record_id"),
         F.unix_micros(F.col(loaded_col).cast("timestamp")).alias("loaded_us"),
         F.col(body_col).alias("body"),
     )
-    raw = materialize(source.mapInArrow(_shredder(levels, envelope, marks), _SHREDDED))
-    roots = (
-        raw.where("tag = 0")
-        .groupBy("record_id")
-        .agg(F.min(F.struct(F.coalesce("loaded_us", F.lit((1 << 63) - 1)).alias("l"), F.col("identity").alias("root"))).alias("m"))
-        .select("record_id", F.col("m.root").alias("root"))
-    )
-    distinct = raw.where("tag = 1").select("level", "identity", "payload", "children").dropDuplicates(["level", "identity"])
-    objects = distinct.select("level", "identity", "payload")
-    bridges = distinct.select("level", F.col("identity").alias("parent"), F.posexplode("children").alias("ordinal", "child"))
-    return NestedTables(roots, objects, bridges, levels)
-
-
-def member(objects: DataFrame, level: int, name: str, kind: str = "bigint") -> DataFrame:
-    """(identity, member) of the objects of one level, the member read from the payload; null where it is absent."""
-    value = F.from_json("payload", f"`{name}` {kind}").getField(name)
-    return objects.where(F.col("level") == level).select("identity", value.alias(name))
-
-
-def occurrences(tables: NestedTables, columns: dict[int, list[tuple[str, str]]], id_col: str = "record_id") -> DataFrame:
+    members = members or {}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = materialize(source.mapInArrow(_shredder(levels, envelope, marks, members), _SHREDDED).repartition(parts, "h1", "h2"))
+    first = F.struct(F.coalesce("loaded_us", F.lit(_LONG - 1)).alias("l"), F.col("c1")[0].alias("a"), F.col("c2")[0].alias("b"))
+    roots = stored.where("tag = 0").groupBy("h1", "h2").agg(F.min(first).alias("m")).select(F.col("h1").alias("record_id"), F.col("m.a").alias("h1"), F.col("m.b").alias("h2"))
+    objects = stored.where("tag = 1").drop("tag", "loaded_us").distinct()
+    bridges = objects.select("level", F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.posexplode(F.arrays_zip("c1", "c2")).alias("ordinal", "child"))
+    bridges = bridges.select("level", "p1", "p2", "ordinal", F.col("child.c1").alias("h1"), F.col("child.c2").alias("h2"))
+    return NestedTables(roots, objects, bridges, levels, members)
+
+
+def occurrences(tables: NestedTables, columns: dict[int, list[tuple[str, str]]], id_col: str = "record_id", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Every occurrence of every object, outer-joined downwards: a parent without children gives one row.
 
-    ``columns`` names the members to read per level, as (name, SQL type); they come out as ``<level name>_<member>``,
-    positions as ``<level name>_pos``, null where the object does not exist. The subtrees are put together bottom-up per
-    distinct object; only the last join, with the records, multiplies by occurrences, and its hot roots are salted.
+    ``columns`` says which of the ``members`` to give out per level, as (name, SQL type); they come out as
+    ``<level name>_<member>``, null where they are not of that type, and positions as ``<level name>_pos``, null where the
+    object does not exist. The subtrees are put together bottom-up per distinct object; only the last join, with the
+    records, multiplies by occurrences. Each join is salted: common children by how often they occur, large parents by
+    their width, common records by their number.
     """
+    key = ["h1", "h2"]
+    common = hot_keys(tables.bridges, key, rows_per_salt)
+    large = tables.objects.where(F.col("width") > rows_per_salt)
+    large = large.groupBy(F.xxhash64(*key).alias("__hash")).agg(F.max(F.ceil(F.col("width") / rows_per_salt)).cast("int").alias("__salts")) if large.take(1) else None
     below: DataFrame | None = None
     for at in range(len(tables.levels) - 1, -1, -1):
         level = tables.levels[at]
-        own = tables.objects.where(F.col("level") == at)
-        if wanted := columns.get(at):
-            parsed = F.from_json("payload", ", ".join(f"`{n}` {t}" for n, t in wanted))
-            own = own.select("identity", *[parsed.getField(n).alias(f"{level.name}_{n}") for n, _ in wanted])
-        else:
-            own = own.select("identity")
+        at_level = tables.objects.where(F.col("level") == at)
+        cell = lambda n: F.get("cells", F.lit(tables.members[at].index(n)))  # noqa: E731, B023
+        named = [cell(n).try_cast(t).alias(f"{level.name}_{n}") for n, t in columns.get(at, [])]
+        own = at_level.select(*key, *named)
         if below is not None:
-            own = own.join(below.withColumnRenamed("parent", "identity"), "identity", "left")
+            has = F.size("c1") > 0
+            grown = salted_join(below, at_level.where(has).select(*key, *named), key, rows_per_salt=rows_per_salt, hot=large)
+            own = grown.unionByName(at_level.where(~has).select(*key, *named), allowMissingColumns=True)
         if at == 0:
-            roots = materialize(tables.roots.withColumnRenamed("root", "identity"))
-            return salted_join(roots, own, ["identity"]).drop("identity").withColumnRenamed("record_id", id_col)
-        links = tables.bridges.where(F.col("level") == at - 1).select("parent", F.col("ordinal").alias(f"{level.name}_pos"), F.col("child").alias("identity"))
-        below = links.join(own, "identity").drop("identity")
+            return salted_join(materialize(tables.roots), own, key, rows_per_salt=rows_per_salt).drop(*key).withColumnRenamed("record_id", id_col)
+        links = tables.bridges.where(F.col("level") == at - 1).select("p1", "p2", F.col("ordinal").alias(f"{level.name}_pos"), *key)
+        below = salted_join(links, own, key, rows_per_salt=rows_per_salt, hot=common).drop(*key).withColumnsRenamed({"p1": "h1", "p2": "h2"})
     raise ValueError("a nesting needs at least one level")

@@ -12,6 +12,8 @@ from ..operators.snapshots import plain_path, snapshot_changes
 from ..operators.tree_aggregate import tree_select, tree_stats
 from ..runtime import materialize, table
 
+#: Members of a Result's objects that queries give out, by level.
+RESULT_MEMBERS = {0: ("shape", "view"), 1: ("length", "status"), 2: ("id",), 3: ("file_id",)}
 #: Result -> paths -> steps -> sites.
 RESULT_LEVELS = (
     Level("result", "paths", ("count",)),
@@ -23,7 +25,7 @@ RESULT_LEVELS = (
 
 def _results(spark: SparkSession, sf_dir: str) -> NestedTables:
     source = table(spark, sf_dir, "query_result", "result_id", "loaded_at", "body")
-    return shred(source, "result_id", "body", "loaded_at", RESULT_LEVELS, envelope="result", marks=("shape", "paths"))
+    return shred(source, "result_id", "body", "loaded_at", RESULT_LEVELS, envelope="result", marks=("shape", "paths"), members=RESULT_MEMBERS)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of paths: one row per path of each Result, with its parent and its place in it."""
     t = _results(spark, sf_dir)
-    upper = NestedTables(t.roots, t.objects, t.bridges, t.levels[:2])
+    upper = NestedTables(t.roots, t.objects, t.bridges, t.levels[:2], t.members)
     rows = occurrences(upper, {0: [("shape", "string"), ("view", "string")], 1: [("length", "bigint"), ("status", "string")]}, "result_id")
     return rows.where("path_pos is not null").select("result_id", "path_pos", "result_shape", "result_view", "path_length", "path_status")
 

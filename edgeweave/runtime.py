@@ -76,7 +76,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_S
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_salt: int = ROWS_PER_SALT, nulls: bool = False
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_salt: int = ROWS_PER_SALT, nulls: bool = False, hot: DataFrame | bool | None = True
 ) -> DataFrame:
     """Equi-join whose left side may have keys that hold a large part of all rows.
 
@@ -84,7 +84,8 @@ def salted_join(
     the right rows of those keys are repeated, once per salt. Without such keys this is a plain join. ``how`` is
     ``inner`` or ``left``. Null keys match nothing, or with ``nulls`` each other; a left join keeps their rows. Result
     columns: the keys once, then the other columns of both sides. The left side is read twice (once to count its keys),
-    so pass it materialised.
+    so pass it materialised; ``hot`` saves that where a list
+    like that of ``hot_keys``, or that there is none, is known already.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
@@ -94,7 +95,8 @@ def salted_join(
             left = left.where(F.col(k).isNotNull())
     own = [c for c in left.columns if c not in keys]
     other = [c for c in right.columns if c not in keys]
-    if (hot := hot_keys(left, keys, rows_per_salt)) is not None:
+    hot = hot_keys(left, keys, rows_per_salt) if hot is True else hot
+    if hot is not None:
         few = F.coalesce("__salts", F.lit(1))
         salt = F.pmod(F.xxhash64(*left.columns), few).cast("int")
         left = left.withColumn("__hash", F.xxhash64(*keys)).join(F.broadcast(hot), "__hash", "left").withColumn("__salt", salt).drop("__hash", "__salts")

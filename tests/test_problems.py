@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from edgeweave.operators import hierarchy, nested, orphans, snapshots, tree_aggregate
-from edgeweave.plans.problems import RESULT_LEVELS
+from edgeweave.plans.problems import RESULT_LEVELS, RESULT_MEMBERS
 from edgeweave.runtime import hot_keys, salted_join
 
 T0 = dt.datetime(2025, 1, 1)
@@ -19,11 +19,11 @@ rows = lambda df: sorted(tuple(r) for r in df.collect())
 
 def flat(spark, data):
     df = spark.createDataFrame([(i, t, b, "clash") for i, t, b in data], "result_id bigint, loaded_at timestamp, body string, identity string")
-    return nested.shred(df, "result_id", "body", "loaded_at", RESULT_LEVELS, "result", ("shape", "paths"))
+    return nested.shred(df, "result_id", "body", "loaded_at", RESULT_LEVELS, "result", ("shape", "paths"), RESULT_MEMBERS)
 
 
-def found(tables):
-    df = nested.occurrences(tables, {2: [("id", "bigint")], 3: [("file_id", "bigint")]}, "result_id")
+def found(tables, salt=100_000):
+    df = nested.occurrences(tables, {2: [("id", "bigint")], 3: [("file_id", "bigint")]}, "result_id", salt)
     return sorted(tuple(-1 if v is None else v for v in r) for r in df.select("result_id", "path_pos", "step_pos", "site_pos", "step_id", "site_file_id").collect())
 
 
@@ -51,7 +51,7 @@ def test_nested_records(spark):
 
 def test_nested_merkle_identity_ignores_layout_only():
     seen = {}
-    emit = lambda level, identity, payload, children: seen.setdefault(identity, payload)
+    emit = lambda level, identity, width, payload, cells, children: seen.setdefault(identity, payload)
     m = lambda o: nested.merkle(o, RESULT_LEVELS, 0, emit)
     assert m({"a": 1, "paths": [{"steps": []}]}) == m({"paths": [{"steps": []}], "b": None, "a": 1})
     assert m({"count": "5"}) == m({"count": 5}) != m({"count": 6})
@@ -63,14 +63,21 @@ def test_nested_empty_and_hot(spark):
     assert found(flat(spark, [])) == []
     body = '{"paths": [{"steps": [{"id": 1, "sites": [{"file_id": 2}]}]}]}'
     t = flat(spark, [(i, day(0), body) for i in range(300)] + [(1000, day(0), '{"paths": []}')])
-    left = t.roots.withColumnRenamed("root", "identity")
-    right = t.objects.where("level = 0").select("identity", "payload")
-    spread = salted_join(left, right, ["identity"], rows_per_salt=20)
-    assert [r[1] for r in hot_keys(left, ["identity"], 20).collect()] == [15]
+    left, key = t.roots, ["h1", "h2"]
+    right = t.objects.where("level = 0").select(*key, "payload")
+    spread = salted_join(left, right, key, rows_per_salt=20)
+    assert [r[1] for r in hot_keys(left, key, 20).collect()] == [15]
     assert rows(spread.select("record_id")) == rows(left.select("record_id"))
     assert len(found(t)) == 301
 
 
+def test_nested_salts_change_nothing(spark):
+    """A common child, a wide parent and a common record, with salts from 20 rows on."""
+    wide = {"paths": [{"steps": [{"id": j % 3, "sites": [{"file_id": k % 2} for k in range(j % 4)]} for j in range(40)]}] * 2}
+    t = flat(spark, [(i, day(0), json.dumps(wide)) for i in range(30)] + [(100 + i, day(0), json.dumps({"paths": [{"steps": [{"id": i, "sites": [{}]}]}]})) for i in range(40)])
+    assert found(t, 20) == found(t) and len(found(t)) == 30 * 2 * sum(max(j % 4, 1) for j in range(40)) + 40
+
+
 # --- p2
 
 

@@ -5,7 +5,7 @@ squared number of windows at that level smallest afterwards. The windows open at
 
 Documents are packed in shards of a fixed size, each an independent stream with its own level array, so the work is spread
 and no task's memory grows with the corpus. When a stream ends, the windows it left partly filled are merged where they
-fit into each other, fullest first.
+fit into each other, fullest first (best fit); ``stream_window`` is the window before that.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in a shard; most partitions that the shards are spread over.
-SHARD_DOCS, MAX_PARTITIONS = 50_000, 20_000
+#: Documents in a shard; most partitions that the shards are spread over; containers that a plan lists by name, beyond which they are joined.
+SHARD_DOCS, MAX_PARTITIONS, MAX_LISTED = 50_000, 20_000, 1000
 
-PACKED = "container string, shard bigint, window int, doc_id bigint, piece int, pieces int, tokens bigint, start_in_window bigint, start_in_doc bigint"
+PACKED = "container string, shard bigint, window int, doc_id bigint, piece int, pieces int, tokens bigint, start_in_window bigint, start_in_doc bigint, stream_window int"
 _ARROW = pa.schema(
-    [("container", pa.string()), ("shard", pa.int64()), ("window", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("tokens", pa.int64()), ("start_in_window", pa.int64()), ("start_in_doc", pa.int64())]
+    [("container", pa.string()), ("shard", pa.int64()), ("window", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("tokens", pa.int64()), ("start_in_window", pa.int64()), ("start_in_doc", pa.int64()), ("stream_window", pa.int32())]
 )
 
 
@@ -77,7 +77,7 @@ class LevelPacker:
 
 
 def pack_shard(capacity: int, doc_ids: list[int], sizes: list[int]) -> list[tuple]:
-    """(window, doc, piece, pieces, tokens, start in window, start in doc) of one stream, documents in the given order."""
+    """(window, doc, piece, pieces, tokens, start in window, start in doc, window before merging) of one stream, documents in the given order."""
     packer = LevelPacker(capacity)
     placed = []
     for doc, size in zip(doc_ids, sizes):
@@ -91,7 +91,7 @@ def pack_shard(capacity: int, doc_ids: list[int], sizes: list[int]) -> list[tupl
     rows = []
     for window, doc, piece, pieces, tokens, start in placed:
         w = number[target[window]] if target else 0
-        rows.append((w, doc, piece, pieces, tokens, filled.get(w, 0), start))
+        rows.append((w, doc, piece, pieces, tokens, filled.get(w, 0), start, window))
         filled[w] = filled.get(w, 0) + tokens
     return rows
 
@@ -108,22 +108,23 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
 def pack(documents: DataFrame, containers: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The contents of the windows: every document (doc_id BIGINT, n_tokens BIGINT) in windows of every container.
 
-    ``containers`` (container STRING, capacity BIGINT) is a small table of at most 1000 rows; rows without a positive
-    capacity are left out. A document that fits is never split. One that exceeds the capacity fills whole windows and
-    leaves a last piece, which is packed like any other; ``pieces`` counts them. A document without tokens (null counts
-    as none) has a row of 0 tokens in window 0. Rows without a doc_id are left out; a doc_id that occurs twice is packed
-    twice. Windows are numbered from 0 within (container, shard). No documents give no rows.
+    ``containers`` has container STRING and capacity BIGINT; rows without a positive capacity are left out. A document that
+    fits is never split. One that exceeds the capacity fills whole windows and leaves a last piece, which is packed like any
+    other; ``pieces`` counts them. A document without tokens (null counts as none) has a row of 0 tokens in window 0. Rows
+    without a doc_id are left out; a doc_id that occurs twice is packed twice. Windows are numbered from 0 within
+    (container, shard). No documents give no rows.
     """
-    spec = [(r[0], r[1]) for r in containers.select("container", "capacity").distinct().limit(1001).collect() if r[1] and r[1] > 0]
-    if len(spec) > 1000:
-        raise ValueError("more than 1000 containers")
+    spec = containers.where("container is not null and capacity > 0").select("container", F.col("capacity").cast("long").alias("capacity")).distinct()
     docs = documents.where("doc_id is not null").select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    spark = documents.sparkSession
-    if not spec:
-        return spark.createDataFrame([], PACKED)
     shards = -(-docs.count() // shard_docs) or 1
-    each = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(spec)])
-    spread = docs.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.explode(each).alias("s"))
+    sharded = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    if len(listed := spec.limit(MAX_LISTED + 1).collect()) <= MAX_LISTED:
+        if not listed:
+            return documents.sparkSession.createDataFrame([], PACKED)
+        each = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(listed)])
+        spread = sharded.withColumn("s", F.explode(each)).select("s.container", "s.capacity", "shard", "doc_id", "n_tokens")
+    else:
+        spread = sharded.join(spec.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))), "shard")
     # Streams take CPU, not bytes: without a number of its own the shuffle would be folded into a few tasks.
-    keys, parts = ["container", "capacity", "shard"], min(4 * shards * len(spec), MAX_PARTITIONS)
-    return spread.select("s.container", "s.capacity", "shard", "doc_id", "n_tokens").repartition(parts, *keys).groupBy(*keys).applyInArrow(_pack, PACKED)
+    keys, parts = ["container", "capacity", "shard"], min(4 * shards * len(listed), MAX_PARTITIONS)
+    return spread.select(*keys, "doc_id", "n_tokens").repartition(parts, *keys).groupBy(*keys).applyInArrow(_pack, PACKED)

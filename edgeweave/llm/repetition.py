@@ -3,11 +3,16 @@
 ``repeated_words`` measures it exactly: stretches of ``n`` consecutive words are hashed, each is compared with the first
 one of its hash in the same document, and a word is repeated if it lies in a stretch that also starts earlier.
 
-``llr_scores`` is the corpus model: hashed n-grams, a multinomial of the trusted target (stretches where they first occur
-in a document) against one of the raw corpus (all stretches), and per document the log-likelihood ratio divided by its
-length. The score depends only on how often which n-gram occurs, relative to the length: a text and the same text
-written twice over score alike, though the latter is repeated by half. So it can rank documents but cannot give the share
-of repeated words, which is what ``repeated_words`` is for.
+``screened_repetition`` finds the documents with at least a given share of repeated words by a log-likelihood ratio of two
+multinomials over hashed n-grams. The raw corpus is all stretches of all documents; the trusted target is what it would be
+without repetition, every stretch where it first occurs in its document. As repetition is meant inside a document, the hash
+of a stretch covers its document, too. The score of a document is the sum over its stretches of log(raw count / target
+count), divided by their number; the totals of both multinomials add the same constant to every score and are left out.
+
+Every document is thresholded alike, at a score that none with the wanted share can miss: a word is repeated only in a
+stretch that is not the first of its kind, n words at most in each, and such a stretch has a raw count of 2 or more, a
+target count of 1. So a share s of w words takes at least s * w / n of them, and the sum is at least s * w / n * log 2.
+Equal hashes of different stretches only raise it. What passes is then measured word by word, as by ``repeated_words``.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a stretch; characters that a worker handles at once (longer documents are handled alone, whole); hash buckets.
-STRETCH, BATCH_CHARS, BUCKETS = 8, 300_000, 1 << 16
+#: Words in a stretch; characters that a worker handles at once (longer documents are handled alone, whole).
+STRETCH, BATCH_CHARS = 8, 300_000
 
 
 @lru_cache(maxsize=1)
@@ -146,66 +151,51 @@ def repeated_words(df: DataFrame, id_col: str, text_col: str, n: int = STRETCH)
     return out.select(F.col("id").alias(id_col), "words", "repeated", share.alias("share"))
 
 
-def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
-
-
-def _portable_stretches(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, is the first in its document); the hash is made of the letters, so it is the same on every worker."""
+def llr_sums(texts: list[str], n: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, stretches, summed log ratio) of each text; the sum divided by the stretches is its score."""
     doc, offset, length, letters = _words(texts)
-    ids = _word_ids(offset, length, letters)
-    start, _, first = _stretches(doc, ids, n)
+    words = np.bincount(doc, minlength=len(texts))
+    count = max(doc.size - n + 1, 0)
+    start = np.flatnonzero(doc[:count] == doc[n - 1 :]) if count else np.zeros(0, np.int64)
     if not start.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    place = np.arange(letters.size) - np.repeat(offset, length)
+        return words, np.zeros(len(texts), np.int64), np.zeros(len(texts))
     power = _coefficients(1 << max(10, int(length.max()).bit_length()), 11)
-    word = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * power[place], offset)
+    place = np.arange(letters.size) - np.repeat(offset, length)
+    word = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * power[place], offset) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    word ^= word >> np.uint64(31)
     mix = _coefficients(n + 1, 13)
-    hashed = np.zeros(start.size, np.uint64)
+    hashed = doc[start].astype(np.uint64) * mix[n]
     for k in range(n):
         hashed += word[start + k] * mix[k]
-    hashed ^= hashed >> np.uint64(29)
-    return doc[start], hashed, first == start
+    # The target count of each hash is 1, its first occurrence, so the ratio is the raw count.
+    _, kind, raw = np.unique(hashed, return_inverse=True, return_counts=True)
+    of = doc[start]
+    return words, np.bincount(of, minlength=len(texts)), np.bincount(of, np.log(raw)[kind], len(texts))
 
 
-def fit_llr(df: DataFrame, text_col: str, n: int = STRETCH, buckets: int = BUCKETS) -> np.ndarray:
-    """log(raw share / target share) per hash bucket, over all documents, each count raised by one.
+def screened_repetition(df: DataFrame, id_col: str, text_col: str, share: float, n: int = STRETCH) -> DataFrame:
+    """(id, words, stretches, score, flagged, repeated): the log-likelihood ratio of every document, whether it reaches the
+    score that ``share`` of repeated words takes at least, and for flagged ones the exact number of repeated words.
 
-    Counts are summed per Arrow batch before they are shuffled; the model has ``buckets`` entries whatever the corpus.
+    ``repeated`` is null for documents that are not flagged: their share is below ``share``. Without stretches the score is
+    0, and nothing is flagged. Null texts have no words; rows with the same id are scored each by itself.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            for _, part in _parts(batch.column(0).to_pylist(), BATCH_CHARS):
-                _, hashed, is_first = _portable_stretches(part, n)
-                at = bucket_of(hashed, buckets)
-                raw += np.bincount(at, minlength=buckets)
-                target += np.bincount(at[is_first], minlength=buckets)
-        on = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(raw[on]), pa.array(target[on])], names=["bucket", "raw", "target"])
-
-    sums = df.select(text_col).mapInArrow(run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(buckets), np.ones(buckets)
-    for b, r, t in sums:
-        raw[b] += r
-        target[b] += t
-    return np.log(raw / raw.sum()) - np.log(target / target.sum())
-
-
-def llr_scores(df: DataFrame, id_col: str, text_col: str, ratios: np.ndarray, n: int = STRETCH) -> DataFrame:
-    """(id, stretches, score): the mean log ratio of a document's stretches; 0 for documents without any."""
-    shared = df.sparkSession.sparkContext.broadcast(ratios)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, part in _parts(texts, BATCH_CHARS):
-                doc, hashed, _ = _portable_stretches(part, n)
-                count = np.bincount(doc, minlength=len(part))
-                total = np.bincount(doc, shared.value[bucket_of(hashed, shared.value.size)], len(part))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(count, pa.int64()), pa.array(total / np.maximum(count, 1))], names=["id", "stretches", "score"])
+                words, stretches, total = llr_sums(part, n)
+                flagged = (stretches > 0) & (total >= share * words / n * np.log(2) * (1 - 1e-9))
+                repeated = np.zeros(len(part), np.int64)
+                on = np.flatnonzero(flagged)
+                if on.size:
+                    repeated[on] = measure([part[i] for i in on], n)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(part)), pa.array(words, pa.int64()), pa.array(stretches, pa.int64()), pa.array(total / np.maximum(stretches, 1)), pa.array(flagged), pa.array(repeated, pa.int64(), mask=~flagged)],
+                    names=["id", "words", "stretches", "score", "flagged", "repeated"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, stretches bigint, score double")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, words bigint, stretches bigint, score double, flagged boolean, repeated bigint")
     return out.withColumnRenamed("id", id_col)

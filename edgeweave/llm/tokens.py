@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 #: The pattern that splits text before the merges of the byte-level rank files; fixed with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: White space is split before a word by backtracking over the whole run, so longer runs are cut into pieces of this length.
+#: Runs of white space longer than this are not given to the splitting pattern, which backtracks over them; same result.
 LONGEST_BLANK = 50_000
-_LONG_BLANK = re.compile(r"\s{%d,}" % (LONGEST_BLANK + 1))
+#: White space as the pattern has it.
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -39,21 +40,22 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_text(enc, text: str | None) -> int:
+def count_text(enc, text: str | None, longest: int = LONGEST_BLANK) -> int:
     """Tokens of a whole text; none for null and empty ones.
 
-    A run of more than ``LONGEST_BLANK`` white space characters counts as the sum of its pieces; its last character stays
-    with the word that follows.
+    The pattern makes one piece of a run of white space, without its last character where a word follows. So texts may be
+    cut at either end of that piece, and a run longer than ``longest`` is merged as the piece that it is, whole.
     """
     if not text:
         return 0
-    if len(text) <= LONGEST_BLANK or not (runs := list(_LONG_BLANK.finditer(text))):
+    if len(text) <= longest or not (runs := list(re.finditer(f"{_BLANK}{{{longest + 1},}}", text))):
         return len(enc.encode_ordinary(text))
     total = at = 0
     for run in runs:
-        total += len(enc.encode_ordinary(text[at : run.start()]))
-        at = run.end() - (run.end() < len(text))
-        total += sum(len(enc.encode_ordinary(text[i : min(i + LONGEST_BLANK, at)])) for i in range(run.start(), at, LONGEST_BLANK))
+        end = run.end() - (run.end() < len(text))
+        piece = text[run.start() : end]
+        total += len(enc.encode_ordinary(text[at : run.start()])) + (len(enc._encode_single_piece(piece)) if piece else 0)
+        at = end
     return total + len(enc.encode_ordinary(text[at:]))
 
 

@@ -22,12 +22,17 @@ def test_token_counts(spark):
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
 
 
-def test_long_blanks_do_not_break_the_tokenizer():
+def test_long_blanks_are_counted_whole():
     enc = encoding(vocabulary_path())
-    n = LONGEST_BLANK * 3 + 7
-    assert count_text(enc, " " * n + "x") == n
-    assert count_text(enc, "a b" + "\n" * n + "c") > n // 4
-    assert count_text(enc, "x y") == len(enc.encode_ordinary("x y"))
+    rng = random.Random(9)
+    blanks = " \n\t\r\x0b\x1c\x85\xa0\u2003\u3000"
+    for _ in range(400):
+        parts = [rng.choice(["a", "foo's", "12", "漢", "!?", " x"]) + "".join(rng.choice(blanks) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        text = rng.choice(["", " ", "\n\n\n\n"]) + "".join(parts) + rng.choice(["", "z"])
+        assert count_text(enc, text, rng.randint(0, 4)) == len(enc.encode_ordinary(text))
+    for text in ("a\t" + "\n" * (LONGEST_BLANK + 10_001) + "b", " " * (2 * LONGEST_BLANK) + "x", "x" + " \t" * LONGEST_BLANK):
+        assert count_text(enc, text) == len(enc.encode_ordinary(text))
+    assert count_text(enc, "a" + " " * 3_000_000 + "b") > 1000
 
 
 # --- p6
@@ -93,7 +98,7 @@ def first_fit_decreasing(sizes, capacity):
     return len(room)
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
     rng = random.Random(2)
     sizes = {i: rng.choice([0, 1, 99, 100, 101, 250, rng.randint(1, 60)]) for i in range(2000)}
     docs = spark.createDataFrame([(i, n, "x") for i, n in sizes.items()] + [(None, 4, "x")], "doc_id bigint, n_tokens bigint, window string")
@@ -105,6 +110,9 @@ def test_pack(spark):
         assert n <= 1.03 * first_fit_decreasing(sizes.values(), capacity) + 8
     assert packing.pack(docs.limit(0), spec).collect() == []
     assert packing.pack(docs, spec.limit(0)).collect() == []
+    # More containers than a plan lists are joined, with the same result.
+    monkeypatch.setattr(packing, "MAX_LISTED", 1)
+    assert sorted(map(tuple, packing.pack(docs, spec, shard_docs=500).collect())) == sorted(map(tuple, got))
 
 
 def test_pack_only_empty_documents(spark):
@@ -123,11 +131,11 @@ def test_mix(spark):
     targets = spark.createDataFrame([("big_one", 0.5, 3), ("small", 0.2, 4), ("absent", 0.1, 2), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
     mix = mixing.mix_plan(df, targets)
     total = sum(n for *_, n in docs)
-    plan = {r[0]: r for r in mix.rows}
+    plan = {r["source"]: r for r in mix.plan.collect()}
     assert mix.total == total
-    assert [n for n, r in plan.items() if r[-1]] == ["absent", "small"]
-    assert plan["big_one"][5:7] == (1.0, 0.5) and plan["small"][7] == 4 * 200
-    assert abs(plan["small"][6] * total - 800) < 1e-6 * total  # the bisected exponent stops at the limit
+    assert sorted(n for n, r in plan.items() if r["limited"]) == ["absent", "small"]
+    assert plan["big_one"]["exponent"] == 1 and plan["big_one"]["weight"] == 0.5 and plan["small"]["budget"] == 4 * 200
+    assert abs(plan["small"]["weight"] * total - 800) < 1e-6 * total  # the bisected exponent stops at the limit
     taken = mixing.select_mix(df, mix).collect()
     by = defaultdict(Counter)
     tokens = Counter()
@@ -140,34 +148,63 @@ def test_mix(spark):
     report = {r["source"]: r for r in mixing.mix_report(mix, mixing.select_mix(df, mix)).collect()}
     assert abs(report["big_one"]["share_of_all"] - 0.5) < 1e-3 and report["absent"]["share_of_all"] == 0
     assert rows(mixing.select_mix(df, mix)) == sorted(tuple(r) for r in taken)  # the permutation is keyed, not random
+    # Smaller blocks take the same documents but for those at the end of the budget.
+    fine = mixing.select_mix(df, mix, block_docs=2).collect()
+    assert abs(sum(r["n_tokens"] for r in fine if r["source"] == "big_one") - int(0.5 * total)) <= 40
+    # A third of the tokens is short of its target: the balanced mix shrinks until all shares hold.
+    balanced = mixing.balanced_plan(df, targets)
+    got = {r["source"]: r for r in mixing.mix_report(balanced, mixing.select_mix(df, balanced)).collect()}
+    assert abs(got["big_one"]["share_of_selection"] - 5 / 7) < 0.01 and abs(got["small"]["share_of_selection"] - 2 / 7) < 0.01 and got["small"]["taken"] == 800
+
+
+def test_limits_at_the_border(spark):
+    """Exactly enough documents is not limited, one token less is."""
+    df = spark.createDataFrame([(i, s, 1) for s, n in (("a", 300), ("b", 299), ("c", 401)) for i in range(n)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.8, 2)], "source string, target_share double, max_repeats int")
+    assert {r["source"]: r["limited"] for r in mixing.mix_plan(df, targets).plan.collect()} == {"a": False, "b": True, "c": False}
 
 
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint")
     targets = spark.createDataFrame([("a", 0.5, 3)], "source string, target_share double, max_repeats int")
-    mix = mixing.mix_plan(none, targets)
-    assert mix.rows[0][-1] is False and mixing.select_mix(none, mix).collect() == []
-    assert mixing.mix_report(mix, mixing.select_mix(none, mix)).first()["share_of_selection"] == 0
-    assert mixing.mix_plan(none, targets.limit(0)).rows == []
+    for make in (mixing.mix_plan, mixing.balanced_plan, mixing.temperature_plan):
+        mix = make(none, targets)
+        assert mixing.select_mix(none, mix).collect() == []
+        assert mixing.mix_report(mix, mixing.select_mix(none, mix)).first()["share_of_selection"] == 0
+        assert make(none, targets.limit(0)).plan.collect() == []
+    assert mixing.mix_plan(none, targets).plan.first()["limited"] is False
 
 
-def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_DOCS", 50)
-    df = spark.createDataFrame([(i, "a", 1 + i % 9) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+def test_many_blocks(spark):
+    df = spark.createDataFrame([(i, "a", 1 + i % 9) for i in range(20_000)], "doc_id bigint, source string, n_tokens bigint").cache()
     targets = spark.createDataFrame([("a", 0.37, 1)], "source string, target_share double, max_repeats int")
     mix = mixing.mix_plan(df, targets)
-    got = mixing.select_mix(df, mix).collect()
-    assert len({r["doc_id"] for r in got}) == len(got) and 0 <= int(0.37 * mix.total) - sum(r["n_tokens"] for r in got) <= 1
+    for block in (1, 50, 4096):
+        got = mixing.select_mix(df, mix, block).collect()
+        assert len({r["doc_id"] for r in got}) == len(got) and 0 <= int(0.37 * mix.total) - sum(r["n_tokens"] for r in got) <= 9
 
 
-def test_temperature():
-    tokens = [1000, 100, 10, 0]
-    uniform = np.log(3)
-    assert mixing.temperature_weights(tokens, uniform + 1)[0] == 0.0
+def test_temperature(spark):
+    sizes = {"a": 1000, "b": 100, "c": 10}
+    df = spark.createDataFrame([(i, s, 1) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string, n_tokens bigint").cache()
+    wide = spark.createDataFrame([(s, 0.25, 10_000) for s in ("a", "b", "c", "none")], "source string, target_share double, max_repeats int")
     for goal in (1.0, 0.5, 0.2):
-        a, w = mixing.temperature_weights(tokens, goal)
-        assert abs(mixing.entropy(w) - goal) < 1e-6 and abs(sum(w) - 1) < 1e-9 and w[3] == 0 and w[0] > w[1] > w[2]
-    assert mixing.temperature_weights([0, 0], 1.0) == (0.0, [0.0, 0.0])
+        plan = {r["source"]: r for r in mixing.temperature_plan(df, wide, goal).plan.collect()}
+        w = [plan[s]["weight"] for s in "abc"]
+        assert abs(mixing.entropy(w) - goal) < 1e-6 and abs(sum(w) - 1) < 1e-6 and w[0] > w[1] > w[2] and plan["none"]["weight"] == 0
+        a = plan["a"]["exponent"]
+        assert abs(w[1] / w[0] - (100 / 1000) ** a) < 1e-9 and abs(w[2] / w[0] - (10 / 1000) ** a) < 1e-9
+    even = {r["source"]: r for r in mixing.temperature_plan(df, wide).plan.collect()}
+    assert abs(even["a"]["exponent"]) < 1e-3  # the targets are even over the three that have tokens
+    # With limits, the scarce sources stop and the rest is filled into the others.
+    tight = wide.withColumn("max_repeats", wide["max_repeats"] * 0 + 3)
+    mix = mixing.temperature_plan(df, tight)
+    plan = {r["source"]: r for r in mix.plan.collect()}
+    assert plan["c"]["budget"] == 30 and plan["b"]["budget"] == 300 and abs(plan["a"]["budget"] - 780) <= 1 and not plan["a"]["limited"]
+    got = {r["source"]: r["taken"] for r in mixing.mix_report(mix, mixing.select_mix(df, mix)).collect()}
+    assert got["c"] == 30 and got["b"] == 300 and abs(got["a"] - 780) <= 1
+    few = {r["source"]: r["budget"] for r in mixing.temperature_plan(df, wide.withColumn("max_repeats", wide["max_repeats"] * 0)).plan.collect()}
+    assert set(few.values()) == {0}
 
 
 # --- p8
@@ -220,18 +257,36 @@ def test_repetition_query(spark):
     assert rows(repetition.repeated_words(df.limit(0), "doc_id", "text")) == []
 
 
-def test_llr_ranks_spam_but_cannot_measure_it(spark):
+def test_llr_misses_nothing(spark):
+    """Every document with the wanted share is flagged, also where all words have one hash; the exact check leaves just these."""
     rng = random.Random(8)
-    letters = "abcdefghij"
-    word = lambda: "".join(rng.choice(letters) for _ in range(5))
-    clean = [" ".join(word() for _ in range(80)) for _ in range(40)]
-    spam = ["buy the cheap watches now from our best shop " * 12 for _ in range(4)]
-    df = spark.createDataFrame(list(enumerate(clean + spam)) + [(100, None), (101, "few words")], "doc_id bigint, text string")
-    ratios = repetition.fit_llr(df, "text")
-    score = {r["doc_id"]: r["score"] for r in repetition.llr_scores(df, "doc_id", "text", ratios).collect()}
-    assert min(score[i] for i in range(40, 44)) > max(score[i] for i in range(40)) and score[100] == score[101] == 0
-    # A text and the same text twice over: nothing repeated and half of it, but one score.
-    twice = spark.createDataFrame([(0, clean[0]), (1, clean[0] + " " + clean[0])], "doc_id bigint, text string")
-    a, b = (r["score"] for r in repetition.llr_scores(twice, "doc_id", "text", ratios).orderBy("doc_id").collect())
-    assert abs(a - b) < 0.1 * abs(a)
-    assert [brute_repetition(t)[1] for t in (clean[0], clean[0] + " " + clean[0])] == [0, 80]
+    texts = sample_texts() + ["the same eight words stand here once more " * k for k in range(1, 5)]
+    for _ in range(150):
+        part = " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randint(8, 40)))
+        texts.append(part + " " + " ".join("".join(rng.choice("qrstuvw") for _ in range(4)) for _ in range(rng.randint(0, 200))) + " " + part)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, score string")
+    want = [brute_repetition(t) for t in texts]
+    for share in (0.05, 0.3, 0.8):
+        got = {r["doc_id"]: r for r in repetition.screened_repetition(df, "doc_id", "text", share).collect()}
+        for i, (w, r) in enumerate(want):
+            assert got[i]["words"] == w
+            if w and r and r >= share * w:
+                assert got[i]["flagged"]
+            assert got[i]["repeated"] == (r if got[i]["flagged"] else None)
+    assert rows(repetition.screened_repetition(df.limit(0), "doc_id", "text", 0.3)) == []
+
+
+def test_llr_is_the_ratio_of_the_multinomials():
+    text = "a b c d e f g h a b c d e f g h x"
+    words, stretches, total = repetition.llr_sums([text, "", "a b c"])
+    assert words.tolist() == [17, 0, 3] and stretches.tolist() == [10, 0, 0]
+    assert abs(total[0] - 2 * np.log(2)) < 1e-12 and total[1] == total[2] == 0
+
+
+def test_llr_survives_equal_hashes(monkeypatch):
+    texts = [t or "" for t in sample_texts()]
+    monkeypatch.setattr(repetition, "_coefficients", lambda n, seed: np.zeros(n, np.uint64))
+    words, _, total = repetition.llr_sums(texts)
+    for t, w, s in zip(texts, words, total):
+        r = brute_repetition(t)[1]
+        assert not r or s >= 0.3 * w / 8 * np.log(2) or r < 0.3 * w

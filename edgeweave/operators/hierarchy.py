@@ -7,7 +7,7 @@ once, and about a third of every chain goes in each round, so any forest, and an
 of the logarithm of its nodes. Trees vanish completely; what is left of a cycle is one node that is its own parent.
 
 Downwards, the rounds are taken in reverse: whatever a node was sent to when it was peeled is known by then, which gives
-its path, depth and root. Each node is written once on the way up and once on the way down.
+its path, depth and root. Rounds shrink by a constant factor, so both ways write a small multiple of the nodes.
 
 Descendant lists travel the same way, as rows: a peeled node sends itself and all it holds to the node above; a node taken
 out of a chain gets the list of its child on the way down.
@@ -150,39 +150,35 @@ def peel(links: DataFrame, with_descendants: bool = False, rows_per_salt: int =
         crowded.append((most or 0) > rows_per_salt)
 
     # Nodes of cycles that are left stand for their cycle.
-    last = alive.select(*_KEY, F.col("least").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("in_cycle").alias("state"), F.lit(None).cast("long").alias("below"))
-    known = [last]
+    known = alive.select(*_KEY, F.col("least").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("in_cycle").alias("state"), F.lit(None).cast("long").alias("below"))
     for n in reversed(range(len(leaves))):
-        every = reduce(DataFrame.unionByName, known)
-        over = every.toDF(*[c if c == "tree" else f"up_{c}" for c in _PLACED]).drop("up_below").withColumnRenamed("up_node", "up")
-        under = every.select("tree", F.col("node").alias("kids"), F.col("root").alias("kid_root"), F.col("state").alias("kid_state"), F.col("below").alias("kid_below"))
-        ring, hangs = F.col("kid_state") == "in_cycle", F.col("up_state") == "tree"
-        back = chained[n].join(over, ["tree", "up"]).join(under, ["tree", "kids"])
-        back = back.select(
-            *_KEY,
-            F.when(ring, F.col("kid_root")).otherwise(F.col("up_root")).alias("root"),
-            F.when(hangs, F.col("up_depth") + F.col("gap")).otherwise(F.lit(-1)).alias("depth"),
-            F.when(hangs, F.concat("up_path", F.lit("/"), "trail")).otherwise(F.lit("")).alias("path"),
-            F.when(ring, "in_cycle").when(hangs, "tree").otherwise("below_cycle").alias("state"),
-            F.when(~ring, F.col("acc") + 1 + F.col("kid_below")).alias("below"),
-        )
-        back = _kept(back)
-        known.append(back)
-        over = reduce(DataFrame.unionByName, known).drop("below").toDF(*[c if c == "tree" else f"up_{c}" for c in _PLACED[:-1]]).withColumnRenamed("up_node", "up")
-        hung = leaves[n].where("up is not null").select(*_KEY, "up", "gap", "trail", "acc")
-        hung = salted_join(hung, over, ["tree", "up"], rows_per_salt=rows_per_salt) if crowded[n] else hung.join(over, ["tree", "up"])
-        hung = hung.select(
-            *_KEY,
-            F.col("up_root").alias("root"),
-            F.when(hangs, F.col("up_depth") + F.col("gap")).otherwise(F.lit(-1)).alias("depth"),
-            F.when(hangs, F.concat("up_path", F.lit("/"), "trail")).otherwise(F.lit("")).alias("path"),
-            F.when(hangs, "tree").otherwise("below_cycle").alias("state"),
-            F.col("acc").alias("below"),
-        )
-        roots = leaves[n].where("up is null").select(*_KEY, F.col("node").alias("root"), F.lit(0).alias("depth"), "trail", F.lit("tree").alias("state"), "acc").toDF(*_PLACED)
-        known.append(_kept(hung.unionByName(roots)))
-    out = reduce(DataFrame.unionByName, known)
-    return Hierarchy(out, _beneath(out, leaves, chained) if with_descendants else None, len(leaves))
+        known = _placed(known, leaves[n], chained[n], crowded[n], rows_per_salt)
+        if n or with_descendants:
+            known = _kept(known)  # a table of all rounds so far; the next one is larger by a constant factor
+    return Hierarchy(known, _beneath(known, leaves, chained) if with_descendants else None, len(leaves))
+
+
+def _placed(known: DataFrame, leaves: DataFrame, chained: DataFrame, crowded: bool, rows_per_salt: int) -> DataFrame:
+    """``known`` with the nodes of one more round of peeling: first those of chains, then the leaves."""
+    above = lambda df: df.drop("below").toDF(*[c if c == "tree" else f"up_{c}" for c in _PLACED[:-1]]).withColumnRenamed("up_node", "up")
+    under = known.select("tree", F.col("node").alias("kids"), F.col("root").alias("kid_root"), F.col("state").alias("kid_state"), F.col("below").alias("kid_below"))
+    ring, hangs = F.col("kid_state") == "in_cycle", F.col("up_state") == "tree"
+    depth = F.when(hangs, F.col("up_depth") + F.col("gap")).otherwise(F.lit(-1)).alias("depth")
+    path = F.when(hangs, F.concat("up_path", F.lit("/"), "trail")).otherwise(F.lit("")).alias("path")
+    back = chained.join(above(known), ["tree", "up"]).join(under, ["tree", "kids"]).select(
+        *_KEY,
+        F.when(ring, F.col("kid_root")).otherwise(F.col("up_root")).alias("root"),
+        depth,
+        path,
+        F.when(ring, "in_cycle").when(hangs, "tree").otherwise("below_cycle").alias("state"),
+        F.when(~ring, F.col("acc") + 1 + F.col("kid_below")).alias("below"),
+    )
+    back = known.unionByName(back)
+    hung = leaves.where("up is not null").select(*_KEY, "up", "gap", "trail", "acc")
+    hung = salted_join(hung, above(back), ["tree", "up"], rows_per_salt=rows_per_salt) if crowded else hung.join(above(back), ["tree", "up"])
+    hung = hung.select(*_KEY, F.col("up_root").alias("root"), depth, path, F.when(hangs, "tree").otherwise("below_cycle").alias("state"), F.col("acc").alias("below"))
+    roots = leaves.where("up is null").select(*_KEY, F.col("node").alias("root"), F.lit(0).alias("depth"), "trail", F.lit("tree").alias("state"), "acc").toDF(*_PLACED)
+    return back.unionByName(hung).unionByName(roots)
 
 
 def _beneath(out: DataFrame, leaves: list[DataFrame], chained: list[DataFrame]) -> DataFrame:
@@ -195,6 +191,7 @@ def _beneath(out: DataFrame, leaves: list[DataFrame], chained: list[DataFrame])
     peeled = peeled.join(tree, _KEY)
     times = peeled.select("tree", F.col("node").alias("up"), F.col("t").alias("up_t"))
     peeled = materialize(peeled.join(times, ["tree", "up"], "left").select(*_KEY, "up", "gap", "kids", "depth", "t", "up_t"))
+    lists: list[DataFrame] = []  # rows that are final
     held: list[DataFrame] = []  # (tree, node, descendant, distance, t: when the node is peeled)
     for t in range(len(when)):
         now = peeled.where((F.col("t") == t) & F.col("up_t").isNotNull())
@@ -204,11 +201,15 @@ def _beneath(out: DataFrame, leaves: list[DataFrame], chained: list[DataFrame])
             on = reduce(DataFrame.unionByName, mine).join(now.select(*_KEY, "up", "gap", "up_t"), _KEY)
             sent = sent.unionByName(on.select("tree", F.col("up").alias("node"), "descendant", (F.col("distance") + F.col("gap")).alias("distance"), F.col("up_t").alias("t")))
         held.append(_kept(sent))
-    lists = [h.select(*_BENEATH) for h in held]
+        if len(held) > 5:  # plans with many small tables cost more than writing what is still needed once more
+            lists.append(_kept(reduce(DataFrame.unionByName, held).where(F.col("t") <= t).select(*_BENEATH)))
+            held = [_kept(reduce(DataFrame.unionByName, held).where(F.col("t") > t))]
+    lists += [h.select(*_BENEATH) for h in held]
     depth = peeled.select("tree", F.col("node").alias("kids"), F.col("depth").alias("kid_depth"))
     for t in reversed(range(1, len(when), 2)):
         links = peeled.where(F.col("t") == t).join(depth, ["tree", "kids"]).select(*_KEY, "kids", (F.col("kid_depth") - F.col("depth")).alias("step"))
         below = reduce(DataFrame.unionByName, lists).withColumnRenamed("node", "kids").join(links, ["tree", "kids"])
         more = below.select(*_KEY, "descendant", (F.col("distance") + F.col("step")).alias("distance"))
+        # Lists of nodes of the same round do not build on each other.
         lists.append(_kept(more.unionByName(links.select(*_KEY, F.col("kids").alias("descendant"), F.col("step").alias("distance")))))
     return reduce(DataFrame.unionByName, lists)

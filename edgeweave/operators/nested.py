@@ -31,6 +31,8 @@ from ..runtime import ROWS_PER_SALT, hot_keys, materialize, salted_join
 
 _INTEGER = re.compile(r"\s*[+-]?\d{1,19}\s*\Z", re.ASCII)
 _LONG = 1 << 63
+#: Most partitions of the tables.
+MAX_PARTITIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -199,7 +201,8 @@ def shred(
         F.col(body_col).alias("body"),
     )
     members = members or {}
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many partitions as the input has: flat rows take about the room of the text they come from.
+    parts = min(max(source.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism), MAX_PARTITIONS)
     stored = materialize(source.mapInArrow(_shredder(levels, envelope, marks, members), _SHREDDED).repartition(parts, "h1", "h2"))
     first = F.struct(F.coalesce("loaded_us", F.lit(_LONG - 1)).alias("l"), F.col("c1")[0].alias("a"), F.col("c2")[0].alias("b"))
     roots = stored.where("tag = 0").groupBy("h1", "h2").agg(F.min(first).alias("m")).select(F.col("h1").alias("record_id"), F.col("m.a").alias("h1"), F.col("m.b").alias("h2"))

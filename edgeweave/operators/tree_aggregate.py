@@ -20,20 +20,21 @@ from ..runtime import lookup, materialize
 
 #: Elements in a chunk, states merged at once, distance of the sampled elements in a chunk.
 CHUNK, FAN_IN, STRIDE = 4096, 8, 8
+#: Bits that number the chunks of ``tree_stats``: the lower ones for the place in a partition, the others for the partition.
+CHUNK_BITS, PLACE_BITS = 18, 6
 
 
-def tree_stats(df: DataFrame, keys: Sequence[str], leaf: dict[str, Column], merge: dict[str, str], chunk: int = CHUNK * 16, fan_in: int = 64) -> DataFrame:
+def tree_stats(df: DataFrame, keys: Sequence[str], leaf: dict[str, Column], merge: dict[str, str], chunk: int = CHUNK * 16, fan_in: int = 512) -> DataFrame:
     """Mergeable aggregates per key through chunk states, merged in rounds of ``fan_in`` until one is left per key.
 
     ``leaf`` names the aggregates of raw rows, ``merge`` the SQL aggregate function that merges each (sum, min, max). A
     chunk is ``chunk`` consecutive rows of an input partition, combined in the task that reads it. Each round merges
-    neighbouring chunks, so a reducer gets at most ``fan_in`` states of a key; there are as many rounds as the logarithm of
-    the number of chunks. Nulls in keys form a key of their own. No rows give no rows.
+    neighbouring chunks, so a reducer gets at most ``fan_in`` states of a key; there are as many rounds as the logarithm, to
+    the base ``fan_in``, of the 2^CHUNK_BITS chunks that are told apart. Nulls in keys form a key of their own. No rows give no rows.
     """
     at = F.monotonically_increasing_id()
-    place = 1024  # chunks of a partition that are told apart; longer partitions go round
-    states = df.withColumn("__chunk", F.shiftright(at, 33) * place + F.floor(at.bitwiseAND((1 << 33) - 1) / chunk) % place)
-    chunks = max(df.rdd.getNumPartitions(), 1) * place
+    place, chunks = 1 << PLACE_BITS, 1 << CHUNK_BITS
+    states = df.withColumn("__chunk", F.pmod(F.shiftright(at, 33), F.lit(chunks // place)) * place + F.floor(at.bitwiseAND((1 << 33) - 1) / chunk) % place)
     states = states.groupBy(*keys, "__chunk").agg(*[c.alias(n) for n, c in leaf.items()])
     while chunks > 1:
         chunks = -(-chunks // fan_in)

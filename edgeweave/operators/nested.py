@@ -7,7 +7,8 @@ equal subtrees have equal identities, are stored once, and a parent refers to it
 ``shred`` gives three tables:
 
 * ``roots``   (record id, root identity): one row per record, of its earliest complete delivery
-* ``objects`` (level, identity, payload, ...): every distinct object once, payload in canonical JSON
+* ``objects`` (level, identity, payload): every distinct object once, payload in canonical JSON
+* ``shapes``  (level, identity, width, cells, children): the same objects without their texts, which is what joins carry
 * ``bridges`` (level of the parent, parent identity, ordinal, child identity): one row per occurrence below a distinct parent
 
 An identity is 128 bits in two columns, h1 and h2. ``occurrences`` puts the tables together again and gives every occurrence
@@ -31,8 +32,6 @@ from ..runtime import ROWS_PER_SALT, hot_keys, materialize, salted_join
 
 _INTEGER = re.compile(r"\s*[+-]?\d{1,19}\s*\Z", re.ASCII)
 _LONG = 1 << 63
-#: Most partitions of the tables.
-MAX_PARTITIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +47,7 @@ class Level:
 class NestedTables:
     roots: DataFrame
     objects: DataFrame
+    shapes: DataFrame
     bridges: DataFrame
     levels: tuple[Level, ...]
     members: dict[int, tuple[str, ...]]
@@ -192,8 +192,7 @@ def shred(
     identity; a null load time comes last). Null ids, null bodies and bodies that are not one complete JSON object count
     for nothing. A child member that is absent, null or no array has no children; elements that are no objects keep their
     ordinal and have no members. ``members`` names those that ``occurrences`` can give out, by level. Each body is parsed
-    once, in Arrow batches; objects are made distinct per worker, then shuffled once, by identity, which the tables keep.
-    An empty table gives three empty tables.
+    once, in Arrow batches; objects are made distinct per worker before they are shuffled by identity. An empty table gives empty tables.
     """
     source = df.select(
         F.col(id_col).cast("long").alias("record_id"),
@@ -201,15 +200,14 @@ def shred(
         F.col(body_col).alias("body"),
     )
     members = members or {}
-    # As many partitions as the input has: flat rows take about the room of the text they come from.
-    parts = min(max(source.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism), MAX_PARTITIONS)
-    stored = materialize(source.mapInArrow(_shredder(levels, envelope, marks, members), _SHREDDED).repartition(parts, "h1", "h2"))
+    stored = materialize(source.mapInArrow(_shredder(levels, envelope, marks, members), _SHREDDED))
     first = F.struct(F.coalesce("loaded_us", F.lit(_LONG - 1)).alias("l"), F.col("c1")[0].alias("a"), F.col("c2")[0].alias("b"))
     roots = stored.where("tag = 0").groupBy("h1", "h2").agg(F.min(first).alias("m")).select(F.col("h1").alias("record_id"), F.col("m.a").alias("h1"), F.col("m.b").alias("h2"))
-    objects = stored.where("tag = 1").drop("tag", "loaded_us").distinct()
-    bridges = objects.select("level", F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.posexplode(F.arrays_zip("c1", "c2")).alias("ordinal", "child"))
+    objects = stored.where("tag = 1").select("level", "h1", "h2", "payload").distinct()
+    shapes = materialize(stored.where("tag = 1").select("level", "h1", "h2", "width", "cells", "c1", "c2").distinct())
+    bridges = shapes.select("level", F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.posexplode(F.arrays_zip("c1", "c2")).alias("ordinal", "child"))
     bridges = bridges.select("level", "p1", "p2", "ordinal", F.col("child.c1").alias("h1"), F.col("child.c2").alias("h2"))
-    return NestedTables(roots, objects, bridges, levels, members)
+    return NestedTables(roots, objects, shapes, bridges, levels, members)
 
 
 def occurrences(tables: NestedTables, columns: dict[int, list[tuple[str, str]]], id_col: str = "record_id", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -223,12 +221,12 @@ def occurrences(tables: NestedTables, columns: dict[int, list[tuple[str, str]]],
     """
     key = ["h1", "h2"]
     common = hot_keys(tables.bridges, key, rows_per_salt)
-    large = tables.objects.where(F.col("width") > rows_per_salt)
+    large = tables.shapes.where(F.col("width") > rows_per_salt)
     large = large.groupBy(F.xxhash64(*key).alias("__hash")).agg(F.max(F.ceil(F.col("width") / rows_per_salt)).cast("int").alias("__salts")) if large.take(1) else None
     below: DataFrame | None = None
     for at in range(len(tables.levels) - 1, -1, -1):
         level = tables.levels[at]
-        at_level = tables.objects.where(F.col("level") == at)
+        at_level = tables.shapes.where(F.col("level") == at)
         cell = lambda n: F.get("cells", F.lit(tables.members[at].index(n)))  # noqa: E731, B023
         named = [cell(n).try_cast(t).alias(f"{level.name}_{n}") for n, t in columns.get(at, [])]
         own = at_level.select(*key, *named)

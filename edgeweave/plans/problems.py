@@ -50,7 +50,7 @@ def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of paths: one row per path of each Result, with its parent and its place in it."""
     t = _results(spark, sf_dir)
-    upper = NestedTables(t.roots, t.objects, t.bridges, t.levels[:2], t.members)
+    upper = NestedTables(t.roots, t.objects, t.shapes, t.bridges, t.levels[:2], t.members)
     rows = occurrences(upper, {0: [("shape", "string"), ("view", "string")], 1: [("length", "bigint"), ("status", "string")]}, "result_id")
     return rows.where("path_pos is not null").select("result_id", "path_pos", "result_shape", "result_view", "path_length", "path_status")
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import field_shape, value_type
 from .graph import PropertyGraph
-from .runtime import materialize
+from .runtime import materialize, numbered, salted_join
 
 #: Kinds of symbols that are entities; with class templates.
 RECORDS, RECORDS_AND_TEMPLATES = (2, 3, 4, 5), (2, 3, 4, 5, 31)
@@ -46,16 +46,17 @@ def possible_calls(g: PropertyGraph) -> DataFrame:
     many = g.t("symbol").where("multi_def > 1").select(F.col("id").alias("dst_id"))
     bodies = g.t("definition").select(F.col("symbol_id").alias("dst_id"), F.col("id").alias("dst_def_id")).distinct().join(many, "dst_id", "left_semi")
     calls = g.t("def_edge").where("kind = 1").groupBy("src_def_id", "dst_id").agg(F.sum("count").alias("count"))
-    # A body belongs to one symbol, so its calls are added up before they meet the bodies.
-    return calls.join(bodies, "dst_id").select("src_def_id", "dst_def_id", "count")
+    # A body belongs to one symbol, so its calls are added up before they meet the bodies. A symbol that is called from
+    # everywhere is split.
+    return salted_join(materialize(calls), bodies, ["dst_id"]).select("src_def_id", "dst_def_id", "count")
 
 
-def override_closure(g: PropertyGraph) -> DataFrame:
-    """(base, method): every method that overrides ``base``, directly or through others."""
+def override_closure(g: PropertyGraph, bases: DataFrame | None = None) -> DataFrame:
+    """(base, method): every method that overrides ``base``, directly or through others; of the ``bases`` (id) only, if given."""
     from .operators.traverse import closure
 
     down = g.t("edge").where("kind = 6").select(F.col("dst_id").alias("src"), F.col("src_id").alias("dst")).distinct()
-    return closure(down).select(F.col("src").alias("base"), F.col("dst").alias("method"))
+    return closure(down, bases).select(F.col("src").alias("base"), F.col("dst").alias("method"))
 
 
 def dispatch_calls(g: PropertyGraph) -> DataFrame:
@@ -64,7 +65,8 @@ def dispatch_calls(g: PropertyGraph) -> DataFrame:
     Where several calls lead to one (caller, target), the call edge with the smallest id gives the count.
     """
     calls = g.t("edge").where("kind = 1").select("id", "src_id", F.col("dst_id").alias("base"), "count")
-    lands = calls.join(override_closure(g), "base").where("src_id <> method")
+    called = override_closure(g, calls.select(F.col("base").alias("id")).distinct())
+    lands = calls.join(called, "base").where("src_id <> method")
     one = lands.groupBy("src_id", F.col("method").alias("dst_id")).agg(F.min_by("count", "id").alias("count"))
     return one.select(F.xxhash64("src_id", "dst_id", F.lit(18)).alias("id"), "src_id", "dst_id", F.lit(18).alias("kind"), "count")
 
@@ -330,8 +332,13 @@ def affected(old: DataFrame, fresh: DataFrame, keys: list[str], touched: DataFra
 def call_signature(symbols: DataFrame) -> DataFrame:
     """(id, display): names that do not collide. Equal names get their place, equal names and places a number."""
     place = F.concat_ws(":", F.coalesce(F.col("file_id").cast("string"), F.lit("?")), F.coalesce(F.col("line").cast("string"), F.lit("?")))
-    named = symbols.select("id", F.coalesce("qual_name", "spelling").alias("nm"), place.alias("loc"))
-    by_name, by_place = Window.partitionBy("nm"), Window.partitionBy("nm", "loc")
-    ranked = named.withColumn("n", F.count(F.lit(1)).over(by_name)).withColumn("m", F.count(F.lit(1)).over(by_place)).withColumn("r", F.row_number().over(by_place.orderBy("id")))
-    shown = F.when(F.col("n") == 1, F.col("nm")).when(F.col("m") == 1, F.concat("nm", F.lit("@"), "loc")).otherwise(F.concat("nm", F.lit("@"), "loc", F.lit("#"), F.col("r").cast("string")))
-    return ranked.select("id", shown.alias("display"))
+    named = materialize(symbols.select("id", F.coalesce("qual_name", "spelling").alias("nm"), place.alias("loc")))
+    # Counts are combined before they are shuffled; what collides in name and place is numbered in ranges.
+    places = materialize(named.groupBy("nm", "loc").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")))
+    names = places.groupBy("nm").agg(F.sum("m").alias("n"))
+    alone = places.where("m = 1").select("id", "nm", "loc").alias("p").join(names.withColumnRenamed("nm", "nm2"), F.col("nm").eqNullSafe(F.col("nm2")))
+    alone = alone.select("id", F.when(F.col("n") == 1, F.col("nm")).otherwise(F.concat("nm", F.lit("@"), "loc")).alias("display"))
+    many = places.where("m > 1").select(F.col("nm").alias("nm2"), F.col("loc").alias("loc2"))
+    same = named.join(many, F.col("nm").eqNullSafe(F.col("nm2")) & (F.col("loc") == F.col("loc2")), "left_semi")
+    ranked = numbered(same, ["nm", "loc"], ["id"], "r")
+    return alone.unionByName(ranked.select("id", F.concat("nm", F.lit("@"), "loc", F.lit("#"), F.col("r").cast("string")).alias("display")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog, ir, views
@@ -291,8 +291,11 @@ class Engine:
         if st.shape == "path":
             return replace(st, df=st.df.dropDuplicates(["start", "target", "length", "trail"]))
         names = [f"f_{f}" for f in st.fields]
-        place = Window.partitionBy(*names).orderBy(*st.order)
-        return replace(st, df=st.df.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place"))
+        rest = [c for c in st.df.columns if c not in names and c not in st.keys]
+        # The first row of each: an aggregate that is combined before it is shuffled. Nulls come last, then ties go by keys.
+        first = F.struct(*[x for c in rest for x in (F.col(c).isNull().alias(f"null_{c}"), F.col(c))], *st.keys)
+        one = st.df.groupBy(*names).agg(F.min(first).alias("m"))
+        return replace(st, df=one.select(*[F.col(f"m.{k}").alias(k) for k in st.keys], *names, *[F.col(f"m.{c}").alias(c) for c in rest]))
 
     def _limit(self, st: Stream, stage: ir.Stage) -> Stream:
         order = st.order or (_rank_order() if st.shape == "path" else [F.col(k) for k in st.keys])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,10 @@ def compose(left: FactSnapshot, right: FactSnapshot, joins: list[JoinSpec]) -> F
         if not compatible:
             r_rows = r_rows.limit(0)
         on = [l_rows[f"left_{x}"] == r_rows[f"right_{y}"] for x, y in j.on]
-        rows = l_rows.join(r_rows, on, "left").withColumn("join_status", F.when(F.col("__hit"), "resolved").otherwise("unresolved")).drop("__hit")
+        # Rows with a null key match nothing; they do not go to one task with all others of their kind.
+        whole = reduce(lambda a, b: a & b, [l_rows[f"left_{x}"].isNotNull() for x, _ in j.on])
+        met = l_rows.where(whole).join(r_rows, on, "left")
+        rows = met.unionByName(l_rows.where(~whole), allowMissingColumns=True).withColumn("join_status", F.when(F.col("__hit"), "resolved").otherwise("unresolved")).drop("__hit")
         rows = defaults(rows)
         state = worst(COMPLETENESS, a.completeness, b.completeness) if compatible else "unknown"
         out.relations[j.output] = Relation(rows, state, "composition")

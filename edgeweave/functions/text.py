@@ -59,11 +59,10 @@ def segments_match(column: Column, text: str) -> Column:
 def top_level_namespace(column: Column) -> Column:
     """The part of a qualified name before its last ``::`` outside of ``()`` and ``<>``; empty without one.
 
-    Nested brackets are removed from the inside out, up to eight levels.
+    Nested brackets are removed from the inside out, as many times as there are opening ones.
     """
-    flat = column
-    for _ in range(8):
-        flat = F.regexp_replace(flat, r"\([^()<>]*\)|<[^()<>]*>", "")
+    opening = F.length(column) - F.length(F.regexp_replace(column, r"[(<]", ""))
+    flat = F.aggregate(F.array_repeat(F.lit(0), opening), column, lambda t, _: F.regexp_replace(t, r"\([^()<>]*\)|<[^()<>]*>", ""))
     return F.regexp_extract(flat, r"^(.*)::[^:]*$", 1)
 
 
@@ -123,28 +122,67 @@ def fnv63(texts: pd.Series) -> pd.Series:
 
 
 # Wrappers of a type spelling; maps count only with std::. Fixed values of the data model.
-_CONTAINER = r"^((std::)?(vector|list|deque|set|unordered_set)|std::map|std::unordered_map)<"
-_OWNED, _SHARED, _WEAK = r"^(std::)?(unique_ptr|optional)<", r"^(std::)?shared_ptr<", r"^(std::)?weak_ptr<"
-#: How deep wrappers may be nested in a spelling.
-NESTING = 5
+_CONTAINER = re.compile(r"((std::)?(vector|list|deque|set|unordered_set)|std::map|std::unordered_map)<")
+_OWNED, _SHARED, _WEAK = re.compile(r"(std::)?(unique_ptr|optional)<"), re.compile(r"(std::)?shared_ptr<"), re.compile(r"(std::)?weak_ptr<")
+_MODIFIERS = re.compile(r"(\s*(\*|&|\[[^\]]*\]))+$")
 
 
-def _unqualified(spelling: Column) -> Column:
-    return F.trim(F.regexp_replace(spelling, "const |volatile ", ""))
+def _unqualified(spelling: str) -> str:
+    return re.sub("const |volatile ", "", spelling).strip()
 
 
-def _last_argument(spelling: Column) -> Column:
-    """The last argument, at the top level, of ``wrapper<...>``."""
-    nested = "[^<>]*"
-    for _ in range(NESTING):
-        nested = f"[^<>]*(?:<{nested}>[^<>]*)*"
-    inner = F.regexp_extract(spelling, "^[^<]*<(.*)>$", 1)
-    return F.trim(F.regexp_extract(inner, f"([^,<>]*(?:<{nested}>[^,<>]*)*)$", 1))
+def _last_argument(spelling: str) -> str:
+    """The last argument, at the top level, of ``wrapper<...>``: what follows the last comma that no bracket encloses."""
+    inner = spelling[spelling.index("<") + 1 :].strip().removesuffix(">").strip()
+    depth = 0
+    for i in range(len(inner) - 1, -1, -1):
+        depth += (inner[i] == ">") - (inner[i] == "<")
+        if inner[i] == "," and not depth:
+            return inner[i + 1 :].strip()
+    return inner
 
 
-def _repeated(start: Column, step) -> Column:
-    """``step`` applied NESTING times. As a fold the expression keeps its size; nested in itself it would grow by a power."""
-    return F.aggregate(F.array_repeat(F.lit(0), NESTING), start, lambda t, _: step(t))
+def _shape(spelling: str) -> tuple[int, int]:
+    outer = held = _unqualified(spelling)
+    while _CONTAINER.match(held) and not held.endswith("]"):
+        held = _unqualified(_last_argument(held))
+    if held.endswith("]") or _OWNED.match(held):
+        kind = 4
+    elif _SHARED.match(held):
+        kind = 5
+    else:
+        kind = 6 if _WEAK.match(held) or held.endswith(("*", "&")) else 4
+    if outer.endswith("]"):
+        return kind, 4
+    if _CONTAINER.match(outer):
+        return kind, 3
+    return kind, 2 if any(w.match(outer) for w in (_OWNED, _SHARED, _WEAK)) or outer.endswith(("*", "&")) else 1
+
+
+def _value(spelling: str) -> str:
+    while True:
+        spelling = _unqualified(_MODIFIERS.sub("", _unqualified(spelling)))
+        if not any(w.match(spelling) for w in (_CONTAINER, _OWNED, _SHARED, _WEAK)):
+            return spelling
+        spelling = _last_argument(spelling)
+
+
+def _each(texts: pd.Series, of) -> list:
+    """``of`` every distinct text, once; null stays null."""
+    known = {t: of(t) for t in texts.dropna().unique()}
+    return [known.get(t) for t in texts]
+
+
+# Wrappers nest to any depth, which no expression of the JVM can follow, so Arrow batches of spellings go to Python.
+@F.pandas_udf(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("many", T.IntegerType())]))
+def _shapes(spellings: pd.Series) -> pd.DataFrame:
+    pairs = [s or (None, None) for s in _each(spellings, _shape)]
+    return pd.DataFrame({"kind": pd.array([a for a, _ in pairs], "Int32"), "many": pd.array([b for _, b in pairs], "Int32")})
+
+
+@F.pandas_udf(T.StringType())
+def _values(spellings: pd.Series) -> pd.Series:
+    return pd.Series(_each(spellings, _value), dtype=object)
 
 
 def field_shape(spelling: Column) -> tuple[Column, Column]:
@@ -153,25 +191,10 @@ def field_shape(spelling: Column) -> tuple[Column, Column]:
     composes 4, aggregates 5, associates 6; multiplicity 1 one, 2 optional, 3 many, 4 fixed array. A container takes the
     kind of its last argument.
     """
-    outer = _unqualified(spelling)
-    held = _repeated(outer, lambda t: F.when(t.rlike(_CONTAINER) & ~t.endswith("]"), _unqualified(_last_argument(t))).otherwise(t))
-
-    def kind_of(t: Column) -> Column:
-        return F.when(t.endswith("]") | t.rlike(_OWNED), 4).when(t.rlike(_SHARED), 5).when(t.rlike(_WEAK) | t.rlike(r"[*&]$"), 6).otherwise(4)
-
-    def many_of(t: Column) -> Column:
-        optional = t.rlike(_OWNED) | t.rlike(_SHARED) | t.rlike(_WEAK) | t.rlike(r"[*&]$")
-        return F.when(t.endswith("]"), 4).when(t.rlike(_CONTAINER), 3).when(optional, 2).otherwise(1)
-
-    return F.transform(F.array(held), kind_of)[0], F.transform(F.array(outer), many_of)[0]
+    shape = _shapes(spelling)
+    return shape["kind"], shape["many"]
 
 
 def value_type(spelling: Column) -> Column:
     """The record name in a type spelling: qualifiers, pointers, references and array bounds off, wrappers opened to their last argument."""
-
-    def opened(t: Column) -> Column:
-        bare = _unqualified(F.regexp_replace(_unqualified(t), r"(\s*(\*|&|\[[^\]]*\]))+$", ""))
-        wrapped = lambda b: b.rlike(_CONTAINER) | b.rlike(_OWNED) | b.rlike(_SHARED) | b.rlike(_WEAK)
-        return F.transform(F.array(bare), lambda b: F.when(wrapped(b), _last_argument(b)).otherwise(b))[0]
-
-    return _repeated(spelling, opened)
+    return _values(spelling)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .runtime import table
+from .runtime import exists, table
 from .schemas import SCHEMAS, conform, empty
 
 
@@ -45,7 +43,7 @@ class PropertyGraph:
     @classmethod
     def from_directory(cls, spark: SparkSession, directory: str) -> "PropertyGraph":
         """The fact tables that lie as ``<name>.parquet`` in a directory."""
-        found = [n for n in SCHEMAS if (Path(directory) / f"{n}.parquet").exists()]
+        found = [n for n in SCHEMAS if exists(spark, f"{directory}/{n}.parquet")]
         return cls(spark, {n: table(spark, directory, n) for n in found})
 
 

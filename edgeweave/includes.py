@@ -64,9 +64,9 @@ class IncludeGraph:
 
     def shortest_path(self, start: str, end: str) -> DataFrame:
         """One row with the least of the shortest routes, as an array of paths; none where there is no way."""
-        step = self.edges.select("src", "dst").distinct()
-        first = self.nodes().where(F.col("path") == start).select(F.col("path").alias("id"))
-        return traverse.first_routes(first, step).where(F.col("id") == end).select("depth", "route")
+        kind = self.edges.schema["src"].dataType.simpleString()
+        route = traverse.one_route(self.edges, start, end) if self.has_node(start) else []
+        return self.edges.sparkSession.createDataFrame([(len(route) - 1, route)] if route else [], f"depth int, route array<{kind}>")
 
     def cycles(self) -> DataFrame:
         """(component, size, paths): strongly connected components of more than one file, and files that include themselves."""

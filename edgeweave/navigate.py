@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,17 @@ from .runtime import materialize
 INHERITS, OVERRIDES = 2, 6
 
 
+def _sites(sites: DataFrame) -> DataFrame:
+    return sites.select(*[F.col(c).alias(f"at_{c}") for c in ("edge_id", "file_id", "line", "col")]).distinct()
+
+
+def _same_site(side: str):
+    on = F.col(f"{side}.edge_id") == F.col("at_edge_id")
+    for c in ("file_id", "line", "col"):
+        on = on & F.col(f"{side}.{c}").eqNullSafe(F.col(f"at_{c}"))
+    return on
+
+
 def _kinds(names: Iterable[str] | None, layer: str = "symbol") -> list[int] | None:
     return None if names is None else [catalog.RELATIONS[f"{layer}.{n}"].id for n in names]
 
@@ -119,8 +131,13 @@ class Navigator:
         return traverse.bfs(ids, self.adjacency(kinds, direction), depth)
 
     def reaches(self, start: int, end: int, kinds: Iterable[str] | None = None, max_depth: int = 8) -> DataFrame:
-        """One shortest route, the least by ids; no row where there is none within ``max_depth``."""
-        return traverse.first_routes(self.ids(start), self.adjacency(kinds), max_depth).where(F.col("id") == end)
+        """(id, depth, route): one shortest route, the least by ids; no row where there is none within ``max_depth``.
+
+        Distances to the end are kept, not routes; the route is then walked forward, one node at a time.
+        """
+        route = traverse.one_route(self.adjacency(kinds), start, end, max_depth)
+        rows = [(end, len(route) - 1, route)] if route else []
+        return self.g.spark.createDataFrame(rows, "id bigint, depth int, route array<bigint>")
 
     # -- hierarchy and members
 
@@ -158,7 +175,7 @@ class Navigator:
     def dispatch_targets(self, ids: DataFrame) -> DataFrame:
         """(origin, id): where a call of each method can land: itself and all that override it, without pure ones."""
         own = ids.select(F.col("id").alias("origin"), "id")
-        below = derive.override_closure(self.g).select(F.col("base").alias("origin"), F.col("method").alias("id")).join(ids.select(F.col("id").alias("origin")), "origin", "left_semi")
+        below = derive.override_closure(self.g, ids.select("id").distinct()).select(F.col("base").alias("origin"), F.col("method").alias("id"))
         pure = self.g.t("symbol").where("is_pure = 1").select("id")
         return own.union(below).distinct().join(pure, "id", "left_anti").select("origin", "id")
 
@@ -173,13 +190,34 @@ class Navigator:
         records = targets.join(up.select("record", F.col("ancestor").alias("at"), "distance"), "at")
         return records.groupBy("origin", F.col("record").alias("receiver")).agg(F.min_by("id", F.struct("distance", "id")).alias("id"))
 
-    def ancestors(self, depth: int = 16) -> DataFrame:
-        """(record, ancestor, distance) with each record as its own ancestor at 0, at the least distance."""
+    def dispatch_sites(self, method_ids: DataFrame) -> DataFrame:
+        """(origin, receiver, prunable, reasons): whether the targets of a call of each method can be trusted to be all.
+
+        Reasons against it: ``unknown-symbol``; ``not-virtual``; ``no-receiver-type``, its record is not in the index;
+        ``target-stub``, a target is known by name only; ``pure-no-targets``. The receiver is the method's record.
+        """
+        s = self.g.t("symbol").select("id", "parent_usr", "resolved")
+        by_usr = self.g.t("symbol").where("usr is not null").groupBy(F.col("usr").alias("parent_usr")).agg(F.min("id").alias("receiver"))
+        origins = method_ids.select(F.col("id").alias("origin")).distinct()
+        known = origins.join(s.select(F.col("id").alias("origin"), "parent_usr", F.lit(True).alias("there")), "origin", "left").join(by_usr, "parent_usr", "left")
+        virtual = self.virtual_methods().select(F.col("id").alias("origin"), F.lit(True).alias("virtual"))
+        lands = self.dispatch_targets(method_ids.select("id").distinct()).join(s.select("id", "resolved"), "id", "left")
+        lands = lands.groupBy("origin").agg(F.count(F.lit(1)).alias("targets"), F.max(F.coalesce("resolved", F.lit(1)) == 0).alias("stub"))
+        df = known.join(virtual, "origin", "left").join(lands, "origin", "left")
+        no = lambda c: F.col(c).isNull()
+        open_ = F.array_compact(
+            F.array(F.when(no("receiver"), "no-receiver-type"), F.when(F.col("stub"), "target-stub"), F.when(no("targets"), "pure-no-targets"))
+        )
+        reasons = F.when(no("there"), F.array(F.lit("unknown-symbol"))).when(no("virtual"), F.array(F.lit("not-virtual"))).otherwise(open_)
+        return df.select("origin", "receiver", (F.size(reasons) == 0).alias("prunable"), reasons.alias("reasons"))
+
+    def ancestors(self, depth: int | None = None) -> DataFrame:
+        """(record, ancestor, distance) with each record as its own ancestor at 0, at the least distance; all, or up to ``depth``."""
         steps = materialize(self.adjacency(["inherits"]))
         here = self.g.t("symbol").where("kind in (2, 3, 4, 31)").select(F.col("id").alias("record"), F.col("id").alias("ancestor"))
         known = here.withColumn("distance", F.lit(0))
         level = here
-        for d in range(1, depth + 1):
+        for d in count(1) if depth is None else range(1, depth + 1):
             level = materialize(level.join(steps, level["ancestor"] == steps["src"]).select("record", F.col("dst").alias("ancestor")).distinct().join(known, ["record", "ancestor"], "left_anti"))
             if not level.take(1):
                 break
@@ -270,11 +308,40 @@ class Navigator:
         a = a.join(usr, "decl_id", "left")
         return a.withColumn("src_kind", F.coalesce("src_kind", decode[F.col("src_kind_id")], F.lit("unknown"))).withColumn("type_usr", F.coalesce("type_usr", "type_text")).withColumn("decl_usr", F.coalesce("decl_usr", "decl_text"))
 
-    def call_sites_into(self, ids: DataFrame) -> DataFrame:
-        """Sites of calls that land in the given nodes, directly or by dispatch."""
-        e = self.g.t("edge").where("kind in (1, 18)").join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
-        direct = self.g.t("edge").where("kind = 1").select("src_id", F.col("id").alias("edge_id"))
-        return self.g.t("edge_site").join(e.select("src_id").distinct().join(direct, "src_id").select("edge_id").distinct(), "edge_id", "left_semi")
+    def call_args_at(self, sites: DataFrame) -> DataFrame:
+        """The decoded arguments at given sites (edge_id, file_id, line, col); null positions of a site equal each other."""
+        return self.call_args(sites.select(F.col("edge_id").alias("id")).distinct()).alias("a").join(_sites(sites), _same_site("a"), "left_semi")
+
+    def receiver_provenance(self, sites: DataFrame) -> DataFrame:
+        """What is known of the receiver at given sites (edge_id, file_id, line, col): its source, type, declaration and place
+        among the caller's parameters, and whether its type is exact. Stored text, else the name of the id."""
+        decode = F.create_map(*[F.lit(x) for k, v in catalog.SOURCE_KINDS.items() for x in (v, k)])
+        s = self.g.t("edge_site").alias("a").join(_sites(sites), _same_site("a"), "left_semi")
+        types = self.g.t("type_node").select(F.col("id").alias("recv_type_id"), F.col("decl_usr").alias("type_text"))
+        decls = self.g.t("symbol").select(F.col("id").alias("recv_decl_id"), F.col("usr").alias("decl_text"))
+        s = s.join(types, "recv_type_id", "left").join(decls, "recv_decl_id", "left")
+        return s.select(
+            "edge_id", "file_id", "line", "col", (F.coalesce("conditional", F.lit(0)) != 0).alias("conditional"), "args_sig", F.coalesce("recv_src_kind", decode[F.col("recv_src_kind_id")]).alias("recv_src_kind"),
+            F.coalesce("recv_type_usr", "type_text").alias("recv_type_usr"), F.coalesce("recv_decl_usr", "decl_text").alias("recv_decl_usr"), "recv_param_pos", "recv_type_is_value",
+        )
+
+    def call_sites_into(self, ids: DataFrame, dispatch: bool = False) -> DataFrame:
+        """(callee, caller, edge_id, via, file_id, line, col, args): every call into the given nodes, with the first of its
+        sites (null without any) and the number of arguments known of it; ``call_args`` gives those.
+
+        With ``dispatch``, calls of a method that a given node overrides come in, too, via ``dispatch``.
+        """
+        calls = self.g.t("edge").where("kind = 1").select(F.col("id").alias("edge_id"), F.col("src_id").alias("caller"), "dst_id")
+        wanted = ids.select(F.col("id").alias("callee")).distinct()
+        into = calls.join(wanted.withColumn("dst_id", F.col("callee")), "dst_id").select("callee", "caller", "edge_id", F.lit("direct").alias("via"))
+        if dispatch:
+            up = traverse.closure(self.g.t("edge").where("kind = 6").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct(), wanted.select(F.col("callee").alias("id")))
+            far = calls.join(up.select(F.col("src").alias("callee"), F.col("dst").alias("dst_id")), "dst_id").where("callee <> dst_id and caller <> callee")
+            into = into.union(far.select("callee", "caller", "edge_id", F.lit("dispatch")))
+        first = self.g.t("edge_site").groupBy("edge_id").agg(F.min(F.struct("file_id", "line", "col")).alias("s"))
+        known = self.g.t("call_arg").groupBy("edge_id").agg(F.count(F.lit(1)).alias("args"))
+        into = into.join(first, "edge_id", "left").join(known, "edge_id", "left")
+        return into.select("callee", "caller", "edge_id", "via", "s.file_id", "s.line", "s.col", F.coalesce("args", F.lit(0)).alias("args"))
 
     # -- entities
 

@@ -7,19 +7,34 @@ distributed; between levels only "is there more" comes back, and lineage is cut
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import ROWS_PER_SALT, hot_keys, materialize, salted_join
 
 #: Levels that are planned together before the loop looks whether there is more.
 LEVELS_AT_ONCE = 3
+#: Deltas that a closure keeps apart before it writes them together.
+DELTAS = 6
 #: A closure may double its distances from this depth on, if that makes at most so many times the known pairs.
 DOUBLE_FROM, DOUBLE_COST = 4, 4
 
 
+class Steps:
+    """An adjacency that many levels join with: its sources with very many edges are found once, and split in every join."""
+
+    def __init__(self, adjacency: DataFrame, rows_per_salt: int = ROWS_PER_SALT):
+        self.df, self.rows_per_salt = materialize(adjacency), rows_per_salt
+        self.hot = hot_keys(self.df, ["src"], rows_per_salt)
+
+    def ahead(self, frontier: DataFrame) -> DataFrame:
+        """The steps from the nodes of ``frontier`` (src and whatever it carries)."""
+        return salted_join(self.df, frontier, ["src"], rows_per_salt=self.rows_per_salt, hot=self.hot)
+
+
 @dataclass(frozen=True)
 class Walk:
     nodes: DataFrame
@@ -33,9 +48,9 @@ def window(starts: DataFrame, adjacency: DataFrame, low: int, high: int, budget:
     ``budget`` of nodes over all levels together, the level that exceeds it is cut to its smallest ids and ends the walk.
     """
     level, kept, left, cut = starts.select("id").distinct(), [], budget, False
-    steps = materialize(adjacency) if high > 1 else adjacency
+    steps = Steps(adjacency)
     for depth in range(1, high + 1):
-        level = level.join(steps, level["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
+        level = steps.ahead(level.select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct()
         if budget is not None:
             level = materialize(level.orderBy("id").limit(left + 1))
             size = level.count()
@@ -63,10 +78,10 @@ def window(starts: DataFrame, adjacency: DataFrame, low: int, high: int, budget:
 def pair_window(starts: DataFrame, adjacency: DataFrame, low: int, high: int) -> DataFrame:
     """(origin, id): as ``window``, separately for every start."""
     level = starts.select(F.col("id").alias("origin"), "id").distinct()
-    steps = materialize(adjacency) if high > 1 else adjacency
+    steps = Steps(adjacency)
     kept = []
     for depth in range(1, high + 1):
-        level = level.join(steps, level["id"] == steps["src"]).select("origin", F.col("dst").alias("id")).distinct()
+        level = steps.ahead(level.select("origin", F.col("id").alias("src"))).select("origin", F.col("dst").alias("id")).distinct()
         if depth % LEVELS_AT_ONCE == 0 and depth < high:
             level = materialize(level)
             if not level.take(1):
@@ -84,12 +99,12 @@ def bfs(starts: DataFrame, adjacency: DataFrame, deepest: int | None = None) ->
 
     Of several parents at that depth the smallest id counts. ``deepest`` None goes on until nothing new is reached.
     """
-    steps = materialize(adjacency)
+    steps = Steps(adjacency)
     known = materialize(starts.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
     frontier, depth = known, 0
     while deepest is None or depth < deepest:
         depth += 1
-        reached = frontier.select(F.col("id").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        reached = steps.ahead(frontier.select(F.col("id").alias("src"))).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = materialize(reached.join(known.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
         if not frontier.take(1):
             break
@@ -108,8 +123,8 @@ def closure(adjacency: DataFrame, starts: DataFrame | None = None, deepest: int
     """
     steps = materialize(adjacency.select("src", "dst").distinct())
     first = steps if starts is None else steps.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    known = first.withColumn("dist", F.lit(1))
-    far, depth = known, 1
+    parts = [first.withColumn("dist", F.lit(1))]  # what each round found; together all that is known
+    known, far, depth = parts[0], parts[0], 1
     while deepest is None or depth < deepest:
         ahead, reach = steps.withColumn("dist", F.lit(1)), 1
         if starts is None and deepest is None and depth >= DOUBLE_FROM and _product(far, known) <= DOUBLE_COST * known.count():
@@ -121,7 +136,11 @@ def closure(adjacency: DataFrame, starts: DataFrame | None = None, deepest: int
         far = new.where(F.col("dist") == depth)
         if not new.take(1):
             break
-        known = materialize(known.unionByName(new.select("src", "dst", "dist")))
+        parts.append(new.select("src", "dst", "dist"))
+        known = reduce(DataFrame.unionByName, parts)
+        if len(parts) > DELTAS:
+            known = materialize(known)
+            parts = [known]
         if not far.take(1):
             break
     return known.select("src", "dst")
@@ -218,6 +237,35 @@ def first_routes(starts: DataFrame, adjacency: DataFrame, deepest: int | None =
     return known
 
 
+def one_route(adjacency: DataFrame, start: int | str, end: int | str, deepest: int | None = None) -> list:
+    """The least of the shortest routes from one node to another, as a list of nodes; empty where there is none.
+
+    Only distances to the end are computed for the graph; the route itself is one node longer than it has steps.
+    """
+    steps = materialize(adjacency.select("src", "dst").distinct())
+    kind = steps.schema["dst"].dataType
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    goal = steps.sparkSession.range(1).select(F.lit(end).cast(kind).alias("id"))
+    known = goal.withColumn("depth", F.lit(0))
+    frontier, depth = materialize(known), 0
+    known, route = frontier, [start] if start == end else []
+    while not route and (deepest is None or depth < deepest):
+        depth += 1
+        reached = frontier.select(F.col("id").alias("src")).join(back, "src").select(F.col("dst").alias("id")).distinct()
+        frontier = materialize(reached.join(known.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.take(1):
+            break
+        known = known.unionByName(frontier)
+        if depth % 8 == 0:
+            known = materialize(known)
+        if frontier.where(F.col("id") == F.lit(start)).take(1):
+            route = [start]
+    for left in range(depth - 1, -1, -1) if route and start != end else ():
+        ahead = steps.where(F.col("src") == F.lit(route[-1])).select(F.col("dst").alias("id")).join(known.where(F.col("depth") == left), "id")
+        route.append(ahead.agg(F.min("id")).first()[0])
+    return route
+
+
 def components(adjacency: DataFrame) -> DataFrame:
     """(id, component, size): strongly connected components, named by their least id.
 
@@ -240,10 +288,13 @@ def components(adjacency: DataFrame) -> DataFrame:
             break
         colour = materialize(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
-            sent = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            after = materialize(colour.join(sent, "id", "left").select("id", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
+            after = colour.select("id", "colour", F.col("colour").alias("was"))
+            for _ in range(LEVELS_AT_ONCE):
+                sent = left.join(after.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
+                after = after.join(sent, "id", "left").select("id", F.least("colour", "c").alias("colour"), "was")
+            after = materialize(after)
             colour = after.select("id", "colour")
-            if not after.where("moved").take(1):
+            if not after.where("colour < was").take(1):
                 break
         inner = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst")
         inner = materialize(inner.where("a = b").select("src", "dst", F.col("a").alias("colour")))
@@ -251,8 +302,11 @@ def components(adjacency: DataFrame) -> DataFrame:
         part = materialize(colour.where("id = colour").select("id", "colour"))
         frontier = part
         while True:
-            up = frontier.select(F.col("id").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-            frontier = materialize(up.join(part, ["id", "colour"], "left_anti"))
+            near = frontier
+            for _ in range(LEVELS_AT_ONCE):
+                up = near.select(F.col("id").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("id"), "colour")
+                near = near.union(up).distinct()
+            frontier = materialize(near.join(part, ["id", "colour"], "left_anti"))
             if not frontier.take(1):
                 break
             part = materialize(part.unionByName(frontier))

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a task takes without being split, and rows that a broadcast may have.
@@ -47,6 +47,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the number of each row within its ``keys``, from 1, by ``order``; any key may hold any share of the rows.
+
+    Rows are sorted into ranges of about equal size, numbered inside each, and the ranges before are added up per key.
+    """
+    keys, order = list(keys), list(order)
+    parts = materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = parts.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
+    sizes = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), before.alias("__before"))
+    on = F.col("__part") == F.col("__p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return inside.join(sizes, on).select(*df.columns, (F.col("__r") + F.col("__before")).alias(name))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import catalog
 from .graph import PropertyGraph
 from .runtime import materialize
 
-#: Levels and rows of a type's layers.
-LAYER_DEPTH, LAYER_ROWS = 64, 256
-
 _KEYS = {
     "symbol": ("id",), "entity": ("id",), "parameter": ("owner_id", "position", "pack_index"), "template_parameter": ("owner_id", "position"),
     "template_argument": ("owner_id", "position", "pack_index"), "signature_slot": ("tag", "owner_id", "position", "pack_index", "kind"),
@@ -119,11 +118,11 @@ def slots(g: PropertyGraph) -> DataFrame:
     return out
 
 
-def layers(g: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
+def layers(g: PropertyGraph, roots: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
     """(root_id, index, path, relation, position, depth, status, type_id): the types nested in each type, outermost first.
 
-    A type met again on its own path is listed with status ``cycle`` and not opened; at most LAYER_ROWS rows and
-    LAYER_DEPTH levels for each root. Rows are numbered in the order of their paths.
+    A type met again on its own path is listed with status ``cycle`` and not opened, so every path ends. With ``deepest``,
+    types at that depth that go on are listed with status ``truncated``. Rows are numbered in the order of their paths.
     """
     types = g.t("type_node").select("id")
     seeds = types if roots is None else types.join(roots.select("id").distinct(), "id", "left_semi")
@@ -135,7 +134,11 @@ def layers(g: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
         F.lit("complete").alias("status"), F.array("id").alias("trail"), F.array().cast("array<struct<r:string,p:int>>").alias("sort"),
     )
     every = [level]
-    for depth in range(1, LAYER_DEPTH + 1):
+    for depth in count(1):
+        if deepest is not None and depth > deepest:
+            goes_on = F.when((F.col("status") == "complete") & F.col("at").isNotNull(), "truncated").otherwise(F.col("status"))
+            every[-1] = level.join(edges.select("at").distinct(), F.col("type_id") == F.col("at"), "left").withColumn("status", goes_on).select(*row)
+            break
         again = F.array_contains("trail", F.col("next"))
         level = level.where("status = 'complete'").join(edges, F.col("type_id") == F.col("at")).select(
             "root_id", F.col("next").alias("type_id"), F.concat("path", F.lit("/"), F.col("e_rel"), F.lit("["), F.col("e_pos").cast("string"), F.lit("]")).alias("path"), F.col("e_rel").alias("relation"), F.col("e_pos").alias("position"),
@@ -149,10 +152,8 @@ def layers(g: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
     out = every[0]
     for e in every[1:]:
         out = out.unionByName(e)
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy("root_id").orderBy("sort", "type_id")) - 1
-    return out.withColumn("index", at).where(F.col("index") < LAYER_ROWS).drop("trail", "sort")
+    return out.withColumn("index", at).drop("trail", "sort")
 
 
 _DERIVED = ("relation", "source", "target", "evidence", "status", "partial", "unknown")
@@ -279,8 +280,9 @@ def _pairs(g: PropertyGraph, r: catalog.Relation) -> DataFrame:
             return link(layers(g), ("root_id", "index"), ("root_id",))
         case "type_layer.child":
             a = materialize(layers(g))
-            up, down = a.select("root_id", F.col("index").alias("a"), F.col("path").alias("p"), (F.col("depth") + 1).alias("depth")), a.select("root_id", F.col("index").alias("b"), F.col("path").alias("q"), "depth")
-            near = up.join(down, ["root_id", "depth"]).where(F.col("q").startswith(F.concat("p", F.lit("/"))))
+            up = a.select("root_id", F.col("index").alias("a"), "path")
+            down = a.where("depth > 0").select("root_id", F.col("index").alias("b"), F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+            near = up.join(down, ["root_id", "path"])
             return link(near, ("root_id", "a"), ("root_id", "b"))
     raise KeyError(r.qualified)
 

@@ -8,16 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..derive import content_hash
 from ..facts import FactSnapshot, Relation
+from .storage import Storage
 
 FORMAT = 1
 
@@ -27,77 +25,76 @@ class ArtifactError(RuntimeError):
 
 
 class ArtifactStore:
-    def __init__(self, root: str):
-        self.root = Path(root)
+    """``root`` is a folder of a file system that the driver and all executors share."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.files = spark, Storage(spark, root)
         for d in ("objects", "current", "holds"):
-            (self.root / d).mkdir(parents=True, exist_ok=True)
+            self.files.make(d)
 
     def publish(self, name: str, tables: dict[str, DataFrame], completeness: str = "complete", trust: str = "producer-verified") -> str:
         """Write the tables and make them the current snapshot of ``name``; equal content is stored once."""
         hashes = {t: content_hash(df) for t, df in sorted(tables.items())}
         digest = hashlib.sha256(json.dumps(hashes).encode()).hexdigest()
-        place = self.root / "objects" / digest
-        if not place.exists():
-            beside = self.root / "objects" / f".{uuid.uuid4().hex}"
+        if not self.files.exists(f"objects/{digest}"):
+            beside = f"objects/.{uuid.uuid4().hex}"
             for t, df in tables.items():
-                df.write.parquet(str(beside / f"{t}.parquet"))
+                df.write.parquet(self.files.at(f"{beside}/{t}.parquet"))
             manifest = {"format": FORMAT, "content": {t: str(h) for t, h in hashes.items()}, "completeness": completeness, "trust": trust}
-            (beside / "manifest.json").write_text(json.dumps(manifest, indent=2))
-            try:
-                beside.rename(place)
-            except OSError:  # another writer was first
-                shutil.rmtree(beside)
-        pointer = self.root / "current" / f".{uuid.uuid4().hex}"
-        pointer.write_text(digest)
-        os.replace(pointer, self.root / "current" / name)
+            self.files.write(f"{beside}/manifest.json", json.dumps(manifest, indent=2))
+            if not self.files.move(beside, f"objects/{digest}"):  # another writer was first
+                self.files.remove(beside)
+        pointer = f"current/.{uuid.uuid4().hex}"
+        self.files.write(pointer, digest)
+        self.files.move(pointer, f"current/{name}", over=True)
         return digest
 
     def current(self, name: str) -> str | None:
-        p = self.root / "current" / name
-        return p.read_text() if p.exists() else None
+        return self.files.read(f"current/{name}") if self.files.exists(f"current/{name}") else None
+
+    def manifest(self, digest: str) -> dict:
+        return json.loads(self.files.read(f"objects/{digest}/manifest.json"))
 
-    def attach(self, spark: SparkSession, name: str) -> FactSnapshot:
+    def attach(self, name: str) -> FactSnapshot:
         digest = self.current(name)
         if digest is None:
             raise ArtifactError(f"no snapshot of '{name}'")
-        place = self.root / "objects" / digest
-        manifest = json.loads((place / "manifest.json").read_text())
+        manifest = self.manifest(digest)
         if manifest["format"] != FORMAT:
             raise ArtifactError("the snapshot has another format")
-        relations = {t: Relation(spark.read.parquet(str(place / f"{t}.parquet")), manifest["completeness"], name) for t in manifest["content"]}
+        relations = {t: Relation(self.spark.read.parquet(self.files.at(f"objects/{digest}/{t}.parquet")), manifest["completeness"], name) for t in manifest["content"]}
         return FactSnapshot(relations, digest)
 
-    def validate(self, spark: SparkSession, name: str) -> bool:
+    def validate(self, name: str) -> bool:
         """Whether the stored rows are those that were published."""
-        snapshot = self.attach(spark, name)
-        manifest = json.loads((self.root / "objects" / snapshot.identity / "manifest.json").read_text())
-        return {t: str(h) for t, h in snapshot.content().items()} == manifest["content"]
+        snapshot = self.attach(name)
+        return {t: str(h) for t, h in snapshot.content().items()} == self.manifest(snapshot.identity)["content"]
 
     def hold(self, digest: str, seconds: float | None = None) -> str:
         """Keep a snapshot from being removed: for a time (a lease) or until released (a pin)."""
         token = uuid.uuid4().hex
-        (self.root / "holds" / token).write_text(json.dumps({"digest": digest, "until": None if seconds is None else time.time() + seconds}))
+        self.files.write(f"holds/{token}", json.dumps({"digest": digest, "until": None if seconds is None else time.time() + seconds}))
         return token
 
     def release(self, token: str) -> None:
-        (self.root / "holds" / token).unlink(missing_ok=True)
+        self.files.remove(f"holds/{token}")
 
     def recover(self) -> list[str]:
         """Remove what an interrupted writer left, expired leases, and snapshots that nothing needs; gives their digests."""
         held = set()
-        for p in (self.root / "holds").iterdir():
-            h = json.loads(p.read_text())
+        for token in self.files.names("holds"):
+            if token.startswith("."):
+                continue
+            h = json.loads(self.files.read(f"holds/{token}"))
             if h["until"] is not None and h["until"] < time.time():
-                p.unlink()
+                self.release(token)
             else:
                 held.add(h["digest"])
-        held |= {p.read_text() for p in (self.root / "current").iterdir() if not p.name.startswith(".")}
-        gone = []
-        for p in (self.root / "objects").iterdir():
-            if p.name not in held:
-                shutil.rmtree(p)
-                gone.append(p.name)
-        return sorted(gone)
+        held |= {self.files.read(f"current/{n}") for n in self.files.names("current") if not n.startswith(".")}
+        gone = [d for d in self.files.names("objects") if d not in held]
+        for d in gone:
+            self.files.remove(f"objects/{d}")
+        return gone
 
 
 def freshness(recorded: str | None, present: str | None) -> str:

@@ -9,48 +9,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..derive import affected
-from ..runtime import materialize
+from ..sources.storage import Storage
 
 
 class RollUp:
-    """An aggregate per key over a growing table, in versions: each batch reads the last version and writes the next.
+    """An aggregate per key over a growing table: each batch writes its own aggregates only, a delta; reading merges them.
 
     ``measures`` are aggregates that add up batch by batch, given with the SQL function that merges them (sum, min, max).
-    A batch that is delivered again, after a failure, is recognised by its number and changes nothing.
+    After ``compact_after`` deltas they are written together as a base. A batch that is delivered again, after a failure,
+    is recognised by its number and changes nothing. The last base but one is kept for readers that still use it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], measures: dict[str, tuple[Column, str]]):
-        self.spark, self.path, self.keys, self.measures = spark, path, keys, measures
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], measures: dict[str, tuple[Column, str]], compact_after: int = 32):
+        self.spark, self.path, self.keys, self.measures, self.compact_after = spark, path, keys, measures, compact_after
+        self.files = Storage(spark, path)
 
-    def _there(self, path: str) -> bool:
-        return self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    def _written(self, kind: str) -> list[int]:
+        return sorted(int(n[1:]) for n in self.files.names("") if n[0] == kind and self.files.exists(f"{n}/_SUCCESS"))
 
-    def versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self.fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._there(f"{self.path}/{n}"))
+    def _parts(self) -> tuple[int, list[str]]:
+        """(number of the last base or -1, what is read: that base and the deltas after it)."""
+        bases = self._written("b")
+        base = bases[-1] if bases else -1
+        return base, [f"b{base}"] * bool(bases) + [f"d{n}" for n in self._written("d") if n > base]
 
     def current(self) -> DataFrame | None:
-        v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
+        _, parts = self._parts()
+        if not parts:
+            return None
+        every = self.spark.read.parquet(*[self.files.at(p) for p in parts])
+        return every.groupBy(*self.keys).agg(*[F.expr(f"{f}(`{n}`)").alias(n) for n, (_, f) in self.measures.items()])
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        done = self.versions()
-        if number in done or (done and number < done[-1]):
+        base, parts = self._parts()
+        if number <= base or f"d{number}" in parts:
             return
         part = batch.groupBy(*self.keys).agg(*[c.alias(n) for n, (c, _) in self.measures.items()])
-        old = self.current()
-        if old is not None:
-            part = materialize(part)
-            both = old.join(part.select(*self.keys), self.keys, "left_semi").unionByName(part)
-            fresh = both.groupBy(*self.keys).agg(*[F.expr(f"{f}(`{n}`)").alias(n) for n, (_, f) in self.measures.items()])
-            part = affected(old, fresh, self.keys, part)
-        part.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        for v in self.versions()[:-2]:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
+        part.write.mode("overwrite").parquet(self.files.at(f"d{number}"))
+        if len(parts) >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        base, parts = self._parts()
+        if parts and (upto := int(parts[-1][1:])) > base:
+            self.current().write.mode("overwrite").parquet(self.files.at(f"b{upto}"))
+            for kind, n in [*(("b", n) for n in self._written("b")), *(("d", n) for n in self._written("d"))]:
+                if (n < base) if kind == "b" else (n <= base):
+                    self.files.remove(f"{kind}{n}")
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)

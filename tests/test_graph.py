@@ -260,17 +260,17 @@ def test_files(spark, tmp_path):
 
 
 def test_artifacts(spark, tmp_path):
-    store = artifacts.ArtifactStore(str(tmp_path))
+    store = artifacts.ArtifactStore(spark, str(tmp_path))
     df = spark.createDataFrame([(1, "a"), (2, None)], "i bigint, t string")
     first = store.publish("facts", {"r": df})
-    assert store.publish("facts", {"r": df.orderBy(F.desc("i"))}) == first and store.validate(spark, "facts")
+    assert store.publish("facts", {"r": df.orderBy(F.desc("i"))}) == first and store.validate("facts")
     pin = store.hold(first)
     second = store.publish("facts", {"r": df.limit(1)})
-    assert second != first and store.recover() == [] and rows(store.attach(spark, "facts").rows("r")) == [(1, "a")]
+    assert second != first and store.recover() == [] and rows(store.attach("facts").rows("r")) == [(1, "a")]
     store.release(pin)
     assert store.recover() == [first] and artifacts.freshness(first, second) == "stale" and artifacts.freshness(None, second) == "unverifiable"
     with pytest.raises(artifacts.ArtifactError):
-        store.attach(spark, "nothing")
+        store.attach("nothing")
 
 
 def test_rollups_in_batches(spark, tmp_path):
@@ -285,6 +285,13 @@ def test_rollups_in_batches(spark, tmp_path):
     assert rows(up.current()) == [("a", 2, 7), ("b", 1, 2), ("c", 1, 3)]
     up.apply(spark.createDataFrame([("a", 100)], "k string, v bigint"), 1)  # delivered again
     assert rows(up.current()) == [("a", 2, 7), ("b", 1, 2), ("c", 1, 3)]
+    for _ in range(2):  # compaction keeps the rows, and the numbers of the batches it holds
+        up.compact()
+        up.apply(spark.createDataFrame([("a", 100)], "k string, v bigint"), 1)
+        assert rows(up.current()) == [("a", 2, 7), ("b", 1, 2), ("c", 1, 3)]
+    up.apply(spark.createDataFrame([("a", 3)], "k string, v bigint"), 2)
+    up.compact()
+    assert rows(up.current()) == [("a", 3, 7), ("b", 1, 2), ("c", 1, 3)]
     claims = spark.createDataFrame([("h", 2, "b"), ("h", 1, "c"), ("g", 1, "a")], "h string, r int, s string")
     assert rows(rollups.first_claims(claims, "h", "r")) == [("g", 1, "a"), ("h", 1, "c")]
 
@@ -304,3 +311,134 @@ def test_catalogue():
     assert catalog.find_relation("of_edge", "edge", inbound=True).qualified == "evidence.of_edge"
     with pytest.raises(ValueError):
         catalog.register_relation("symbol", "calls", 1, "symbol", "symbol")
+
+
+def test_type_spellings_of_any_depth(spark):
+    from edgeweave.functions.text import field_shape, top_level_namespace, value_type
+
+    deep = "std::vector<" * 40 + "std::map<int, std::pair<Foo, Bar> >" + ">" * 40
+    cases = {
+        "std::vector<" * 7 + "Foo" + ">" * 7: ("Foo", 4, 3), deep: ("std::pair<Foo, Bar>", 4, 3), "const Foo *": ("Foo", 6, 2), "Foo": ("Foo", 4, 1), "Foo &&": ("Foo", 6, 2), "Foo[3][4]": ("Foo", 4, 4),
+        "std::vector<std::shared_ptr<const Foo> >": ("Foo", 5, 3), "std::map<std::string, std::vector<Foo *>>": ("Foo", 6, 3), "map<int, Foo>": ("map<int, Foo>", 4, 1), "std::unique_ptr<Foo[]>": ("Foo", 4, 2),
+        "std::set<Foo>[2]": ("Foo", 4, 4), "weak_ptr<Foo>": ("Foo", 6, 2), None: (None, None, None), "": ("", 4, 1),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    kind, many = field_shape(F.col("t"))
+    assert {r[0]: tuple(r)[1:] for r in df.select("t", value_type(F.col("t")), kind, many).collect()} == cases
+    names = spark.createDataFrame([("a::b<c::d<e::f<" + "g::h<" * 12 + "x" + ">" * 15 + "::z",), ("a::b(c::d)",), ("x",), (None,)], "n string")
+    assert [r[0] for r in names.select(top_level_namespace(F.col("n"))).collect()] == ["a::b", "a", "", None]
+
+
+def test_layers_have_no_bound(spark):
+    from edgeweave.views import layers
+
+    wide = [dict(src_id=1, kind=5, position=i, dst_id=100 + i) for i in range(300)]
+    deep = [dict(src_id=1000 + i, kind=1, position=0, dst_id=1001 + i) for i in range(66)]
+    ids = {1} | {e[k] for e in wide + deep for k in ("src_id", "dst_id")}
+    g = make(spark, type_node=[dict(id=i, type_key=str(i)) for i in ids], type_edge=wide + deep + [dict(src_id=1066, kind=1, position=0, dst_id=1000)])
+    roots = spark.createDataFrame([(1,), (1000,)], "id bigint")
+    got = layers(g, roots).groupBy("root_id").agg(F.count("*"), F.max("depth"), F.max("index"), F.count_if(F.col("status") == "cycle"))
+    assert rows(got) == [(1, 301, 1, 300, 0), (1000, 68, 67, 67, 1)]
+    cut = layers(g, roots, deepest=1).where("status = 'truncated'")
+    assert rows(cut.select("root_id", "depth")) == [(1000, 1)]
+
+
+def test_dispatch_over_many_levels(spark):
+    """An override twenty records above the receiver is found."""
+    records = [dict(id=i, usr=f"r{i}", kind=4) for i in range(1, 22)]
+    methods = [dict(id=101, usr="m1", kind=21, parent_usr="r1"), dict(id=102, usr="m2", kind=21, parent_usr="r2", is_pure=1), dict(id=103, usr="m3", kind=21)]
+    edges = [dict(id=i, src_id=i + 1, dst_id=i, kind=2) for i in range(1, 21)] + [dict(id=50, src_id=101, dst_id=1, kind=9), dict(id=51, src_id=102, dst_id=2, kind=9), dict(id=52, src_id=102, dst_id=101, kind=6)]
+    nav = navigate.Navigator(make(spark, symbol=records + methods, edge=edges))
+    assert rows(nav.selection(nav.ids(101))) == [(101, i, 101) for i in range(1, 22)]
+    got = {r["origin"]: (r["receiver"], r["reasons"]) for r in nav.dispatch_sites(nav.ids(101, 102, 103, 999)).collect()}
+    assert got == {101: (1, []), 102: (2, ["pure-no-targets"]), 103: (None, ["not-virtual"]), 999: (None, ["unknown-symbol"])}
+
+
+def test_call_sites_into(spark):
+    """A caller that calls two functions: only the calls into the one asked for come out."""
+    edges = [dict(id=1, src_id=10, dst_id=20, kind=1), dict(id=2, src_id=10, dst_id=30, kind=1), dict(id=3, src_id=40, dst_id=30, kind=1), dict(id=4, src_id=20, dst_id=30, kind=6)]
+    sites = [dict(edge_id=1, file_id=1, line=9, col=1), dict(edge_id=1, file_id=1, line=5, col=1), dict(edge_id=2, file_id=1, line=6, col=1)]
+    args = [dict(edge_id=1, file_id=1, line=5, col=1, position=0, src_kind_id=2, type_usr="T"), dict(edge_id=2, file_id=1, line=6, col=1, position=0)]
+    nav = navigate.Navigator(make(spark, edge=edges, edge_site=sites, call_arg=args))
+    direct = (20, 10, 1, "direct", 1, 5, 1, 1)
+    assert rows(nav.call_sites_into(nav.ids(20))) == [direct]
+    far = sorted([tuple(r) for r in nav.call_sites_into(nav.ids(20), dispatch=True).collect()], key=lambda r: r[2])
+    assert far == [direct, (20, 10, 2, "dispatch", 1, 6, 1, 1), (20, 40, 3, "dispatch", None, None, None, 0)]
+    at = nav.g.t("edge_site").where("line = 5")
+    assert [(r["position"], r["src_kind"], r["type_usr"]) for r in nav.call_args_at(at).collect()] == [(0, "local", "T")]
+    assert nav.receiver_provenance(at).count() == 1 and nav.receiver_provenance(at.limit(0)).count() == 0
+
+
+def test_one_route(spark):
+    for kind in ("random", "rings", "chain", "empty"):
+        pairs, a = digraph(spark, kind)
+        out = defaultdict(set)
+        for x, y in pairs:
+            out[x].add(y)
+        for start, end in ((0, 5), (0, 9), (5, 0), (3, 3)):
+            best = {start: [start]}
+            level = [start]
+            while level and end not in best:
+                found = {}
+                for x in sorted(level, key=lambda n: best[n]):
+                    for y in sorted(out[x]):
+                        if y not in best and y not in found:
+                            found[y] = best[x] + [y]
+                best |= found
+                level = list(found)
+            assert traverse.one_route(a, start, end) == best.get(end, []), (kind, start, end)
+    assert traverse.one_route(digraph(spark, "chain")[1], 0, 9, 8) == []
+
+
+def test_steps_with_salts(spark):
+    pairs, a = digraph(spark, "dense")
+    steps = traverse.Steps(a.union(a.where("src = 0")), rows_per_salt=3)
+    front = spark.createDataFrame([(0, "x"), (4, "y"), (None, "z")], "src bigint, tag string")
+    assert rows(steps.ahead(front).select("src", "tag", "dst")) == sorted([(0, "x", j) for j in range(6)] * 2 + [(4, "y", j) for j in range(6)])
+
+
+def test_numbers_in_ranges(spark):
+    from edgeweave.runtime import lookup, numbered
+
+    data = [("a", i % 7, i) for i in range(200)] + [(None, 1, 5), (None, 1, 2), ("b", 9, 9)]
+    df = spark.createDataFrame(data, "k string, j int, i bigint").repartition(5)
+    want, seen = [], defaultdict(int)
+    for k, j, i in sorted(data, key=lambda x: (x[0] or "", x[1], x[2])):
+        seen[k, j] += 1
+        want.append((k, j, i, seen[k, j]))
+    key = lambda r: (r[0] or "", r[1], r[2])
+    assert sorted((tuple(r) for r in numbered(df, ["k", "j"], ["i"], "n").collect()), key=key) == want
+    names = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    for most in (1, 10):  # joined with salts, and broadcast
+        got = lookup(df, names, ["k"], "left", most)
+        assert {(r["k"], r["v"]) for r in got.collect()} == {("a", 1), (None, 2), ("b", None)} and got.count() == len(data)
+
+
+def test_rule_programs_as_text(spark):
+    text = """.decl edge(x: number, y: number)
+    far(x, y) :- edge(x, y).  /* all
+    of it */ far(x, z) :- far(x, y), edge(y, z).
+    odd(x) :- edge(x, _), !edge(_, x), x != 3.
+    many(x, n) :- n = count : { far(x, _) }.
+    top(x, m) :- m = max y : { edge(x, y) }.
+    .output many
+    .output top(IO=stdout)"""
+    program, outputs = rules.parse_program(text)
+    edge = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4)], "x bigint, y bigint")
+    got = program.run({"edge": edge}, [*outputs, "odd"])
+    assert outputs == ["many", "top"] and rows(got["many"]) == [(1, 3), (2, 2), (3, 1)] and rows(got["top"]) == [(1, 4), (2, 3), (3, 4)] and rows(got["odd"]) == [(1,)]
+    for bad in ("a(x) :- b(x)", "a(x).", "a(x) :- b(x), x ~ 2.", "a(x, n) :- b(x), n = count : { c(x) }."):
+        with pytest.raises(rules.RuleError):
+            rules.parse_program(bad)
+
+
+def test_cycles_and_impact_by_components(spark):
+    """The same as the rules that make all pairs."""
+    for kind in ("random", "rings", "dense", "chain"):
+        pairs, _ = digraph(spark, kind)
+        facts = {
+            "edge": spark.createDataFrame([(a, 1 if (a + b) % 3 else 7, b) for a, b in pairs], "src bigint, kind int, dst bigint"),
+            "symbol": spark.createDataFrame([(i, 8, 1) for i in range(30)], "id bigint, kind int, d int"),
+        }
+        assert rows(rules.cycle_edges(facts)) == rows(rules.cycles().run(facts, ["cycle_edge"])["cycle_edge"])
+        assert rows(rules.impact_radius(facts)) == rows(rules.impact().run(facts, ["radius"])["radius"])

@@ -204,7 +204,7 @@ _ROOTS = "goal AS (SELECT DISTINCT dst AS id FROM g WHERE dst NOT IN (SELECT src
 
 @entry("path_shortest", _GEN + f""", {_ROOTS},
 w(start, id, trail, d) AS (SELECT src, dst, [src, dst], 1 FROM g WHERE src <> dst UNION ALL
-  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE d < 6 AND NOT list_contains(trail, g.dst) AND w.id NOT IN (SELECT id FROM goal)),
+  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE NOT list_contains(trail, g.dst) AND w.id NOT IN (SELECT id FROM goal)),
 hit AS (SELECT * FROM w WHERE id IN (SELECT id FROM goal))
 SELECT start, id AS target, d::INTEGER AS length, array_to_string(trail, '/') AS trail FROM hit QUALIFY d = min(d) OVER (PARTITION BY start)""")
 def path_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +216,9 @@ def path_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("path_rank_topn", _GEN + f""", {_ROOTS},
 w(start, id, trail, d) AS (SELECT src, dst, [src, dst], 1 FROM g WHERE src <> dst UNION ALL
-  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE d < 6 AND NOT list_contains(trail, g.dst) AND w.id NOT IN (SELECT id FROM goal)),
+  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE NOT list_contains(trail, g.dst) AND w.id NOT IN (SELECT id FROM goal)),
 hit AS (SELECT * FROM w WHERE id IN (SELECT id FROM goal) QUALIFY d = min(d) OVER (PARTITION BY start))
-SELECT start, length, trail FROM (SELECT start, d::INTEGER AS length, array_to_string(trail, '/') AS trail, row_number() OVER (ORDER BY d, trail) AS r FROM hit) WHERE r <= 200""")
+SELECT start, length, array_to_string(trail, '/') AS trail FROM (SELECT start, d::INTEGER AS length, trail, row_number() OVER (ORDER BY d, trail) AS r FROM hit) WHERE r <= 200""")
 def path_rank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _gen(spark, sf_dir)
     goals = a.select(F.col("dst").alias("id")).distinct().join(a.select(F.col("src").alias("id")), "id", "left_anti")
@@ -228,7 +228,7 @@ def path_rank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("path_cycles", f"""WITH RECURSIVE {SYM}, {EE}, g AS (SELECT DISTINCT src_id AS src, dst_id AS dst FROM ee WHERE kind = 1),
 w(start, id, trail, d) AS (SELECT src, dst, [src, dst], 1 FROM g UNION ALL
-  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE d < 8 AND w.id <> w.start AND (g.dst = w.start OR NOT list_contains(trail, g.dst)))
+  SELECT w.start, g.dst, list_append(trail, g.dst), d + 1 FROM w JOIN g ON g.src = w.id WHERE w.id <> w.start AND (g.dst = w.start OR NOT list_contains(trail, g.dst)))
 SELECT start, d::INTEGER AS length, array_to_string(trail, '/') AS trail FROM w WHERE id = start QUALIFY d = min(d) OVER (PARTITION BY start)""")
 def path_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest cycles through each node: a node's own name is its only target. They stay inside its component."""
@@ -325,20 +325,20 @@ def layer_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(type_graph(spark, sf_dir), UNBOUNDED).frame(parse("codebase() | view(type_layer) | nodes() | out(child) | select(root_id, depth)"))
 
 
-@entry("type_closure_users", f"""WITH RECURSIVE {TYPES_SQL}, c(id) AS (SELECT p_partkey FROM part WHERE p_partkey = 7 UNION SELECT p_partkey FROM part JOIN c ON p_partkey // 2 = c.id AND p_partkey > 0)
+@entry("type_closure_users", f"""WITH RECURSIVE {TYPES_SQL}, c(id) AS (SELECT p_partkey FROM part UNION SELECT p_partkey FROM part JOIN c ON p_partkey // 2 = c.id AND p_partkey > 0)
 SELECT DISTINCT symbol_id FROM (SELECT owner_id AS symbol_id, type_id FROM parameter UNION SELECT o_orderkey, o_custkey % 100 FROM orders) WHERE type_id IN (SELECT id FROM c)""")
 def type_closure_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of any type; the SQL beside it starts from one."""
+    """Users of any type."""
     g = type_graph(spark, sf_dir)
     return navigate.Navigator(g).type_users(g.t("type_node").select("id"))
 
 
-@entry("reverse_type_use", f"""WITH RECURSIVE {TYPES_SQL}, c(id, trail, d) AS (SELECT 7::BIGINT, [7::BIGINT], 0 UNION ALL SELECT p_partkey, list_append(trail, p_partkey), d + 1 FROM c JOIN part ON p_partkey // 2 = c.id AND p_partkey > 0 WHERE d < 3),
+@entry("reverse_type_use", f"""WITH RECURSIVE {TYPES_SQL}, c(id, trail, d) AS (SELECT p_partkey, [p_partkey], 0 FROM part UNION ALL SELECT p_partkey, list_append(trail, p_partkey), d + 1 FROM c JOIN part ON p_partkey // 2 = c.id AND p_partkey > 0 WHERE NOT list_contains(trail, p_partkey)),
 own AS (SELECT type_id, owner_id, 'parameter' AS domain, 'parameter[' || position || ']' AS through FROM parameter UNION SELECT type_id, owner_id, 'template_argument', 'template_argument[' || position || ']' FROM parameter
   UNION SELECT o_custkey % 100, o_orderkey, 'symbol', 'returns' FROM orders)
 SELECT DISTINCT owner_id AS target, d + 1 AS length, array_to_string(list_append(trail, owner_id), '/') AS trail, domain, through FROM c JOIN own ON type_id = id""")
 def reverse_type_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every type, as deep as plans go: enough for keys below 2 ** 32, which halve at each level. The SQL beside it starts from one and climbs three."""
+    """From every type, as deep as plans go: enough for keys below 2 ** 32, which halve at each level."""
     df = Engine(type_graph(spark, sf_dir), UNBOUNDED).frame(parse("codebase() | view(type) | nodes() | reverse_type_use(32)"))
     return df.select("target", "length", F.array_join("trail", "/").alias("trail"), "domain", "through")
 
@@ -427,7 +427,9 @@ def _rule_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-_FACTS = f"WITH RECURSIVE {SYM}, {EE}, edge AS (SELECT DISTINCT src_id AS x, CASE kind WHEN 1 THEN 2 WHEN 8 THEN 7 ELSE 1 END AS kind, dst_id AS y FROM ee WHERE kind IN (1, 8, 9)), c AS (SELECT x, y FROM edge WHERE kind = 1), reach(x, y) AS (SELECT x, y FROM c UNION SELECT r.x, c.y FROM reach r JOIN c ON c.x = r.y)"
+_FACTS = f"""WITH RECURSIVE {EDGE}, fact AS (SELECT src_id AS x, kind, dst_id AS y FROM edge
+  UNION SELECT src_id, CASE kind {' '.join(f'WHEN {k} THEN {v}' for k, v in _AS_EDGE.items())} ELSE kind + 100 END, dst_id FROM ee),
+c AS (SELECT x, y FROM fact WHERE kind = 1), reach(x, y) AS (SELECT x, y FROM c UNION SELECT r.x, c.y FROM reach r JOIN c ON c.x = r.y)"""
 
 
 @entry("rule_reach", f"{_FACTS} SELECT x AS src, y AS dst FROM reach")
@@ -437,7 +439,7 @@ def rule_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("rule_cycles", f"{_FACTS} SELECT x AS src, y AS dst FROM c WHERE (y, x) IN (SELECT x, y FROM reach)")
 def rule_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.cycles().run(_rule_facts(spark, sf_dir))["cycle_edge"].toDF("src", "dst")
+    return rules.cycle_edges(_rule_facts(spark, sf_dir))
 
 
 @entry("rule_unused", f"""{_FACTS} SELECT id FROM sym WHERE kind IN (8, 21, 24, 25, 30) AND is_definition = 1 AND id NOT IN (SELECT y FROM c) AND spelling <> 'main'""")
@@ -451,16 +453,16 @@ def rule_fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["fan_in"].toDF("id", "fan_in").join(out["fan_out"].toDF("id", "fan_out"), "id")
 
 
-@entry("rule_hierarchy", f"""{_FACTS}, h(x, y) AS (SELECT x, y FROM edge WHERE kind = 2 UNION SELECT h.x, e.y FROM h JOIN edge e ON e.x = h.y AND e.kind = 2) SELECT x AS src, y AS dst FROM h""")
+@entry("rule_hierarchy", f"""{_FACTS}, h(x, y) AS (SELECT x, y FROM fact WHERE kind = 2 UNION SELECT h.x, e.y FROM h JOIN fact e ON e.x = h.y AND e.kind = 2) SELECT x AS src, y AS dst FROM h""")
 def rule_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.hierarchy().run(_rule_facts(spark, sf_dir))["ancestor"].toDF("src", "dst")
 
 
-@entry("rule_impact", f"""{_FACTS}, d AS (SELECT DISTINCT x, y FROM edge WHERE kind = 1), imp(y, x) AS (SELECT y, x FROM d UNION SELECT d.y, i.x FROM imp i JOIN d ON d.x = i.y)
+@entry("rule_impact", f"""{_FACTS}, d AS (SELECT DISTINCT x, y FROM fact WHERE kind IN (1, 7)), imp(y, x) AS (SELECT y, x FROM d UNION SELECT d.y, i.x FROM imp i JOIN d ON d.x = i.y)
 SELECT id, coalesce(n, 0) AS radius FROM sym LEFT JOIN (SELECT y AS id, count(*) AS n FROM imp GROUP BY 1) USING (id)""")
 def rule_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over calls and uses. The SQL beside it follows calls only."""
-    return rules.impact().run(_rule_facts(spark, sf_dir), ["radius"])["radius"].toDF("id", "radius")
+    """Over calls and uses."""
+    return rules.impact_radius(_rule_facts(spark, sf_dir))
 
 
 @entry("rule_all_paths", f"""{_FACTS}, src AS (SELECT id FROM sym WHERE kind = 4), snk AS (SELECT id FROM sym WHERE kind = 2),
@@ -479,7 +481,7 @@ def rule_arch_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cone(1).run(f)["cone"].toDF("id")
 
 
-@entry("rule_file_dependency", f"""{_FACTS} SELECT a.file_id AS src_file, b.file_id AS dst_file, count(DISTINCT (x, y)) AS edges FROM edge JOIN sym a ON a.id = x JOIN sym b ON b.id = y WHERE a.file_id <> b.file_id GROUP BY ALL""")
+@entry("rule_file_dependency", f"""{_FACTS} SELECT a.file_id AS src_file, b.file_id AS dst_file, count(DISTINCT (x, y)) AS edges FROM fact JOIN sym a ON a.id = x JOIN sym b ON b.id = y WHERE a.file_id <> b.file_id GROUP BY ALL""")
 def rule_file_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cross_file().run(_rule_facts(spark, sf_dir), ["file_depends"])["file_depends"].toDF("src_file", "dst_file", "edges")
 
@@ -512,7 +514,7 @@ def include_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @entry("include_shortest_path", f"""{_FILES}, f AS (SELECT min(src) AS id FROM inc), w(id, route, d) AS (SELECT id, [id], 0 FROM f UNION ALL
-  SELECT dst, min(list_append(route, dst)), d + 1 FROM w JOIN inc ON src = id WHERE d < 4 GROUP BY dst, d)
+  SELECT dst, min(list_append(route, dst)), d + 1 FROM w JOIN inc ON src = id WHERE d < (SELECT count(*) FROM (SELECT src FROM inc UNION SELECT dst FROM inc)) GROUP BY dst, d)
 SELECT id, d::INTEGER AS depth, array_to_string(min(route), '/') AS route FROM w GROUP BY id, d QUALIFY d = min(d) OVER (PARTITION BY id)""")
 def include_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest routes from the file with the smallest number."""
@@ -713,11 +715,15 @@ def header_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_claims(table(spark, sf_dir, "tu_dependency", "destination", "source", "snapshot_no"), "destination", "snapshot_no")
 
 
-@entry("diff_match", """WITH a AS (SELECT DISTINCT symbol_id AS id, usr FROM cidx_pending_symbol_identity WHERE snapshot_no = 1), b AS (SELECT DISTINCT symbol_id AS id, usr FROM cidx_pending_symbol_identity WHERE snapshot_no = 2),
-u AS (SELECT a.id AS old_id, b.id AS new_id FROM (SELECT usr, min(id) AS id FROM a GROUP BY usr HAVING count(*) = 1) a JOIN (SELECT usr, min(id) AS id FROM b GROUP BY usr HAVING count(*) = 1) b USING (usr)),
-n AS (SELECT a.id AS old_id, b.id AS new_id FROM (SELECT id FROM a WHERE id NOT IN (SELECT old_id FROM u) GROUP BY id HAVING count(*) = 1) a JOIN (SELECT id FROM b WHERE id NOT IN (SELECT new_id FROM u) GROUP BY id HAVING count(*) = 1) b ON a.id = b.id)
-SELECT old_id, new_id, 'usr' AS tier, 100 AS confidence FROM u UNION ALL SELECT old_id, new_id, 'name', 85 FROM n
-UNION ALL SELECT id, NULL, NULL, 0 FROM a WHERE id NOT IN (SELECT old_id FROM u UNION SELECT old_id FROM n) UNION ALL SELECT NULL, id, NULL, 0 FROM b WHERE id NOT IN (SELECT new_id FROM u UNION SELECT new_id FROM n)""")
+@entry("diff_match", """WITH p AS (SELECT DISTINCT snapshot_no, symbol_id AS id, usr FROM cidx_pending_symbol_identity WHERE snapshot_no IS NOT NULL),
+s AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM p)),
+a AS (SELECT s.snapshot_no, p.id, p.usr FROM s JOIN p ON p.snapshot_no = s.before), b AS (SELECT p.snapshot_no, p.id, p.usr FROM p JOIN s ON s.snapshot_no = p.snapshot_no AND before IS NOT NULL),
+u AS (SELECT snapshot_no, a.id AS old_id, b.id AS new_id FROM (SELECT snapshot_no, usr, min(id) AS id FROM a GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT snapshot_no, usr, min(id) AS id FROM b GROUP BY ALL HAVING count(*) = 1) b USING (snapshot_no, usr)),
+n AS (SELECT snapshot_no, a.id AS old_id, b.id AS new_id FROM (SELECT snapshot_no, id FROM a WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, old_id FROM u) GROUP BY ALL HAVING count(*) = 1) a
+  JOIN (SELECT snapshot_no, id FROM b WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, new_id FROM u) GROUP BY ALL HAVING count(*) = 1) b ON a.id = b.id AND a.snapshot_no = b.snapshot_no)
+SELECT snapshot_no, old_id, new_id, 'usr' AS tier, 100 AS confidence FROM u UNION ALL SELECT snapshot_no, old_id, new_id, 'name', 85 FROM n
+UNION ALL SELECT snapshot_no, id, NULL, NULL, 0 FROM a WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, old_id FROM u UNION SELECT snapshot_no, old_id FROM n)
+UNION ALL SELECT snapshot_no, NULL, id, NULL, 0 FROM b WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, new_id FROM u UNION SELECT snapshot_no, new_id FROM n)""")
 def diff_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol identities of each snapshot matched to the preceding one that exists: by usr, then by id in the place of the name.
 
@@ -733,10 +739,10 @@ def diff_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(old, p.join(pairs.select("snapshot_no"), "snapshot_no"), ("snapshot_no",))
 
 
-@entry("handover_window", f"""WITH RECURSIVE {HANDOVER_SQL}, w(id, d) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_nationkey = 3 UNION SELECT dst, d + 1 FROM w JOIN hand ON src = id WHERE d < 2)
+@entry("handover_window", f"""WITH RECURSIVE {HANDOVER_SQL}, w(id, d) AS (SELECT s_suppkey, 0 FROM supplier UNION SELECT dst, d + 1 FROM w JOIN hand ON src = id WHERE d < 2)
 SELECT DISTINCT id FROM w WHERE d = 2""")
 def handover_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers two hand-overs away from any; the SQL beside it starts from those of one nation."""
+    """Suppliers two hand-overs away from any."""
     starts = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("id"))
     return traverse.window(starts, handovers(spark, sf_dir), 2, 2).nodes
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, problems
+from . import design_queries, graph_queries, problems
 
-QUERIES = {**problems.QUERIES, **graph_queries.QUERIES}
-SQL = {**problems.SQL, **graph_queries.SQL}
+QUERIES = {**problems.QUERIES, **graph_queries.QUERIES, **design_queries.QUERIES}
+SQL = {**problems.SQL, **graph_queries.SQL, **design_queries.SQL}

@@ -20,10 +20,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,8 +85,16 @@ def unwrap(value: dict, envelope: str | None, marks: tuple[str, ...]) -> dict:
     return inner if isinstance(inner, dict) and not any(m in value for m in marks) else value
 
 
-#: Text of a JSON value with sorted keys and no blanks.
-_canonical: Callable[[object], str] = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+def _encoder() -> Callable[[object], str]:
+    """Text of a JSON value with sorted keys and no blanks. The encoder in C is made once, where there is one, not per value."""
+    plain = json.JSONEncoder(sort_keys=True, separators=(",", ":"))
+    if (make := json.encoder.c_make_encoder) is None:
+        return plain.encode
+    chunks = make(None, plain.default, json.encoder.encode_basestring_ascii, None, ":", ",", True, False, True)
+    return lambda value: "".join(chunks(value, 0))
+
+
+_canonical = _encoder()
 
 
 def _cell(value: object) -> str | None:
@@ -123,8 +131,14 @@ def merkle(value: object, levels: tuple[Level, ...], at: int, emit, members: dic
     return identity, width
 
 
-def _halves(identity: bytes) -> tuple[int, int]:
-    return struct.unpack("<qq", identity)
+def _halves(identities: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Both halves of identities, as numbers."""
+    both = np.frombuffer(b"".join(identities), "<i8")
+    return pa.array(both[0::2]), pa.array(both[1::2])
+
+
+def _lists(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
 _ARROW = pa.schema(
@@ -139,26 +153,41 @@ _SHREDDED = "tag int, h1 bigint, h2 bigint, loaded_us bigint, level int, width b
 
 def _shredder(levels: tuple[Level, ...], envelope: str | None, marks: tuple[str, ...], members: dict[int, tuple[str, ...]], flush_rows: int = 20_000, remember: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in _ARROW]
         seen: set[bytes] = set()
+        ids, depths, widths, payloads, cells, cell_counts, kids, kid_counts = ([] for _ in range(8))
+        records: list[tuple] = []
 
-        def write(*row) -> None:
-            for c, v in zip(columns, row):
-                c.append(v)
-
-        def emit(level: int, identity: bytes, width: int, payload: str, cells: list, children: list[bytes]) -> None:
+        def emit(level: int, identity: bytes, width: int, payload: str, own: list, children: list[bytes]) -> None:
             if identity not in seen:
                 seen.add(identity)
-                below = [_halves(c) for c in children]
-                write(1, *_halves(identity), None, level, width, payload, cells, [a for a, _ in below], [b for _, b in below])
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW)], schema=_ARROW)
-            for c in columns:
-                c.clear()
+                ids.append(identity)
+                depths.append(level)
+                widths.append(width)
+                payloads.append(payload)
+                cells.extend(own)
+                cell_counts.append(len(own))
+                kids.extend(children)
+                kid_counts.append(len(children))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            none = lambda n, kind: pa.nulls(n, kind)
+            if n := len(ids):
+                h1, h2 = _halves(ids)
+                c1, c2 = (_lists(kid_counts, half) for half in _halves(kids))
+                own = _lists(cell_counts, pa.array(cells, pa.string()))
+                one = pa.array(np.ones(n, np.int32))
+                yield pa.RecordBatch.from_arrays([one, h1, h2, none(n, pa.int64()), pa.array(depths, pa.int32()), pa.array(widths, pa.int64()), pa.array(payloads, pa.string()), own, c1, c2], schema=_ARROW)
+            if n := len(records):
+                rid, loaded, roots, wide = zip(*records)
+                c1, c2 = (_lists([1] * n, half) for half in _halves(roots))
+                zero = pa.array(np.zeros(n, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [zero.cast(pa.int32()), pa.array(rid, pa.int64()), zero, pa.array(loaded, pa.int64()), none(n, pa.int32()), pa.array(wide, pa.int64()), none(n, pa.string()), none(n, pa.list_(pa.string())), c1, c2], schema=_ARROW
+                )
+            for column in (ids, depths, widths, payloads, cells, cell_counts, kids, kid_counts, records):
+                column.clear()
             if len(seen) > remember:  # what is forgotten is emitted again and removed by the distinct
                 seen.clear()
-            return out
 
         for batch in batches:
             for rid, loaded, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -166,12 +195,10 @@ def _shredder(levels: tuple[Level, ...], envelope: str | None, marks: tuple[str,
                 if rid is None or value is None:
                     continue
                 root, width = merkle(unwrap(value, envelope, marks), levels, 0, emit, members)
-                a, b = _halves(root)
-                write(0, rid, 0, loaded, None, width, None, None, [a], [b])
-                if len(columns[0]) >= flush_rows:
-                    yield flush()
-        if columns[0]:
-            yield flush()
+                records.append((rid, loaded, root, width))
+                if len(ids) >= flush_rows or len(records) >= flush_rows:
+                    yield from flush()
+        yield from flush()
 
     return run
 

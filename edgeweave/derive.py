@@ -323,6 +323,16 @@ def run(g: PropertyGraph, previous: tuple[PropertyGraph, dict[str, tuple]] | Non
     return out.replaced(edge=out.t("edge").where("kind <> 18").unionByName(calls, allowMissingColumns=True)), seen
 
 
+def readiness(transforms: dict[str, tuple], recorded: dict[str, tuple]) -> dict[str, str]:
+    """Whether each derived table may be used: ``ready`` if it was made from these inputs, ``stale`` if from others, else ``missing``."""
+    return {name: "missing" if name not in recorded else "ready" if recorded[name] == inputs else "stale" for name, inputs in transforms.items()}
+
+
+def ordinals(df: DataFrame, owner: str, order: list[str], name: str = "ordinal") -> DataFrame:
+    """``df`` with the place of each row among those of its owner, from 0: how many of them come before it."""
+    return numbered(df, [owner], order, "__n").withColumn(name, (F.col("__n") - 1).cast("int")).drop("__n")
+
+
 def affected(old: DataFrame, fresh: DataFrame, keys: list[str], touched: DataFrame) -> DataFrame:
     """A derived table after a change: rows of ``touched`` keys replaced by what is computed afresh, the others kept."""
     touched = touched.select(*keys).distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import catalog, ir, views
+from . import catalog, identity, ir, views
 from .functions.text import glob_regex
 from .graph import PropertyGraph
 from .operators import traverse
@@ -275,6 +275,8 @@ class Engine:
     # -- shaping
 
     def _select(self, st: Stream, stage: ir.Stage) -> Stream:
+        if {"id", "identity_key"} & set(stage.fields):
+            identity.require_unambiguous(self.graph, st.view, st.df, st.keys)
         # Keys stay as hidden columns: ties are ordered by them.
         df = self.wide(st).select(*st.keys, *[F.col(f).alias(f"f_{f}") for f in stage.fields], *[F.col(f).alias(f"o_{f}") for f in st.sort])
         order = [F.col(f"o_{f}").asc_nulls_last() for f in st.sort] + [F.col(k) for k in st.keys]

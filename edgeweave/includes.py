@@ -114,6 +114,28 @@ def classify(g: PropertyGraph) -> DataFrame:
     return df.select(F.col("id").alias("site_id"), "config_id", "src_file_id", "dst_file_id", verdict.alias("verdict"), F.coalesce("evidence", F.array().cast("array<bigint>")).alias("evidence"))
 
 
+def removal_plan(g: PropertyGraph) -> DataFrame:
+    """(site_id, file_id, begin_offset, end_offset, spelling, action, content): what an include clean-up would do.
+
+    Directives that no configuration needs are to be removed, duplicates likewise; the rest is kept or for review. ``content``
+    is the digest of the file as indexed: a plan is stale for a file with another one.
+    """
+    c = classify(g)
+    whole = agree(c).withColumnRenamed("verdict", "overall")
+    sites = g.t("include_site").select(F.col("id").alias("site_id"), "begin_offset", "end_offset", "spelling")
+    content = g.t("file").select(F.col("id").alias("src_file_id"), F.col("md5").alias("content"))
+    df = c.join(whole, ["src_file_id", "dst_file_id"]).join(sites, "site_id").join(content, "src_file_id", "left")
+    gone = F.col("verdict").isin("unused_by_reference", "duplicate") & (F.col("overall") == F.col("verdict"))
+    action = F.when(gone, "remove").when((F.col("overall") == "manual_review") | (F.col("verdict") == "manual_review"), "review").otherwise("keep")
+    return df.select("site_id", F.col("src_file_id").alias("file_id"), "begin_offset", "end_offset", "spelling", action.alias("action"), "content")
+
+
+def stale(plan: DataFrame, present: DataFrame) -> DataFrame:
+    """(file_id) of the files of a plan whose digest in ``present`` (file_id, content) is another one, or is not there."""
+    now = present.select("file_id", F.col("content").alias("now"))
+    return plan.select("file_id", "content").distinct().join(now, "file_id", "left").where("now is null or content is null or now <> content").select("file_id").distinct()
+
+
 def agree(classified: DataFrame) -> DataFrame:
     """(src_file_id, dst_file_id, verdict) over all configurations: used anywhere is used, then for review; else all must agree."""
     weight = F.create_map(*[F.lit(x) for k, v in VERDICTS.items() for x in (k, v)])[F.col("verdict")]

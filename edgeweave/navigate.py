@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import catalog, derive
 from .functions.text import fuzzy, glob, segments_match
 from .graph import PropertyGraph
+from .ir import PlanError
 from .operators import traverse
 from .runtime import materialize
 
@@ -285,6 +286,42 @@ class Navigator:
 
         return slots(self.g).join(ids.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
 
+    def signature_text(self, ids: DataFrame) -> DataFrame:
+        """(owner_id, text): ``returns name(type name, ...)`` of callables, in the spelling of their types; unknown ones are ``?``."""
+        t = self.g.t("type_node").groupBy(F.col("id").alias("type_id")).agg(F.min("spelling").alias("spelled"))
+        s = self.signature(ids).where("tag in (1, 2)").select("owner_id", "tag", "position", "pack_index", "name", F.coalesce("declared_type_id", "type_id").alias("type_id")).join(t, "type_id", "left")
+        shown = F.concat_ws(" ", F.coalesce("spelled", F.lit("?")), "name")
+        listed = F.array_sort(F.collect_list(F.when(F.col("tag") == 2, F.struct("position", "pack_index", shown.alias("shown")))))
+        per = s.groupBy("owner_id").agg(F.min(F.when(F.col("tag") == 1, F.coalesce("spelled", F.lit("?")))).alias("returns"), listed.alias("params"))
+        names = self.g.t("symbol").select(F.col("id").alias("owner_id"), F.coalesce("qual_name", "spelling").alias("called"))
+        args = F.array_join(F.transform("params", lambda x: x["shown"]), ", ")
+        return per.join(names, "owner_id").select("owner_id", F.concat(F.coalesce(F.concat("returns", F.lit(" ")), F.lit("")), "called", F.lit("("), args, F.lit(")")).alias("text"))
+
+    def call_tree(self, start: int, depth: int = 8, fan_out: int = 64, most: int = 100_000) -> list[tuple[int, int, int | None]]:
+        """(node, depth, caller) of what a function calls, in the order of a depth-first walk: each node once, callees in the
+        order of their first call sites, at most ``fan_out`` of them. A printed answer: more than ``most`` calls are an error."""
+        from pyspark.sql import Window
+
+        near = self.walk(self.ids(start), ["calls"], "out", depth).select(F.col("id").alias("src_id"))
+        first = self.g.t("edge_site").groupBy(F.col("edge_id").alias("id")).agg(F.min(F.struct("file_id", "line", "col")).alias("at"))
+        calls = self.g.t("edge").where("kind = 1").join(near, "src_id", "left_semi").select("id", "src_id", "dst_id").join(first, "id", "left")
+        place = Window.partitionBy("src_id").orderBy(F.col("at").asc_nulls_last(), "dst_id")
+        rows = calls.withColumn("n", F.row_number().over(place)).where(F.col("n") <= fan_out).select("src_id", "dst_id", "n").limit(most + 1).collect()
+        if len(rows) > most:
+            raise PlanError("E_LIMIT", f"more than {most} calls")
+        ahead: dict[int, list[int]] = {}
+        for r in sorted(rows, key=lambda r: (r["src_id"], r["n"])):
+            ahead.setdefault(r["src_id"], []).append(r["dst_id"])
+        out, seen, todo = [], set(), [(start, 0, None)]
+        while todo:
+            node, at, caller = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                out.append((node, at, caller))
+                if at < depth:
+                    todo += [(d, at + 1, node) for d in reversed(ahead.get(node, ()))]
+        return out
+
     def type_closure(self, type_ids: DataFrame) -> DataFrame:
         """(id) of types built on the given ones, and themselves."""
         up = self.g.t("type_edge").select(F.col("dst_id").alias("src"), F.col("src_id").alias("dst")).union(self.g.t("type_node").where("canonical_id is not null").select("canonical_id", "id")).distinct()

@@ -14,7 +14,7 @@ from ..engine import UNBOUNDED, Engine
 from ..graph import PropertyGraph
 from ..query_text import parse
 from ..runtime import materialize, table
-from .business import handovers
+from .business import handovers, type_graph
 from .graph_queries import Query
 
 QUERIES: dict[str, Query] = {}
@@ -254,7 +254,7 @@ every_field AS (SELECT c_custkey AS c, c_custkey % 150 * 2 + 1 AS own, c_custkey
 fields AS (SELECT * FROM every_field WHERE own % 7 <> 0 AND own IN (SELECT p FROM part_)),
 pointed AS (SELECT f.*, coalesce(named, CASE WHEN t % 7 <> 0 AND t IN (SELECT p FROM part_) THEN t END) AS dst FROM fields f),
 raw AS (
-  SELECT a.q AS src, e.p // 2 AS dst, CASE WHEN e.p // 2 IN (SELECT p FROM face) THEN 2 ELSE 1 END AS kind, NULL::BIGINT AS via, NULL::INTEGER AS form, 1 AS many, e.p % 3 AS acc, e.p % 2 AS virt, 0 AS part, e.p * 100 + 1 AS at
+  SELECT a.q AS src, e.p // 2 AS dst, CASE WHEN e.p // 2 IN (SELECT p FROM face) THEN 2 ELSE 1 END AS kind, NULL::BIGINT AS via, NULL::INTEGER AS form, 1 AS many, e.p % 3 AS acc, e.p % 2 AS virt, 0 AS part, e.p * 100 + 1 AS ord
     FROM part_ e JOIN prim a ON a.p = e.p WHERE e.p > 0 AND e.p % 7 <> 0 AND (e.p // 2) % 7 <> 0
   UNION ALL SELECT e.p, a.q, 3, NULL, NULL, 1, 0, 0, 0, 0 FROM part_ e JOIN prim a ON a.p = e.p - 2 WHERE e.p % 7 = 2
   UNION ALL SELECT e.p, a.q, 11, NULL, NULL, 1, 0, 0, 0, 0 FROM part_ e JOIN prim a ON a.p = e.p - 3 WHERE e.p % 7 = 3
@@ -268,7 +268,7 @@ raw AS (
   UNION ALL SELECT a.q, b.q, 8, d.o * 16 + 2, NULL, 1, 0, 0, d.pure::INTEGER, 0 FROM met m JOIN met d ON d.o = m.o // 2 AND m.o > 0 JOIN prim a ON a.p = m.own JOIN prim b ON b.p = d.own
   UNION ALL SELECT e.p, e.p + 1, 10, NULL, NULL, 1, 0, 0, 0, 0 FROM rec e WHERE e.p % 10 = 0 AND e.p + 1 IN (SELECT p FROM rec)),
 kept AS (SELECT * FROM raw WHERE src <> dst),
-merged AS (SELECT src, dst, kind, via, form, CASE WHEN kind IN (1, 2) THEN 1 ELSE count(*) END AS count, max(many) AS many, max((at, acc, virt)) AS last, max(part) AS part FROM kept GROUP BY src, dst, kind, via, form),
+merged AS (SELECT src, dst, kind, via, form, CASE WHEN kind IN (1, 2) THEN 1 ELSE count(*) END AS count, max(many) AS many, max((ord, acc, virt)) AS last, max(part) AS part FROM kept GROUP BY src, dst, kind, via, form),
 design AS (SELECT src * 16 + 1 AS src_id, dst * 16 + 1 AS dst_id, kind, count, via AS via_member_id, many AS multiplicity, struct_extract(last, 2)::INTEGER AS access, struct_extract(last, 3)::INTEGER AS is_virtual, form AS create_form, part AS partial FROM merged
   UNION ALL SELECT (p % 25) * 16 + 4, p * 16 + 1, 12, 1, NULL, 1, 0, 0, NULL, 0 FROM part_ WHERE p % 25 IN (SELECT n_nationkey FROM nation))"""
 
@@ -295,8 +295,8 @@ def entity_design_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.entity_nodes(design_graph(spark, sf_dir))
 
 
-@entry("cross_repository_edges", """WITH place AS (SELECT s_suppkey AS f, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey), at AS (SELECT p_partkey AS p, r FROM part JOIN place ON f = p_size)
-SELECT a.p * 16 + 1 AS src_id, b.p * 16 + 1 AS dst_id, a.r AS src_repository, b.r AS dst_repository FROM at a JOIN at b ON b.p = a.p // 2 AND a.p > 0 WHERE a.r <> b.r""")
+@entry("cross_repository_edges", """WITH place AS (SELECT s_suppkey AS f, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey), placed AS (SELECT p_partkey AS p, r FROM part JOIN place ON f = p_size)
+SELECT a.p * 16 + 1 AS src_id, b.p * 16 + 1 AS dst_id, a.r AS src_repository, b.r AS dst_repository FROM placed a JOIN placed b ON b.p = a.p // 2 AND a.p > 0 WHERE a.r <> b.r""")
 def cross_repository_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inheritance over the border of repositories: suppliers are files, nations directories and components, regions repositories."""
     g = design_graph(spark, sf_dir)
@@ -356,6 +356,31 @@ def result_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(design_graph(spark, sf_dir), Budgets(enumerate=None)).frame(parse("codebase() | nodes(kind = method) | select(id)"))
 
 
+# --- Identities and signatures ------------------------------------------------------------------------------------------------
+
+
+@entry("portable_edges", f"""WITH {_LINES} SELECT 'edge:' || chr(31) || 'o:' || o || ':1:' || chr(31) || 'p:' || p AS identity_key, n AS count FROM calls""")
+def portable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges by identities that do not depend on the numbers of this index."""
+    return Engine(call_graph(spark, sf_dir), UNBOUNDED).frame(parse("codebase() | view(edge) | nodes(kind = 1) | select(identity_key, count)"))
+
+
+@entry("signature_text", """WITH lines AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
+placed AS (SELECT *, row_number() OVER (PARTITION BY o, n ORDER BY p, s) - 1 AS pack FROM lines),
+params AS (SELECT o, string_agg(p_type, ', ' ORDER BY n, pack, p_type) AS t FROM placed JOIN part ON p_partkey = p GROUP BY o)
+SELECT o_orderkey AS owner_id, p_type || ' ' || o_orderkey || '(' || coalesce(t, '') || ')' AS text FROM orders JOIN part ON p_partkey = o_custkey % 100 LEFT JOIN params ON o = o_orderkey""")
+def signature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = type_graph(spark, sf_dir)
+    return navigate.Navigator(g).signature_text(g.t("symbol").select("id"))
+
+
+@entry("parameter_index", """SELECT l_orderkey AS owner_id, l_linenumber AS position, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER AS ordinal
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)""")
+def parameter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each parameter among those of its function."""
+    return derive.ordinals(type_graph(spark, sf_dir).t("parameter"), "owner_id", ["position", "pack_index"]).select("owner_id", "position", "ordinal")
+
+
 # --- Rules ------------------------------------------------------------------------------------------------------------------
 
 

@@ -719,7 +719,7 @@ def header_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM p)),
 a AS (SELECT s.snapshot_no, p.id, p.usr FROM s JOIN p ON p.snapshot_no = s.before), b AS (SELECT p.snapshot_no, p.id, p.usr FROM p JOIN s ON s.snapshot_no = p.snapshot_no AND before IS NOT NULL),
 u AS (SELECT snapshot_no, a.id AS old_id, b.id AS new_id FROM (SELECT snapshot_no, usr, min(id) AS id FROM a GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT snapshot_no, usr, min(id) AS id FROM b GROUP BY ALL HAVING count(*) = 1) b USING (snapshot_no, usr)),
-n AS (SELECT snapshot_no, a.id AS old_id, b.id AS new_id FROM (SELECT snapshot_no, id FROM a WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, old_id FROM u) GROUP BY ALL HAVING count(*) = 1) a
+n AS (SELECT a.snapshot_no, a.id AS old_id, b.id AS new_id FROM (SELECT snapshot_no, id FROM a WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, old_id FROM u) GROUP BY ALL HAVING count(*) = 1) a
   JOIN (SELECT snapshot_no, id FROM b WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, new_id FROM u) GROUP BY ALL HAVING count(*) = 1) b ON a.id = b.id AND a.snapshot_no = b.snapshot_no)
 SELECT snapshot_no, old_id, new_id, 'usr' AS tier, 100 AS confidence FROM u UNION ALL SELECT snapshot_no, old_id, new_id, 'name', 85 FROM n
 UNION ALL SELECT snapshot_no, id, NULL, NULL, 0 FROM a WHERE (snapshot_no, id) NOT IN (SELECT snapshot_no, old_id FROM u UNION SELECT snapshot_no, old_id FROM n)

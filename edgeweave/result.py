@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,38 @@ from . import catalog, ir
 from .engine import Budgets, Engine, Result
 from .graph import PropertyGraph
 from .navigate import Navigator
+from .sources.artifacts import freshness
 
 SCHEMA = "edgeweave.result/v1"
+#: Keys of the index that an explanation lists; longest text in an answer, in bytes; deepest nesting of one.
+META_KEYS, TEXT_BYTES, DEPTH = 1000, 65_536, 64
+# What secrets are assigned to, and what stands in place of what is left out. Fixed values of the format.
+_SECRET, _HIDDEN, _CUT = re.compile(r"(TOKEN|PASSWORD|SECRET)([=:])[^\s,;]+"), "<redacted:secret>", "...<redacted:size-limit>"
+
+
+def redact(value: object, most: int = TEXT_BYTES, depth: int = 0) -> object:
+    """``value`` as an answer may show it: assigned secrets and what is beyond ``most`` bytes of a text are left out.
+
+    Floating-point numbers, integers beyond 64 bits, other types and too deep a nesting are errors.
+    """
+    if depth > DEPTH:
+        raise ValueError("an answer is nested too deeply")
+    if isinstance(value, str):
+        raw = _SECRET.sub(rf"\1\2{_HIDDEN}", value).encode()
+        if len(raw) > most:
+            raw = (raw[: max(0, most - len(_CUT))] + _CUT.encode())[: max(most, 0)]
+        return raw.decode(errors="ignore")
+    if value is None or isinstance(value, bool):
+        return value
+    if isinstance(value, int):
+        if not -(1 << 63) <= value < 1 << 63:
+            raise ValueError("an integer does not fit 64 bits")
+        return value
+    if isinstance(value, (list, tuple)):
+        return [redact(v, most, depth + 1) for v in value]
+    if isinstance(value, dict):
+        return {k: redact(v, most, depth + 1) for k, v in value.items()}
+    raise ValueError(f"no {type(value).__name__} in an answer")
 
 
 def relations_of(plan: ir.Plan) -> list[str]:
@@ -42,8 +73,14 @@ def relations_of(plan: ir.Plan) -> list[str]:
     return sorted(found)
 
 
-def explain(plan: ir.Plan, budgets: Budgets = Budgets()) -> dict:
-    """The plan in normal form, its shape, what it reads and how complete that is, and the budgets."""
+def index_identity(graph: PropertyGraph, present: str | None = None) -> dict:
+    """What the index says of itself in ``meta``: its revision and the others, and whether that is the ``present`` revision."""
+    told = {r["key"]: r["value"] for r in graph.t("meta").where("key is not null").orderBy("key").limit(META_KEYS).collect()}
+    return {"revision": told.get("revision"), "freshness": freshness(told.get("revision"), present), "meta": told}
+
+
+def explain(plan: ir.Plan, budgets: Budgets = Budgets(), graph: PropertyGraph | None = None, present: str | None = None) -> dict:
+    """The plan in normal form, its shape, what it reads and how complete that is, the budgets, and the identity of the index."""
     names = relations_of(plan)
     state = {n: "complete" if catalog.RELATIONS[n].complete else "partial" for n in names}
     return {
@@ -51,6 +88,7 @@ def explain(plan: ir.Plan, budgets: Budgets = Budgets()) -> dict:
         "shape": ir.final_shape(plan),
         "relations": state,
         "partial_inputs": [n for n in names if state[n] == "partial"],
+        "index": index_identity(graph, present) if graph is not None else {},
         "budgets": {"enumerate": budgets.enumerate, "traverse": budgets.traverse, "walks": budgets.walks, "witnesses": budgets.witnesses, "rows": budgets.rows},
     }
 
@@ -140,6 +178,6 @@ def serve(engine: Engine, line: str) -> str:
     try:
         request = json.loads(line)
         result = engine.run(parse(request["query"]))
-        return json.dumps({"id": request.get("id"), "ok": True, "result": json.loads(envelope(result).to_json())})
+        return json.dumps({"id": request.get("id"), "ok": True, "result": redact(json.loads(envelope(result).to_json()))})
     except (ir.PlanError, KeyError, ValueError) as e:
         return json.dumps({"id": request.get("id") if isinstance(request, dict) else None, "ok": False, "error": str(e)})

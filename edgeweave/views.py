@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import catalog
+from .functions.text import fnv63
 from .graph import PropertyGraph
+from .identity import with_identity
 from .runtime import materialize
 
 _KEYS = {
@@ -37,11 +39,6 @@ def _keyed(df: DataFrame, view: str) -> DataFrame:
     return df.select(*cols, *df.columns)
 
 
-def identity(view: str, parts: list[Column]) -> Column:
-    """A portable key: the view and the natural key."""
-    return F.concat_ws(":", F.lit(view), *[p.cast("string") for p in parts])
-
-
 def _symbol_frame(g: PropertyGraph, view: str, wants) -> DataFrame:
     df = g.t("symbol")
     if wants("semantic_universe"):
@@ -191,9 +188,10 @@ def frame(g: PropertyGraph, view: str, needed: set[str] | None = None) -> DataFr
     else:
         df = g.t(_TABLE[view])
     out = _keyed(df, view)
-    own = identity(view, [F.col(k) for k in keys(view)])
-    out = out.withColumn("identity_key", F.col("type_key") if view == "type" else own)
-    return out if "id" in out.columns else out.withColumn("id", F.xxhash64("identity_key").bitwiseAND(F.lit((1 << 63) - 1)))
+    if not wants("identity_key", "id"):
+        return out
+    out = with_identity(g, view, out, keys(view))
+    return out if "id" in out.columns else out.withColumn("id", fnv63("identity_key"))
 
 
 # --- One-step relations -----------------------------------------------------------------------------------------------

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from edgeweave import catalog, derive, diff, facts, graphview, includes, navigate, rules, search
 from edgeweave.functions import text
+from edgeweave.engine import Engine
 from edgeweave.ir import PlanError
 from edgeweave.operators import traverse
+from edgeweave.query_text import parse
 from edgeweave.sources import artifacts, files
 from edgeweave.streaming import rollups
 
@@ -442,3 +444,108 @@ def test_cycles_and_impact_by_components(spark):
         }
         assert rows(rules.cycle_edges(facts)) == rows(rules.cycles().run(facts, ["cycle_edge"])["cycle_edge"])
         assert rows(rules.impact_radius(facts)) == rows(rules.impact().run(facts, ["radius"])["radius"])
+
+
+def renumbered(spark, base):
+    """One small index, numbered from ``base`` on."""
+    n = lambda i: base + (i * 7) % 31
+    return make(
+        spark,
+        semantic_universe=[dict(id=1, key="u")], repository=[dict(id=1, name="r", remote_url="git://r")],
+        component=[dict(id=n(1), name="c", path="/a/c", repository_id=1), dict(id=n(2), name="", path="lib", repository_id=None)],
+        directory=[dict(id=n(3), component_id=n(1), path="src/"), dict(id=n(4), component_id=n(2), path="")], file=[dict(id=n(5), directory_id=n(3), name="x.h"), dict(id=n(6), directory_id=n(4), name="y.h")],
+        symbol=[dict(id=n(7), usr="f", kind=8, spelling="f", file_id=n(5), semantic_universe_id=1), dict(id=n(8), usr="g", kind=8, spelling="g", qual_name="ns::g", file_id=n(6), identity_key="key of g")],
+        type_node=[dict(id=n(9), type_key="int", spelling="int"), dict(id=n(10), spelling="S", decl_id=n(8))],
+        parameter=[dict(owner_id=n(8), position=0, pack_index=0, name="a", type_id=n(9)), dict(owner_id=n(8), position=1, pack_index=0, type_id=n(30))], symbol_type=[dict(symbol_id=n(8), kind=1, type_id=n(10))],
+        edge=[dict(id=n(11), src_id=n(7), dst_id=n(8), kind=1, count=1)], edge_site=[dict(edge_id=n(11), file_id=n(5), line=3, col=4, recv_type_id=n(10))],
+    ), n
+
+
+def test_portable_identities(spark):
+    from edgeweave import identity
+
+    (a, n), (b, m) = renumbered(spark, 100), renumbered(spark, 5000)
+    e = lambda g, q: sorted(r["identity_key"] for r in Engine(g).run(parse(q)).rows())
+    for view, want in {
+        "edge": ["edge:u\x1ff:1:key of g"], "site": ["site:u\x1ff:1:key of g:file:14:remote:git://r11:ungrouped:c7:src/x.h:3:4"], "type": ["type:S", "type:int"],
+        "parameter": ["parameter:key of g:0:0", "parameter:key of g:1:0"],
+    }.items():
+        q = f"codebase() | view({view}) | nodes()"
+        assert e(a, q) == e(b, q) == want
+        assert [r["id"] for r in Engine(a).run(parse(q)).rows()] or view == "edge"
+    assert rows(identity.dump(a)) == rows(identity.dump(b)) and identity.dump(a).where("rows > 0").count() == 7
+    other = b.replaced(parameter=b.t("parameter").where("position = 0"))
+    assert len(set(rows(identity.dump(a))) - set(rows(identity.dump(other)))) == 1
+    # A second component of that name elsewhere makes files of both ambiguous.
+    two = a.replaced(component=a.t("component").union(a.t("component").where("name = 'c'").withColumn("id", F.lit(1).cast("long")).withColumn("path", F.lit("/b/c"))))
+    assert Engine(two).run(parse("codebase() | view(site) | nodes() | select(line)")).rows() == [{"line": 3}]
+    with pytest.raises(PlanError, match="E_IDENTITY"):
+        Engine(two).run(parse("codebase() | view(site) | nodes()"))
+
+
+def test_signatures_and_call_trees(spark):
+    a, n = renumbered(spark, 100)
+    nav = navigate.Navigator(a)
+    assert rows(nav.signature_text(nav.ids(n(8), n(7)))) == [(n(8), "S ns::g(int a, ?)")]
+    calls = [(1, 2, 9), (1, 3, 5), (3, 2, 1), (2, 4, 1), (4, 1, 1), (3, 5, 2), (1, 6, 12)]
+    g = make(spark, edge=[dict(id=i, src_id=x, dst_id=y, kind=1) for i, (x, y, _) in enumerate(calls)], edge_site=[dict(edge_id=i, file_id=1, line=k, col=0) for i, (_, _, k) in enumerate(calls)])
+    nav = navigate.Navigator(g)
+    assert nav.call_tree(1) == [(1, 0, None), (3, 1, 1), (2, 2, 3), (4, 3, 2), (5, 2, 3), (6, 1, 1)]
+    assert nav.call_tree(1, depth=1, fan_out=2) == [(1, 0, None), (3, 1, 1), (2, 1, 1)]
+    with pytest.raises(PlanError, match="E_LIMIT"):
+        nav.call_tree(1, most=3)
+
+
+def test_answers_are_redacted(spark):
+    from edgeweave.result import explain, redact
+
+    assert redact({"a": ["PASSWORD=x1,y", "TOKEN:abc d", 5, None, True]}) == {"a": ["PASSWORD=<redacted:secret>,y", "TOKEN:<redacted:secret> d", 5, None, True]}
+    long = redact("é" * 100, 50)
+    assert long.endswith("...<redacted:size-limit>") and len(long.encode()) <= 50
+    for bad in (1.5, 1 << 63, object()):
+        with pytest.raises(ValueError):
+            redact([bad])
+    nested = []
+    for _ in range(80):
+        nested = [nested]
+    with pytest.raises(ValueError):
+        redact(nested)
+    g = make(spark, meta=[dict(key="revision", value="abc"), dict(key="graph_resolved_at", value="1")])
+    plan = parse("codebase() | nodes()")
+    assert explain(plan, graph=g, present="abc")["index"]["freshness"] == "current" and explain(plan, graph=g, present="x")["index"]["freshness"] == "stale"
+    assert explain(plan, graph=make(spark), present="x")["index"] == {"revision": None, "freshness": "unverifiable", "meta": {}}
+
+
+def test_include_plans(spark):
+    g = make(
+        spark,
+        symbol=[dict(id=1, file_id=1), dict(id=2, file_id=2), dict(id=3, file_id=3)], edge=[dict(id=1, src_id=1, dst_id=2, kind=7)], file=[dict(id=1, md5="m")],
+        include_edge=[dict(id=1, src_file_id=1, dst_file_id=2, config_id=1), dict(id=2, src_file_id=1, dst_file_id=3, config_id=1)],
+        include_site=[dict(id=10, edge_id=1, begin_offset=0, end_offset=9, resolved=1, guarded=1), dict(id=11, edge_id=2, begin_offset=10, end_offset=19, resolved=1, guarded=1)],
+    )
+    plan = includes.removal_plan(g)
+    assert rows(plan.select("site_id", "action", "content")) == [(10, "keep", "m"), (11, "remove", "m")]
+    now = spark.createDataFrame([(1, "m")], "file_id bigint, content string")
+    assert rows(includes.stale(plan, now)) == [] and rows(includes.stale(plan, now.limit(0))) == [(1,)]
+    assert derive.readiness({"a": (1,), "b": (2,), "c": (3,)}, {"a": (1,), "b": (9,)}) == {"a": "ready", "b": "stale", "c": "missing"}
+
+
+def test_programs_on_trees(spark):
+    df = lambda data, schema: spark.createDataFrame(data, schema)
+    # int f(p, q) { return p; }  int u; int v = f(u, 1); int w = v;
+    facts = {
+        "child": df([(1, 10, 0), (10, 11, 0), (20, 21, 0), (21, 22, 0), (21, 23, 1), (21, 24, 2), (30, 31, 0)], "p bigint, c bigint, o int"), "reads": df([(11, 101), (23, 103), (31, 104)], "n bigint, v bigint"),
+        "initialises": df([(20, 104), (30, 105)], "n bigint, v bigint"), "callee": df([(21, 1)], "c bigint, f bigint"), "parameter": df([(1, 102, 7), (1, 101, 3)], "f bigint, p bigint, o int"), "returns": df([(10, 1)], "n bigint, f bigint"),
+    }
+    out = rules.dataflow().run(facts, ["parameter_index", "flow", "influences"])
+    assert rows(out["parameter_index"]) == [(1, 101, 0), (1, 102, 1)]
+    assert rows(out["flow"]) == [(101, 104), (103, 101), (103, 104), (104, 105)]
+    assert (101, 105) in rows(out["influences"]) and (103, 105) in rows(out["influences"])
+    tree = {"child": df([(1, 2, 0), (2, 3, 0), (3, 4, 0), (1, 5, 1)], "p bigint, c bigint, o int"), "node": df([(1, "function"), (2, "if"), (3, "call"), (4, "for"), (5, "while")], "n bigint, k string")}
+    assert rows(rules.control_flow().run(tree, ["nesting"])["nesting"]) == [(2, 0), (4, 1), (5, 0)]
+    assert rows(rules.inventory().run(tree)["of_kind"]) == [("call", 1), ("for", 1), ("function", 1), ("if", 1), ("while", 1)]
+    shape = {"base": df([(2, 1), (3, 2)], "c bigint, b bigint"), "method": df([(1, 9)], "c bigint, m bigint"), "pure": df([(9,)], "m bigint")}
+    out = rules.design().run(shape, ["derives", "leaf", "abstract"])
+    assert rows(out["derives"]) == [(2, 1), (3, 1), (3, 2)] and rows(out["leaf"]) == [(3,)] and rows(out["abstract"]) == [(1,)]
+    refs = {"refers": df([(5, 1), (6, 1), (6, 2)], "n bigint, s bigint"), "in_file": df([(5, 10), (6, 11)], "n bigint, f bigint"), "defined_in": df([(1, 10), (2, 10)], "s bigint, f bigint")}
+    assert rows(rules.dependencies().run(refs, ["file_needs"])["file_needs"]) == [(11, 10, 2)]

@@ -125,7 +125,7 @@ def canonical(g: PropertyGraph, section: str) -> DataFrame:
     for column, what in SECTIONS[section].items():
         if what:
             known = _TABLES[what](g).select(F.col("id").alias(column), F.col("portable").alias("__p"))
-            df = df.join(known, column, "left").withColumn(column, F.when(F.col(column).isNotNull(), _or_missing("__p", what, column))).drop("__p")
+            df = df.join(known, column, "left").withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce("__p", F.lit(f"missing-{what}")))).drop("__p")
     return df.select(*[c for c in g.t(section).columns if SECTIONS[section].get(c) != "" and c != "semantic_universe_id"])
 
 

@@ -352,8 +352,12 @@ class Navigator:
     def receiver_provenance(self, sites: DataFrame) -> DataFrame:
         """What is known of the receiver at given sites (edge_id, file_id, line, col): its source, type, declaration and place
         among the caller's parameters, and whether its type is exact. Stored text, else the name of the id."""
+        return self.receivers().alias("a").join(_sites(sites), _same_site("a"), "left_semi")
+
+    def receivers(self) -> DataFrame:
+        """The decoded receivers of all call sites."""
         decode = F.create_map(*[F.lit(x) for k, v in catalog.SOURCE_KINDS.items() for x in (v, k)])
-        s = self.g.t("edge_site").alias("a").join(_sites(sites), _same_site("a"), "left_semi")
+        s = self.g.t("edge_site")
         types = self.g.t("type_node").select(F.col("id").alias("recv_type_id"), F.col("decl_usr").alias("type_text"))
         decls = self.g.t("symbol").select(F.col("id").alias("recv_decl_id"), F.col("usr").alias("decl_text"))
         s = s.join(types, "recv_type_id", "left").join(decls, "recv_decl_id", "left")
@@ -486,27 +490,7 @@ class Entities:
 
 
 def devirtualized_calls(g: PropertyGraph, starts: DataFrame, low: int, high: int) -> DataFrame:
-    """(id) reached by walks of low..high calls, virtual calls narrowed by what is known of the receiver at each site.
-
-    A call edge to a method that is overridden goes, where every one of its sites names a receiver record that is also
-    the exact value (``recv_type_is_value``), to the override picked for these records; otherwise it may land in the
-    method and in everything that overrides it. Other calls go where they point.
-    """
-    nav = Navigator(g)
-    calls = g.t("edge").where("kind = 1").select("id", "src_id", "dst_id")
-    virtual = derive.override_closure(g)
-    bases = virtual.select(F.col("base").alias("dst_id")).distinct()
-    plain = calls.join(bases, "dst_id", "left_anti").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-    dynamic = materialize(calls.join(bases, "dst_id", "left_semi").select("id", "src_id", "dst_id"))
-    types = g.t("type_node").select(F.col("id").alias("recv_type_id"), F.col("decl_id").alias("receiver"))
-    sites = g.t("edge_site").join(dynamic.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").join(types, "recv_type_id", "left")
-    exact = sites.withColumn("receiver", F.when(F.coalesce("recv_type_is_value", F.lit(0)) == 1, F.col("receiver")))
-    known = exact.groupBy("edge_id").agg(F.min(F.col("receiver").isNotNull()).alias("all_known")).where("all_known").select(F.col("edge_id").alias("id"))
-    narrow = dynamic.join(known, "id", "left_semi").join(exact.select(F.col("edge_id").alias("id"), "receiver").distinct(), "id")
-    picks = nav.selection(dynamic.select(F.col("dst_id").alias("id")).distinct())
-    picks = picks.select(F.col("origin").alias("dst_id"), "receiver", F.col("id").alias("picked"))
-    narrowed = narrow.join(picks, ["dst_id", "receiver"], "left").select(F.col("src_id").alias("src"), F.coalesce("picked", "dst_id").alias("dst"))
-    open_ = dynamic.join(known, "id", "left_anti")
-    lands = nav.dispatch_targets(open_.select(F.col("dst_id").alias("id")).distinct()).select(F.col("origin").alias("dst_id"), F.col("id").alias("lands"))
-    spread = open_.join(lands, "dst_id").select(F.col("src_id").alias("src"), F.col("lands").alias("dst"))
-    return traverse.window(starts, plain.union(narrowed).union(spread).distinct(), low, high).nodes
+    """(id) reached by walks of low..high calls, virtual calls narrowed by the types that their receivers can have."""
+    from .typesets import devirtualized
+
+    return traverse.window(starts, devirtualized(g, starts), low, high).nodes

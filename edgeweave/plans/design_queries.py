@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import derive, ir, navigate, rules
+from .. import derive, ir, navigate, rules, typesets
 from ..engine import UNBOUNDED, Engine
 from ..graph import PropertyGraph
 from ..query_text import parse
@@ -180,19 +180,18 @@ def engine_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("start", "target", "length", F.array_join("trail", "/").alias("trail"), "status")
 
 
-@entry("devirtualized_calls", f"""WITH RECURSIVE {_LINES}, {_BELOW}, v AS (SELECT DISTINCT base FROM below),
-exact AS (SELECT o, p FROM lines GROUP BY ALL HAVING bool_and(n % 2 = 0)), open AS (SELECT o, p FROM calls EXCEPT SELECT o, p FROM exact),
-t AS (SELECT p_partkey AS base, p_partkey AS p FROM part UNION SELECT base, p FROM below),
+@entry("devirtualized_calls", f"""WITH RECURSIVE {_LINES}, {_BELOW}, t AS (SELECT p_partkey AS base, p_partkey AS p FROM part UNION SELECT base, p FROM below),
 lands AS (SELECT base, p FROM t JOIN part ON p_partkey = p WHERE p_size % 5 <> 0),
-up(r, a, d) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT r, a // 2, d + 1 FROM up WHERE a > 0),
-pick AS (SELECT l.base, r, arg_min(l.p, d) AS p FROM lands l JOIN up ON up.a = l.p GROUP BY l.base, r),
-hit AS (SELECT p FROM calls WHERE p NOT IN (SELECT base FROM v)
-  UNION SELECT coalesce(k.p, e.p) FROM exact e LEFT JOIN pick k ON k.base = e.p AND k.r = e.p WHERE e.p IN (SELECT base FROM v)
-  UNION SELECT l.p FROM open JOIN lands l ON l.base = open.p WHERE open.p IN (SELECT base FROM v))
-SELECT p * 4 + 2 AS id FROM hit""")
+trusted AS (SELECT base FROM t JOIN part a ON a.p_partkey = base LEFT JOIN part b ON b.p_partkey = p AND b.p_size % 5 <> 0 WHERE a.p_size % 7 <> 0 GROUP BY base HAVING count(b.p_partkey) > 0 AND NOT bool_or(coalesce(b.p_size % 11 = 0, false))),
+first AS (SELECT o, p, struct_extract(fst, 1) AS s, struct_extract(fst, 2) AS n FROM calls),
+exact AS (SELECT o, p FROM first JOIN trusted ON base = p JOIN part ON p_partkey = p WHERE p_size % 5 <> 0 AND ((n % 2 = 0 AND s % 8 IN (1, 3, 4, 5)) OR s % 8 = 2)),
+hit AS (SELECT o, p, p AS q FROM calls UNION SELECT c.o, c.p, l.p FROM calls c JOIN lands l ON l.base = c.p WHERE (c.o, c.p) NOT IN (SELECT o, p FROM exact))
+SELECT DISTINCT o * 4 + 1 AS src, q * 4 + 2 AS dst FROM hit""")
 def devirtualized_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the calls of all functions may land, given what is known of their receivers."""
-    return Engine(call_graph(spark, sf_dir), UNBOUNDED).frame(parse("codebase() | nodes(kind = function) | out(calls, 1..1, mode=devirtualized) | select(id)"))
+    """Where each call may land, given what can be known of its receiver: nobody calls the callers here, so a receiver is
+    known where it is an exact value or constructed on the spot."""
+    g = call_graph(spark, sf_dir)
+    return typesets.devirtualized(g, g.t("symbol").where("kind = 8").select("id"))
 
 
 # --- Design -----------------------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a task takes without being split, and rows that a broadcast may have.
-ROWS_PER_SALT, MAX_BROADCAST = 100_000, 1_000_000
+ROWS_PER_SALT, MAX_BROADCAST = 100_000, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,7 +84,7 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
     """(__hash, __salts) of the keys that hold more than ``rows_per_salt`` rows of ``df``; None if there are none.
 
-    The list stays distributed and names keys by their hash, 12 bytes each. Up to 10^11 rows it has at most MAX_BROADCAST
+    The list stays distributed and names keys by their hash, 12 bytes each. Up to 5 * 10^10 rows it has at most MAX_BROADCAST
     entries, as each stands for ``rows_per_salt`` rows; beyond, keys count as hot from rows / MAX_BROADCAST on, which is
     still far below what a partition of such a table holds. So it can always be broadcast.
     """

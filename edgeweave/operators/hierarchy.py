@@ -21,7 +21,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ROWS_PER_SALT, materialize, salted_join
+from ..runtime import ROWS_PER_SALT, materialize, salted_join, tidy
+
+#: Rounds after which the driver is tidied up.
+TIDY_EVERY = 3
 
 _KEY = ["tree", "node"]
 _PLACED = ["tree", "node", "root", "depth", "path", "state", "below"]
@@ -148,6 +151,8 @@ def peel(links: DataFrame, with_descendants: bool = False, rows_per_salt: int =
         alive = after.where("not cut")
         busy, most = after.agg(F.count_if(F.expr("not cut and (up is null or up <> node)")), F.max("lost")).first()
         crowded.append((most or 0) > rows_per_salt)
+        if len(leaves) % TIDY_EVERY == 0:
+            tidy(links.sparkSession)
 
     # Nodes of cycles that are left stand for their cycle.
     known = alive.select(*_KEY, F.col("least").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("in_cycle").alias("state"), F.lit(None).cast("long").alias("below"))
@@ -155,6 +160,8 @@ def peel(links: DataFrame, with_descendants: bool = False, rows_per_salt: int =
         known = _placed(known, leaves[n], chained[n], crowded[n], rows_per_salt)
         if n or with_descendants:
             known = _kept(known)  # a table of all rounds so far; the next one is larger by a constant factor
+        if n % TIDY_EVERY == 0:
+            tidy(links.sparkSession)
     return Hierarchy(known, _beneath(known, leaves, chained) if with_descendants else None, len(leaves))
 
 

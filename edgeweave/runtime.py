@@ -70,6 +70,15 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return inside.join(sizes, on).select(*df.columns, (F.col("__r") + F.col("__before")).alias(name))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: what finished plans, their generated code and their checkpoints leave behind.
+
+    Operators that run dozens of small jobs call this now and then; without it the driver keeps all of it until its heap is
+    full, and the files of dropped checkpoints with it.
+    """
+    spark._jvm.System.gc()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -101,16 +101,24 @@ def bfs(starts: DataFrame, adjacency: DataFrame, deepest: int | None = None) ->
     """
     steps = Steps(adjacency)
     known = materialize(starts.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    frontier, depth = known, 0
+    frontier, depth, parts = known, 0, [known]
     while deepest is None or depth < deepest:
-        depth += 1
-        reached = steps.ahead(frontier.select(F.col("id").alias("src"))).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = materialize(reached.join(known.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
+        # A few levels in one job. A node that comes out again deeper, or was known before, only adds rows that lose here.
+        near, levels = frontier, []
+        for _ in range(LEVELS_AT_ONCE if deepest is None else min(LEVELS_AT_ONCE, deepest - depth)):
+            depth += 1
+            near = steps.ahead(near.select(F.col("id").alias("src"))).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+            levels.append(near.select("id", F.lit(depth).alias("depth"), "parent"))
+        first = reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.min(F.struct("depth", "parent")).alias("m"))
+        new = materialize(first.join(known.select("id"), "id", "left_anti").select("id", "m.depth", "m.parent"))
+        parts.append(new)
+        known = reduce(DataFrame.unionByName, parts)
+        if len(parts) > DELTAS:
+            known = materialize(known)
+            parts = [known]
+        frontier = new.where(F.col("depth") == depth)
         if not frontier.take(1):
             break
-        known = known.unionByName(frontier)
-        if depth % 8 == 0:
-            known = materialize(known)
     return known
 
 
@@ -205,7 +213,10 @@ def simple_paths(starts: DataFrame, targets: DataFrame, adjacency: DataFrame, lo
         if depth >= low:
             hits = level.where("is_goal")
             found.append(hits.select("start", F.col("node").alias("target"), F.lit(depth).alias("length"), "trail"))
-            level = level.join(hits.select("start").distinct(), "start", "left_anti")
+            if low == 1:  # a start ends at the length of its shortest paths
+                level = level.where(F.col("best") > depth)
+            else:
+                level = level.join(hits.select("start").distinct(), "start", "left_anti")
         walks = level.where(F.col("node") != F.col("start")).select("start", "node", "trail", "best")
         more = depth == high
     limited = bool(more and walks.take(1))

@@ -188,11 +188,11 @@ _EDGES_SQL = """edges AS (SELECT src_id, dst_id, kind, via_member_id, create_for
 
 
 def _plain_sql(column: str) -> str:
-    # Each ".." eats the part before it; the test data nests them at most once or twice in a path.
-    slashed = f"regexp_replace(regexp_replace(replace({column}, chr(92), '/'), '/(\\./)+', '/', 'g'), '/+', '/', 'g')"
-    for _ in range(4):
-        slashed = f"regexp_replace({slashed}, '/[^/]+/\\.\\./', '/')"
-    return slashed
+    """A path in plain form: its parts folded from the left, each ``..`` taking the part before it."""
+    slashed = f"replace({column}, chr(92), '/')"
+    parts = f"list_filter(string_split({slashed}, '/'), lambda x: x <> '' AND x <> '.')"
+    kept = f"list_reduce(list_transform({parts}, lambda x: [x]), lambda a, b: CASE WHEN b[1] = '..' THEN a[:len(a) - 1] ELSE list_concat(a, b) END, []::VARCHAR[])"
+    return f"(CASE WHEN starts_with({slashed}, '/') THEN '/' ELSE '' END || array_to_string({kept}, '/'))"
 
 
 _SNAPSHOT_SQL = f"""

@@ -466,6 +466,15 @@ def test_rule_programs_as_text(spark):
             rules.parse_program(bad)
 
 
+def test_rules_evaluate_what_is_asked(spark):
+    """The closure over a chain takes more than one round; who asks for its edges only does not pay for it."""
+    facts = {"edge": spark.createDataFrame([(i, 1, i + 1) for i in range(6)], "src bigint, kind int, dst bigint")}
+    assert rows(rules.call_graph().run(facts, ["calls"], rounds=1)["calls"]) == [(i, i + 1) for i in range(6)]
+    assert list(rules.call_graph().run(facts, [])) == ["calls", "reaches"]
+    with pytest.raises(rules.RuleError):
+        rules.call_graph().run(facts, ["reaches"], rounds=1)
+
+
 def test_cycles_and_impact_by_components(spark):
     """The same as the rules that make all pairs."""
     for kind in ("random", "rings", "dense", "chain"):

@@ -487,6 +487,23 @@ def test_cycles_and_impact_by_components(spark):
         assert rows(rules.impact_radius(facts)) == rows(rules.impact().run(facts, ["radius"])["radius"])
 
 
+def test_reaching_makes_no_pairs_across_hubs(spark, monkeypatch):
+    """150 nodes lead to a hub and it to 150 others: 22500 pairs that are counted; the rest is made, and counts agree."""
+    pairs = [(i, 1000) for i in range(150)] + [(1000, 2000 + i) for i in range(150)] + [(3000, 2000), (0, 3001), (3001, 3002), (5, 2001), (4000, 2002), (4001, 2002), (2002, 4002), (2002, 4003)]
+    sizes = {n: n % 3 + 1 for p in pairs for n in p}
+    made, old = [], traverse.closure
+    monkeypatch.setattr(traverse, "closure", lambda *a, **k: (made.append(old(*a, **k)), made[-1])[1])
+    edges, weights = spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.createDataFrame(list(sizes.items()), "id bigint, size bigint")
+    back = defaultdict(set)
+    for _ in range(4):
+        for a, b in pairs:
+            back[b] |= back[a] | {a}
+    want = sorted((n, sum(sizes[a] for a in ends)) for n, ends in back.items() if ends)
+    for hubs in (1, 2, 8):
+        assert rows(traverse.reaching(edges, weights, hubs)) == want
+        assert made[-1].count() < 20
+
+
 def renumbered(spark, base):
     """One small index, numbered from ``base`` on."""
     n = lambda i: base + (i * 7) % 31

@@ -466,6 +466,19 @@ def test_rule_programs_as_text(spark):
             rules.parse_program(bad)
 
 
+def test_two_steps_are_put_together_before_the_shuffle(spark):
+    """60 * 60 ends over 60 nodes: 216000 ways, of which no more rows than bit sets are shuffled; ends may be negative."""
+    ends = [i * 37 - 900 for i in range(60)]
+    left, right = [(a, m) for a in ends for m in range(60)], [(m, c) for m in range(60) for c in ends]
+    df = lambda data, cols: spark.createDataFrame(data, cols)
+    got = traverse.compose(df(left, "src bigint, mid bigint"), df(right, "mid bigint, dst bigint"))
+    assert "bit_or" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == sorted((a, c) for a in ends for c in ends)
+    few = traverse.compose(df([(1, 2), (1, 3)], "src bigint, mid bigint"), df([(2, -7), (3, -7), (3, 5000)], "mid bigint, dst int"))
+    assert rows(few) == [(1, -7), (1, 5000)] and few.schema["dst"].dataType.simpleString() == "int"
+    assert rows(traverse.compose(df([], "src bigint, mid bigint"), df([], "mid bigint, dst bigint"))) == []
+
+
 def test_rules_evaluate_what_is_asked(spark):
     """The closure over a chain takes more than one round; who asks for its edges only does not pay for it."""
     facts = {"edge": spark.createDataFrame([(i, 1, i + 1) for i in range(6)], "src bigint, kind int, dst bigint")}

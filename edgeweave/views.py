@@ -316,33 +316,40 @@ def reverse_type_use(g: PropertyGraph, seeds: DataFrame, deepest: int) -> tuple[
     Each level climbs to the types built on the ones before (and to spellings of them); a type is not met twice on one
     chain. The owners found at each level end a witness. The flag tells that there was more above the last level.
     """
-    names = F.create_map(*[F.lit(x) for k, v in catalog.TYPE_EDGE_KINDS.items() for x in (v, k)])
-    up = g.t("type_edge").select(F.col("dst_id").alias("at"), F.col("src_id").alias("next"), names[F.col("kind")].alias("label"))
-    up = materialize(up.union(g.t("type_node").where("canonical_id is not null and canonical_id <> id").select("canonical_id", "id", F.lit("sugared_by"))))
-    roles = F.when(F.col("kind") == 1, "returns").when(F.col("kind") == 2, "of_type").otherwise("underlying_type")
-    p = g.t("parameter")
+    up = g.t("type_edge").select(F.col("dst_id").alias("at"), F.col("src_id").alias("next"))
+    up = materialize(up.union(g.t("type_node").where("canonical_id is not null and canonical_id <> id").select("canonical_id", "id")).distinct())
+    # Chains of types differ, and so do owners with their role and position; so witnesses need not be made distinct once they
+    # are whole texts and trails.
+    role = F.when(F.col("kind") == 1, 0).when(F.col("kind") == 2, 1).otherwise(2)
     used = F.array_distinct(F.array_compact(F.array("type_id", "declared_type_id", "adjusted_type_id")))
     owners = (
-        g.t("symbol_type").select("type_id", F.col("symbol_id").alias("owner"), F.lit("symbol").alias("domain"), roles.alias("through"))
-        .union(p.select(F.explode(used), "owner_id", F.lit("parameter"), F.concat(F.lit("parameter"), F.lit("["), F.col("position").cast("string"), F.lit("]"))))
-        .union(g.t("template_param").select("type_id", "owner_id", F.lit("template_parameter"), F.concat(F.lit("template_parameter["), F.col("position").cast("string"), F.lit("]"))))
-        .union(g.t("template_arg").select("type_id", "owner_id", F.lit("template_argument"), F.concat(F.lit("template_argument["), F.col("position").cast("string"), F.lit("]"))))
-        .where("type_id is not null")
+        g.t("symbol_type").select("type_id", F.col("symbol_id").alias("owner"), role.alias("role"), F.lit(None).cast("int").alias("position"))
+        .union(g.t("parameter").select(F.explode(used), "owner_id", F.lit(3), "position"))
+        .union(g.t("template_param").select("type_id", "owner_id", F.lit(4), "position"))
+        .union(g.t("template_arg").select("type_id", "owner_id", F.lit(5), "position"))
+        .where("type_id is not null").distinct()
     )
-    owners = materialize(owners)
-    level = seeds.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("trail"))
-    found, more = [], False
+    level = seeds.select(F.col("id").alias("at"), F.array("id").alias("trail")).distinct()
+    chains, more = [level], False
     for depth in range(deepest + 1):
-        hit = level.join(owners, level["at"] == owners["type_id"])
-        found.append(hit.select("start", F.col("owner").alias("target"), F.lit(depth + 1).alias("length"), F.concat("trail", F.array("owner")).alias("trail"), "domain", "through", F.lit("in").alias("direction"), F.lit("partial").alias("status")))
-        above = level.join(up, "at").where(~F.array_contains("trail", F.col("next"))).select("start", F.col("next").alias("at"), F.concat("trail", F.array("next")).alias("trail"))
+        above = level.join(up, "at").where(~F.array_contains("trail", F.col("next"))).select(F.col("next").alias("at"), F.concat("trail", F.array("next")).alias("trail"))
         if depth == deepest:
             more = bool(above.take(1))
             break
         level = materialize(above)
         if not level.take(1):
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct(), more
+        chains.append(level)
+    # All chains meet the owners in one join, so owners are shuffled once and not at every level.
+    every = chains[0]
+    for c in chains[1:]:
+        every = every.union(c)
+    places = F.array(*[F.lit(x) for x in ("symbol", "symbol", "symbol", "parameter", "template_parameter", "template_argument")])
+    plain = F.array(*[F.lit(x) for x in ("returns", "of_type", "underlying_type")])
+    through = F.when(F.col("role") < 3, F.get(plain, F.col("role"))).otherwise(F.concat(F.get(places, F.col("role")), F.lit("["), F.col("position").cast("string"), F.lit("]")))
+    met = every.join(owners.withColumnRenamed("type_id", "at"), "at")
+    out = met.select(
+        F.get("trail", F.lit(0)).alias("start"), F.col("owner").alias("target"), F.size("trail").alias("length"), F.concat("trail", F.array("owner")).alias("trail"),
+        F.get(places, F.col("role")).alias("domain"), through.alias("through"), F.lit("in").alias("direction"), F.lit("partial").alias("status"),
+    )
+    return out, more

@@ -100,3 +100,21 @@ def test_types_and_handovers_start_everywhere(spark, tmp_path):
     assert rows(got) == sorted(want)
     assert rows(QUERIES["type_closure_users"](spark, str(tmp_path))) == [(500,)]
     assert rows(QUERIES["handover_window"](spark, str(tmp_path))) == [(3,)]
+
+
+def test_reverse_type_use_meets_owners_once(spark):
+    """However deep types nest, owners are joined once; owners given twice make one witness."""
+    from fixtures import make
+
+    from edgeweave import views
+
+    g = make(
+        spark, type_edge=[dict(src_id=i + 1, kind=1, position=k, dst_id=i) for i in range(1, 6) for k in (0, 1)], symbol_type=[dict(symbol_id=10, kind=k, type_id=6) for k in (1, 1, 2)],
+        parameter=[dict(owner_id=11, position=p, pack_index=k, type_id=5) for p, k in ((0, 0), (0, 1), (1, 0))],
+    )
+    out, more = views.reverse_type_use(g, spark.createDataFrame([(1,)], "id bigint"), 32)
+    assert not more and out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = sorted((r["start"], r["target"], r["length"], tuple(r["trail"]), r["domain"], r["through"]) for r in out.collect())
+    up = (1, 2, 3, 4, 5)
+    want = [(1, 10, 6, (*up, 6, 10), "symbol", w) for w in ("of_type", "returns")] + [(1, 11, 5, (*up, 11), "parameter", f"parameter[{p}]") for p in (0, 1)]
+    assert got == want

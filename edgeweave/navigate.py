@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog, derive
@@ -33,6 +33,11 @@ def _kinds(names: Iterable[str] | None, layer: str = "symbol") -> list[int] | No
     return None if names is None else [catalog.RELATIONS[f"{layer}.{n}"].id for n in names]
 
 
+def decoded_kind(column: str) -> Column:
+    """The name of a kind of source, by its id."""
+    return F.create_map(*[F.lit(x) for k, v in catalog.SOURCE_KINDS.items() for x in (v, k)])[F.col(column)]
+
+
 class Navigator:
     """Lazy answers about a graph; every method gives a DataFrame. ``ids`` are DataFrames with a column id."""
 
@@ -338,12 +343,14 @@ class Navigator:
 
     def call_args(self, edge_ids: DataFrame) -> DataFrame:
         """Call arguments with their sources decoded: stored text, else the name of the id."""
-        decode = F.create_map(*[F.lit(x) for k, v in catalog.SOURCE_KINDS.items() for x in (v, k)])
+        return self.decoded_args(self.g.t("call_arg").join(edge_ids.select(F.col("id").alias("edge_id")), "edge_id", "left_semi"))
+
+    def decoded_args(self, args: DataFrame) -> DataFrame:
+        """Rows of ``call_arg`` with their sources decoded."""
         names = self.g.t("external_identity").select(F.col("id").alias("type_identity_id"), F.col("identity_text").alias("type_text"))
-        a = self.g.t("call_arg").join(edge_ids.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").join(names, "type_identity_id", "left")
         usr = self.g.t("symbol").select(F.col("id").alias("decl_id"), F.col("usr").alias("decl_text"))
-        a = a.join(usr, "decl_id", "left")
-        return a.withColumn("src_kind", F.coalesce("src_kind", decode[F.col("src_kind_id")], F.lit("unknown"))).withColumn("type_usr", F.coalesce("type_usr", "type_text")).withColumn("decl_usr", F.coalesce("decl_usr", "decl_text"))
+        a = args.join(names, "type_identity_id", "left").join(usr, "decl_id", "left")
+        return a.withColumn("src_kind", F.coalesce("src_kind", decoded_kind("src_kind_id"), F.lit("unknown"))).withColumn("type_usr", F.coalesce("type_usr", "type_text")).withColumn("decl_usr", F.coalesce("decl_usr", "decl_text"))
 
     def call_args_at(self, sites: DataFrame) -> DataFrame:
         """The decoded arguments at given sites (edge_id, file_id, line, col); null positions of a site equal each other."""
@@ -356,13 +363,15 @@ class Navigator:
 
     def receivers(self) -> DataFrame:
         """The decoded receivers of all call sites."""
-        decode = F.create_map(*[F.lit(x) for k, v in catalog.SOURCE_KINDS.items() for x in (v, k)])
-        s = self.g.t("edge_site")
+        return self.decoded_receivers(self.g.t("edge_site"))
+
+    def decoded_receivers(self, sites: DataFrame) -> DataFrame:
+        """Rows of ``edge_site`` with their receivers decoded."""
         types = self.g.t("type_node").select(F.col("id").alias("recv_type_id"), F.col("decl_usr").alias("type_text"))
         decls = self.g.t("symbol").select(F.col("id").alias("recv_decl_id"), F.col("usr").alias("decl_text"))
-        s = s.join(types, "recv_type_id", "left").join(decls, "recv_decl_id", "left")
+        s = sites.join(types, "recv_type_id", "left").join(decls, "recv_decl_id", "left")
         return s.select(
-            "edge_id", "file_id", "line", "col", (F.coalesce("conditional", F.lit(0)) != 0).alias("conditional"), "args_sig", F.coalesce("recv_src_kind", decode[F.col("recv_src_kind_id")]).alias("recv_src_kind"),
+            "edge_id", "file_id", "line", "col", (F.coalesce("conditional", F.lit(0)) != 0).alias("conditional"), "args_sig", F.coalesce("recv_src_kind", decoded_kind("recv_src_kind_id")).alias("recv_src_kind"),
             F.coalesce("recv_type_usr", "type_text").alias("recv_type_usr"), F.coalesce("recv_decl_usr", "decl_text").alias("recv_decl_usr"), "recv_param_pos", "recv_type_is_value",
         )
 

@@ -34,10 +34,13 @@ def entry(name: str, sql: str | None = None):
 # --- Calls ------------------------------------------------------------------------------------------------------------------
 
 
-def call_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+def call_graph(spark: SparkSession, sf_dir: str, repeated: bool = False) -> PropertyGraph:
     """Order o is function 4 o + 1, part p method 4 p + 2 of record 4 p + 3. Some methods are pure, known by name only, or of
-    an unknown record. The receiver of a call is exact where the line number is even."""
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
+    an unknown record. The receiver of a call is exact where the line number is even.
+
+    ``repeated``: sites and arguments that are delivered several times stay so, and count; for answers that do not depend on it."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    lines = lines if repeated else lines.distinct()
     orders, parts = table(spark, sf_dir, "orders", "o_orderkey"), table(spark, sf_dir, "part", "p_partkey", "p_size")
     o, p = F.col("o_orderkey"), F.col("p_partkey")
     usr = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
@@ -49,7 +52,10 @@ def call_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     )
     src, dst = F.col("l_orderkey") * 4 + 1, F.col("l_partkey") * 4 + 2
     edge = F.col("l_orderkey") * 10_000_000_000 + F.col("l_partkey")
-    calls = lines.groupBy("l_orderkey", "l_partkey").agg(F.count(one).alias("n")).select(edge.alias("id"), src.alias("src_id"), dst.alias("dst_id"), one.alias("kind"), F.col("n").alias("count"))
+    if repeated:  # laid out by id, as the sites of a call are
+        calls = lines.groupBy(edge.alias("id")).agg(F.min(src).alias("src_id"), F.min(dst).alias("dst_id"), one.alias("kind"), F.count(one).alias("count"))
+    else:
+        calls = lines.groupBy("l_orderkey", "l_partkey").agg(F.count(one).alias("n")).select(edge.alias("id"), src.alias("src_id"), dst.alias("dst_id"), one.alias("kind"), F.col("n").alias("count"))
     over = parts.where("p_partkey > 0").select((-p * 3 - 1).alias("id"), (p * 4 + 2).alias("src_id"), (F.floor(p / 2) * 4 + 2).alias("dst_id"), F.lit(6).alias("kind"), one.cast("long").alias("count"))
     member = parts.select(-p * 3 - 2, p * 4 + 2, p * 4 + 3, F.lit(9), one.cast("long"))
     base = parts.where("p_partkey > 0").select(-p * 3 - 3, p * 4 + 3, F.floor(p / 2) * 4 + 3, F.lit(2), one.cast("long"))
@@ -190,7 +196,7 @@ SELECT DISTINCT o * 4 + 1 AS src, q * 4 + 2 AS dst FROM hit""")
 def devirtualized_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each call may land, given what can be known of its receiver: nobody calls the callers here, so a receiver is
     known where it is an exact value or constructed on the spot."""
-    g = call_graph(spark, sf_dir)
+    g = call_graph(spark, sf_dir, repeated=True)
     return typesets.devirtualized(g, g.t("symbol").where("kind = 8").select("id"))
 
 

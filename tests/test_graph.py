@@ -621,3 +621,21 @@ def test_programs_on_trees(spark):
     assert rows(out["derives"]) == [(2, 1), (3, 1), (3, 2)] and rows(out["leaf"]) == [(3,)] and rows(out["abstract"]) == [(1,)]
     refs = {"refers": df([(5, 1), (6, 1), (6, 2)], "n bigint, s bigint"), "in_file": df([(5, 10), (6, 11)], "n bigint, f bigint"), "defined_in": df([(1, 10), (2, 10)], "s bigint, f bigint")}
     assert rows(rules.dependencies().run(refs, ["file_needs"])["file_needs"]) == [(11, 10, 2)]
+
+
+def test_devirtualized_calls_stay_ranges(spark):
+    """Forks and cycles of overrides, calls that meet in a target: each pair once, and nothing is shuffled per pair."""
+    from edgeweave import typesets
+
+    up = [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 7), (7, 6), (8, 7), (9, 3)]  # method, what it overrides
+    below = {1: {1, 2, 3, 4, 5, 9}, 2: {2, 4, 5}, 3: {3, 4, 5, 9}, 4: {4, 5}, 6: {6, 7, 8}, 7: {6, 7, 8}, 40: {40}}
+    calls = [(20, 1), (20, 4), (21, 2), (21, 3), (22, 6), (22, 8), (23, 40), (23, 40), (24, 9), (4, 7), (41, 1)]
+    symbols = [dict(id=i, usr=f"m{i}", kind=21, is_pure=int(i == 3)) for i in range(1, 10)] + [dict(id=i, usr=f"f{i}", kind=8) for i in (20, 21, 22, 23, 24, 40)]
+    edges = [dict(id=i, src_id=a, dst_id=b, kind=6) for i, (a, b) in enumerate(up)] + [dict(id=100 + i, src_id=a, dst_id=b, kind=1) for i, (a, b) in enumerate(calls)]
+    g = make(spark, symbol=symbols, edge=edges)
+    got = typesets.devirtualized(g, spark.createDataFrame([(i,) for i in range(20, 25)], "id bigint"))
+    want = {(a, b) for a, b in calls if a != 41} | {(a, m) for a, b in calls if a != 41 for m in below.get(b, {b}) if m != 3}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any(line.startswith(("Aggregate", "+- Aggregate")) for line in plan[:2])
